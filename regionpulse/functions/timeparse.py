@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed formats of the incident source.
-DATE_FORMAT = "MM/dd/yyyy"
-TIME_FORMAT = "HH:mm:ss"
+# Fixed formats of the incident source (month/day/year, 24-hour time).  Single
+# letters accept one or two digits, like a C-style %m/%d/%Y and %H:%M:%S.
+DATE_FORMAT = "M/d/yyyy"
+TIME_FORMAT = "H:m:s"
 MIN_YEAR = 1678  # earliest year a nanosecond timestamp can hold
 MAX_YEAR = 2261
 

@@ -180,3 +180,222 @@ SQL["region_one_hot"] = with_(CHECKINS) + """
 SELECT seq, region, """ + ", ".join(f"CAST(CASE WHEN region = 'r{i}' THEN 1 ELSE 0 END AS INTEGER) AS r{i}" for i in range(10)) + """
 FROM ck
 """
+
+
+# ---------------------------------------------------------------- cleaning & IO
+
+INC_TEXT = """
+inc_text AS (
+  SELECT event_id AS incident_id,
+         CASE WHEN value < 1 THEN '13/13/2012' ELSE strftime(ts, '%m/%d/%Y') END AS date_text,
+         CASE WHEN value > 300 THEN '24:00:00' ELSE strftime(ts, '%H:%M:%S') END AS time_text,
+         CASE WHEN value > 50 THEN 'GRAND LARCENY' ELSE 'PETIT LARCENY' END AS offense,
+         'r' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS region
+  FROM events WHERE event_type = 'error'
+),
+parsed AS (
+  SELECT *, CAST(try_strptime(date_text, '%m/%d/%Y') AS DATE) AS d0, try_strptime(time_text, '%H:%M:%S') AS tm
+  FROM inc_text
+),
+inc_clean AS (
+  SELECT incident_id, offense, region, d0 AS date,
+         strptime(strftime(d0, '%Y-%m-%d') || ' ' || strftime(tm, '%H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts
+  FROM parsed
+  WHERE d0 IS NOT NULL AND year(d0) BETWEEN 1678 AND 2261 AND tm IS NOT NULL
+)"""
+
+SQL["parse_incident_time"] = with_(INC_TEXT) + "SELECT incident_id, ts, offense, region FROM inc_clean\n"
+
+SQL["filter_date_range"] = with_(CHECKINS) + """
+SELECT user_id, venue_id, region, ts, seq FROM ck
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+"""
+
+SQL["filter_category"] = with_(INC_TEXT) + "SELECT incident_id, offense, region FROM inc_text WHERE offense = 'GRAND LARCENY'\n"
+
+SQL["load_incidents"] = with_(INC_TEXT) + """
+SELECT incident_id, ts, offense, region FROM inc_clean
+WHERE offense = 'GRAND LARCENY' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+"""
+
+SQL["load_checkins"] = with_(CHECKINS) + "SELECT user_id, venue_id, region, ts, seq FROM ck\n"
+SQL["roundtrip_checkins"] = SQL["load_checkins"]
+
+# ---------------------------------------------------------------- labels
+
+INCIDENTS = """
+inc AS (
+  SELECT event_id AS incident_id, ts,
+         'r' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS region,
+         time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') AS t
+  FROM events WHERE event_type = 'error' AND value > 50
+),
+cnt AS (SELECT t, region, count(*) AS n_incidents FROM inc WHERE t IS NOT NULL AND region IS NOT NULL GROUP BY t, region),
+lab AS (SELECT t, region, CAST(least(n_incidents, 1) AS INTEGER) AS label FROM cnt)"""
+
+KEPT = """
+kt AS (SELECT t FROM fm GROUP BY t HAVING sum(obs_freq) >= 26),
+kr AS (SELECT region FROM fm GROUP BY region HAVING sum(obs_freq) >= 775),
+kept AS (SELECT * FROM fm WHERE t IN (SELECT t FROM kt) AND region IN (SELECT region FROM kr)),
+aligned AS (
+  SELECT k.*, coalesce(l.label, 0) AS label
+  FROM kept k LEFT JOIN lab l ON k.t = l.t AND k.region = l.region AND l.label > 0
+  WHERE k.t IN (SELECT DISTINCT t FROM lab)
+)"""
+
+SQL["incident_counts"] = with_(INCIDENTS) + "SELECT t, region, n_incidents FROM cnt\n"
+SQL["binary_labels"] = with_(INCIDENTS) + "SELECT t, region, label FROM lab\n"
+SQL["roundtrip_labels"] = SQL["binary_labels"]
+
+_FM_ALIGN = with_(CHECKINS, CELL_USER, FIRST_VISITS, GRID, FEATURE_MATRIX_BODY, INCIDENTS, KEPT)
+
+SQL["align_features_labels"] = _FM_ALIGN + f"SELECT {FM_COLS}, label FROM aligned\n"
+
+SQL["percent_labeled"] = _FM_ALIGN + """
+, kt2 AS (SELECT DISTINCT t FROM aligned),
+nk AS (SELECT count(*) AS n FROM kt2),
+pos AS (SELECT region, count(*) AS positives FROM lab WHERE label > 0 AND t IN (SELECT t FROM kt2) GROUP BY region),
+regs2 AS (SELECT DISTINCT region FROM lab)
+SELECT r.region, coalesce(p.positives, 0) AS positives,
+       CAST(floor(coalesce(p.positives, 0) * 100 / nk.n::DOUBLE) AS INTEGER) AS percent,
+       round(coalesce(p.positives, 0) * 100 / nk.n::DOUBLE, 6) AS percent_exact
+FROM regs2 r LEFT JOIN pos p ON r.region = p.region, nk
+"""
+
+SQL["class_frequency"] = _FM_ALIGN + "SELECT region, label, count(*) AS n FROM aligned GROUP BY region, label\n"
+
+
+# ---------------------------------------------------------------- geo
+
+def _polygons_sql() -> str:
+    from regionpulse.sources.testdata import CELL, ORIGIN, SHAPE_TEMPLATES
+
+    vals = ", ".join(
+        f"({s}, {r}, {v}, CAST({u!r} AS DOUBLE), CAST({w!r} AS DOUBLE))" for s, r, v, u, w in SHAPE_TEMPLATES
+    )
+    return f"""
+tpl AS (SELECT * FROM (VALUES {vals}) AS v(shape, ring, vertex, u, w)),
+verts AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS region_id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS county,
+         'World' AS city, ring, vertex,
+         CAST({ORIGIN!r} AS DOUBLE) + CAST(n_nationkey % 5 AS DOUBLE) * CAST({CELL!r} AS DOUBLE) + u * CAST({CELL!r} AS DOUBLE) AS x,
+         CAST({ORIGIN!r} AS DOUBLE) + CAST(n_nationkey // 5 AS DOUBLE) * CAST({CELL!r} AS DOUBLE) + w * CAST({CELL!r} AS DOUBLE) AS y
+  FROM nation JOIN tpl ON n_nationkey % 4 = shape
+),
+polys AS (SELECT DISTINCT region_id, name, county, city FROM verts),
+nv AS (SELECT region_id, ring, count(*) AS nv FROM verts GROUP BY region_id, ring),
+edges AS (
+  SELECT a.region_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+  FROM verts a JOIN nv ON a.region_id = nv.region_id AND a.ring = nv.ring
+       JOIN verts b ON b.region_id = a.region_id AND b.ring = a.ring AND b.vertex = (a.vertex + 1) % nv.nv
+)"""
+
+
+POLYGONS = _polygons_sql()
+
+SQL["assign_region"] = with_(POLYGONS) + """
+, pts AS (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings),
+pe AS (
+  SELECT p.point_id, e.region_id, e.x1, e.y1, e.x2, e.y2, p.lon, p.lat,
+         (e.x2 - e.x1) * (p.lat - e.y1) - (p.lon - e.x1) * (e.y2 - e.y1) AS d
+  FROM pts p, edges e
+),
+tests AS (
+  SELECT point_id, region_id,
+         sum(CASE WHEN ((y1 > lat) <> (y2 > lat)) AND ((d > 0) = (y2 > y1)) THEN 1 ELSE 0 END) AS crossings,
+         bool_or(d = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS on_edge
+  FROM pe GROUP BY point_id, region_id
+),
+hit AS (SELECT point_id, min(region_id) AS region_id FROM tests WHERE crossings % 2 = 1 AND NOT on_edge GROUP BY point_id)
+SELECT p.point_id, p.lon, p.lat, h.region_id, polys.name AS region
+FROM hit h JOIN pts p ON h.point_id = p.point_id JOIN polys ON polys.region_id = h.region_id
+"""
+
+SQL["filter_regions"] = with_(POLYGONS) + "SELECT region_id, name, county, city FROM polys WHERE city = 'World' AND county NOT IN ('4')\n"
+
+SQL["apply_region_corrections"] = with_(POLYGONS) + """
+SELECT region_id, CASE WHEN name = 'BRAZIL' AND county = '1' THEN 'BRAZIL SOUTH' ELSE name END AS name, county
+FROM polys WHERE NOT (name = 'ALGERIA' AND county = '0')
+"""
+
+SQL["duplicate_regions"] = with_(POLYGONS) + """
+SELECT r.r_name AS name, count(*) AS n FROM polys JOIN region r ON polys.county = CAST(r.r_regionkey AS VARCHAR)
+GROUP BY r.r_name HAVING count(*) > 1
+"""
+
+SQL["load_regions"] = with_(POLYGONS) + """
+, nr AS (SELECT region_id, count(DISTINCT ring) AS n_rings, count(*) AS n_vertices,
+                round(sum(x), 6) AS sum_lon, round(sum(y), 6) AS sum_lat FROM verts GROUP BY region_id)
+SELECT p.region_id, p.name, p.county, p.city, CAST(n_rings AS INTEGER) AS n_rings, CAST(n_vertices AS INTEGER) AS n_vertices, sum_lon, sum_lat
+FROM polys p JOIN nr ON p.region_id = nr.region_id
+"""
+
+# ---------------------------------------------------------------- measures
+
+ATTRS = """
+attrs AS (
+  SELECT DISTINCT 'r' || CAST(k % 10 AS VARCHAR) AS region, 1.0::DOUBLE + CAST(k % 10 AS DOUBLE) AS area,
+         CAST(1000 * (k % 10 + 1) AS BIGINT) AS population
+  FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+  WHERE k IS NOT NULL
+),
+venues AS (SELECT DISTINCT venue_id, region, venue_id % 7 AS category FROM ck)"""
+
+DAILY = """
+daily AS (SELECT region, CAST(ts AS DATE) AS day, count(*) AS n FROM inc GROUP BY region, CAST(ts AS DATE)),
+trail AS (
+  SELECT region, day, sum(n) OVER (PARTITION BY region ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS n_window
+  FROM daily
+)"""
+
+SQL["area_incident_density"] = with_(CHECKINS, ATTRS, INCIDENTS, DAILY) + """
+SELECT t.region, CAST(t.day AS TIMESTAMP) AS day, CAST(t.n_window AS BIGINT) AS n_window,
+       round(t.n_window / a.area, 6) AS area_incident_density
+FROM trail t JOIN attrs a ON t.region = a.region
+"""
+
+SQL["population_incident_density"] = with_(CHECKINS, ATTRS, INCIDENTS, DAILY) + """
+SELECT t.region, CAST(t.day AS TIMESTAMP) AS day, CAST(t.n_window AS BIGINT) AS n_window,
+       round(t.n_window::DOUBLE / a.population, 6) AS population_incident_density
+FROM trail t JOIN attrs a ON t.region = a.region
+"""
+
+VCC = """
+vcc AS (SELECT region, category, count(DISTINCT venue_id) AS n_venues FROM venues GROUP BY region, category),
+vshare AS (SELECT region, category, n_venues, n_venues::DOUBLE / sum(n_venues) OVER (PARTITION BY region) AS share FROM vcc)"""
+
+SQL["venue_category_share"] = with_(CHECKINS, ATTRS, VCC) + "SELECT region, category, n_venues, round(share, 6) AS share FROM vshare\n"
+
+SQL["venue_category_density"] = with_(CHECKINS, ATTRS, VCC) + """
+SELECT v.region, v.category, v.n_venues, round(v.n_venues / a.area, 6) AS density
+FROM vcc v JOIN attrs a ON v.region = a.region
+"""
+
+SQL["regional_diversity"] = with_(CHECKINS, ATTRS, VCC) + """
+SELECT region, round(sum(-share * ln(share) + 0.0), 6) AS diversity FROM vshare WHERE share > 0 GROUP BY region
+"""
+
+SQL["visitor_count_overall"] = with_(CHECKINS) + "SELECT region, count(DISTINCT user_id) AS visitor_count FROM ck WHERE region IS NOT NULL GROUP BY region\n"
+
+SQL["region_cosine"] = with_(CHECKINS) + """
+, o AS (SELECT t, region, count(user_id)::DOUBLE AS v FROM ck WHERE t IS NOT NULL AND region IS NOT NULL GROUP BY t, region),
+regs AS (SELECT DISTINCT region FROM o),
+pairs AS (SELECT region AS region_a, lead(region) OVER (ORDER BY region) AS region_b FROM regs),
+norms AS (SELECT region, sqrt(sum(v * v)) AS norm FROM o GROUP BY region),
+dots AS (
+  SELECT p.region_a, p.region_b, sum(a.v * b.v) AS dot
+  FROM pairs p JOIN o a ON a.region = p.region_a JOIN o b ON b.region = p.region_b AND b.t = a.t
+  GROUP BY p.region_a, p.region_b
+)
+SELECT p.region_a, p.region_b, round(coalesce(d.dot, 0.0) / nullif(na.norm * nb.norm, 0.0), 6) AS cosine
+FROM pairs p LEFT JOIN dots d ON p.region_a = d.region_a AND p.region_b = d.region_b
+     LEFT JOIN norms na ON na.region = p.region_a LEFT JOIN norms nb ON nb.region = p.region_b
+WHERE p.region_b IS NOT NULL
+"""
+
+SQL["vector_cosine"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id,
+       round(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0.0), 6) AS cosine
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1
+"""

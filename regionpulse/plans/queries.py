@@ -147,3 +147,230 @@ def q_region_one_hot(spark, sf_dir):
     regions = [f"r{i}" for i in range(10)]
     ck = td.event_checkins(spark, sf_dir).select("seq", "region")
     return grid.region_one_hot(ck, regions)
+
+
+# ---------------------------------------------------------------- cleaning & IO
+
+from regionpulse.operators import clean as cln  # noqa: E402
+from regionpulse.operators import geo  # noqa: E402
+from regionpulse.operators import labels as lab  # noqa: E402
+from regionpulse.operators import measures as ms  # noqa: E402
+from regionpulse import sources as src  # noqa: E402
+from regionpulse.session import scratch_path  # noqa: E402
+
+# inclusive date range and offence used by the cleaning queries
+RANGE_START, RANGE_END = "2024-01-05", "2024-01-20"
+CATEGORY = "GRAND LARCENY"
+
+
+def incident_text(spark, sf_dir):
+    """Raw incident text rows derived from 'error' events by a fixed rule: a value
+    below 1 gets an impossible date, above 300 the time '24:00:00'; value > 50 is
+    the kept offence."""
+    ev = td.table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return ev.select(
+        F.col("event_id").alias("incident_id"),
+        F.when(F.col("value") < 1, F.lit("13/13/2012")).otherwise(F.date_format("ts", "MM/dd/yyyy")).alias("date_text"),
+        F.when(F.col("value") > 300, F.lit("24:00:00")).otherwise(F.date_format("ts", "HH:mm:ss")).alias("time_text"),
+        F.when(F.col("value") > 50, F.lit(CATEGORY)).otherwise(F.lit("PETIT LARCENY")).alias("offense"),
+        F.concat(F.lit("r"), (k % 10).cast("string")).alias("region"),
+    )
+
+
+@register("parse_incident_time")
+def q_parse_incident_time(spark, sf_dir):
+    p = cln.parse_incident_time(incident_text(spark, sf_dir))
+    return p.select("incident_id", "ts", "offense", "region")
+
+
+@register("filter_date_range")
+def q_filter_date_range(spark, sf_dir):
+    ck = td.event_checkins(spark, sf_dir)
+    return cln.filter_date_range(ck, RANGE_START, RANGE_END).orderBy("ts", "seq")
+
+
+@register("filter_category")
+def q_filter_category(spark, sf_dir):
+    return cln.filter_category(incident_text(spark, sf_dir), CATEGORY).select("incident_id", "offense", "region")
+
+
+@register("load_incidents")
+def q_load_incidents(spark, sf_dir):
+    path = scratch_path(spark, "incidents-csv")
+    src.write_csv(incident_text(spark, sf_dir), path)
+    raw = src.load_incidents(spark, path, "incident_id BIGINT, date_text STRING, time_text STRING, offense STRING, region STRING")
+    c = cln.clean_incidents(raw, RANGE_START, RANGE_END, CATEGORY)
+    return c.select("incident_id", "ts", "offense", "region")
+
+
+@register("load_checkins")
+def q_load_checkins(spark, sf_dir):
+    path = scratch_path(spark, "checkins-csv")
+    src.write_csv(td.event_checkins(spark, sf_dir), path)
+    df = src.load_checkins(spark, path, "user_id BIGINT, venue_id BIGINT, region STRING, ts TIMESTAMP_NTZ, seq BIGINT")
+    return df
+
+
+@register("roundtrip_checkins")
+def q_roundtrip_checkins(spark, sf_dir):
+    path = scratch_path(spark, "checkins-parquet")
+    ck = td.event_checkins(spark, sf_dir).withColumn("date", F.to_date("ts"))
+    src.write_table(ck, path, partition_by=["date"])
+    return src.read_table(spark, path).select("user_id", "venue_id", "region", "ts", "seq")
+
+
+@register("roundtrip_labels")
+def q_roundtrip_labels(spark, sf_dir):
+    path = scratch_path(spark, "labels-parquet")
+    labels = lab.binary_labels(lab.incident_counts(td.event_incidents(spark, sf_dir)))
+    src.write_table(labels, path)
+    return src.read_table(spark, path)
+
+
+# ---------------------------------------------------------------- labels
+
+def _labels(spark, sf_dir):
+    return lab.binary_labels(lab.incident_counts(td.event_incidents(spark, sf_dir)))
+
+
+def _kept_matrix(spark, sf_dir):
+    m = feat.feature_matrix(td.event_checkins(spark, sf_dir))
+    return grid.low_activity_filter(m, None, FIXTURE_MIN_INTERVAL_OBS, FIXTURE_MIN_REGION_OBS)
+
+
+@register("incident_counts")
+def q_incident_counts(spark, sf_dir):
+    return lab.incident_counts(td.event_incidents(spark, sf_dir))
+
+
+@register("binary_labels")
+def q_binary_labels(spark, sf_dir):
+    return _labels(spark, sf_dir)
+
+
+@register("align_features_labels")
+def q_align_features_labels(spark, sf_dir):
+    return rounded(lab.align_features_labels(_kept_matrix(spark, sf_dir), _labels(spark, sf_dir)))
+
+
+@register("percent_labeled")
+def q_percent_labeled(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    aligned = lab.align_features_labels(_kept_matrix(spark, sf_dir), labels)
+    return rounded(lab.percent_labeled(aligned, labels))
+
+
+@register("class_frequency")
+def q_class_frequency(spark, sf_dir):
+    aligned = lab.align_features_labels(_kept_matrix(spark, sf_dir), _labels(spark, sf_dir))
+    return lab.class_frequency(aligned)
+
+
+# ---------------------------------------------------------------- geo
+
+GEO_CELL = 0.05
+EXCLUDED_COUNTIES = ("4",)
+CORRECTIONS = [("ALGERIA", "0", "drop", None), ("BRAZIL", "1", "rename", "BRAZIL SOUTH")]
+
+
+@register("assign_region")
+def q_assign_region(spark, sf_dir):
+    pts = td.embedding_points(spark, sf_dir)
+    polys = td.nation_polygons(spark, sf_dir)
+    return geo.assign_region(pts, polys, cell=GEO_CELL).select("point_id", "lon", "lat", "region_id", "region")
+
+
+@register("filter_regions")
+def q_filter_regions(spark, sf_dir):
+    polys = td.nation_polygons(spark, sf_dir)
+    return geo.filter_regions(polys, "World", EXCLUDED_COUNTIES).select("region_id", "name", "county", "city")
+
+
+@register("apply_region_corrections")
+def q_apply_region_corrections(spark, sf_dir):
+    polys = td.nation_polygons(spark, sf_dir)
+    return geo.apply_region_corrections(polys, CORRECTIONS).select("region_id", "name", "county")
+
+
+@register("duplicate_regions")
+def q_duplicate_regions(spark, sf_dir):
+    """Polygons named after their TPC-H region: five names over 25 polygons."""
+    polys = td.nation_polygons(spark, sf_dir)
+    names = td.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("county"), "r_name")
+    renamed = polys.join(names, "county").select("region_id", F.col("r_name").alias("name"))
+    return geo.duplicate_regions(renamed)
+
+
+@register("load_regions")
+def q_load_regions(spark, sf_dir):
+    path = scratch_path(spark, "regions-geojson")
+    polys = td.nation_polygons(spark, sf_dir)
+    coords = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
+    geom = F.to_json(F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")))
+    polys.select("region_id", F.col("name").alias("Name"), F.col("county").alias("County"),
+                 F.col("city").alias("City"), geom.alias("geometry")).write.parquet(path)
+    r = src.load_regions(spark, path)
+    flat = F.flatten("rings")
+    return r.select(
+        "region_id", "name", "county", "city",
+        F.size("rings").alias("n_rings"), F.size(flat).alias("n_vertices"),
+        F.aggregate(flat, F.lit(0.0), lambda a, p: a + p["lon"]).alias("sum_lon"),
+        F.aggregate(flat, F.lit(0.0), lambda a, p: a + p["lat"]).alias("sum_lat"),
+    ).transform(rounded)
+
+
+# ---------------------------------------------------------------- measures
+
+@register("area_incident_density")
+def q_area_incident_density(spark, sf_dir):
+    d = ms.area_incident_density(td.event_incidents(spark, sf_dir), td.region_attributes(spark, sf_dir), 7)
+    return rounded(d.withColumn("day", F.col("day").cast("timestamp_ntz")))
+
+
+@register("population_incident_density")
+def q_population_incident_density(spark, sf_dir):
+    d = ms.population_incident_density(td.event_incidents(spark, sf_dir), td.region_attributes(spark, sf_dir), 7)
+    return rounded(d.withColumn("day", F.col("day").cast("timestamp_ntz")))
+
+
+@register("venue_category_share")
+def q_venue_category_share(spark, sf_dir):
+    return rounded(ms.venue_category_share(td.event_venues(spark, sf_dir)))
+
+
+@register("venue_category_density")
+def q_venue_category_density(spark, sf_dir):
+    return rounded(ms.venue_category_density(td.event_venues(spark, sf_dir), td.region_attributes(spark, sf_dir)))
+
+
+@register("regional_diversity")
+def q_regional_diversity(spark, sf_dir):
+    return rounded(ms.regional_diversity(ms.venue_category_share(td.event_venues(spark, sf_dir))))
+
+
+@register("visitor_count_overall")
+def q_visitor_count_overall(spark, sf_dir):
+    return ms.visitor_count_overall(td.event_checkins(spark, sf_dir))
+
+
+@register("region_cosine")
+def q_region_cosine(spark, sf_dir):
+    """Cosine of the obs_freq time series of each region and the next region by name."""
+    obs = feat.obs_freq(_binned(spark, sf_dir)).withColumnRenamed("obs_freq", "value")
+    regs = obs.select("region").distinct()
+    from pyspark.sql import Window
+
+    # the distinct region list is small (one row per region): an unpartitioned lead is fine
+    pairs = regs.select(
+        F.col("region").alias("region_a"), F.lead("region").over(Window.orderBy("region")).alias("region_b")
+    ).filter(F.col("region_b").isNotNull())
+    return rounded(ms.region_cosine(obs, pairs))
+
+
+@register("vector_cosine")
+def q_vector_cosine(spark, sf_dir):
+    """Cosine of each embedding with the next vec_id's embedding."""
+    e = td.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
+    return rounded(ms.vector_cosine(e, nxt, "vec_id"))

@@ -8,6 +8,7 @@ from regionpulse.sources.files import (
     load_model_table,
     load_regions,
     read_table,
+    write_csv,
     write_table,
 )
 
@@ -19,5 +20,6 @@ __all__ = [
     "load_model_table",
     "load_regions",
     "read_table",
+    "write_csv",
     "write_table",
 ]

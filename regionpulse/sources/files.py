@@ -22,11 +22,26 @@ POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat",
 RINGS = T.ArrayType(T.ArrayType(POINT))
 
 
+TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """CSV sink with a header and the same timestamp text the readers expect."""
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .csv(path)
+    )
+    return path
+
+
 def load_checkins(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: str = CHECKIN_SCHEMA,
-    timestamp_format: str = "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    timestamp_format: str = TIMESTAMP_TEXT,
     header: bool = True,
 ) -> DataFrame:
     """IO1: check-in CSV with a parsed timestamp and a (lon, lat) point column."""
