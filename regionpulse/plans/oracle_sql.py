@@ -399,3 +399,126 @@ SELECT a.vec_id,
        round(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0.0), 6) AS cosine
 FROM e a JOIN e b ON b.vec_id = a.vec_id + 1
 """
+
+
+# ---------------------------------------------------------------- factorization
+
+IDS = """
+fl AS (
+  SELECT t, region, 0 AS fidx, 'visitor_count' AS feature, CAST(visitor_count AS DOUBLE) AS value FROM kept
+  UNION ALL SELECT t, region, 1, 'obs_freq', CAST(obs_freq AS DOUBLE) FROM kept
+  UNION ALL SELECT t, region, 2, 'visitor_entropy', visitor_entropy FROM kept
+  UNION ALL SELECT t, region, 3, 'visitor_ratio', visitor_ratio FROM kept
+  UNION ALL SELECT t, region, 4, 'region_popularity', region_popularity FROM kept
+),
+rids AS (SELECT t, dense_rank() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM kept)),
+cids AS (SELECT fidx, feature, region, dense_rank() OVER (ORDER BY fidx, region) - 1 AS j
+         FROM (SELECT DISTINCT fidx, feature, region FROM fl)),
+coo AS (SELECT r.i, c.j, f.t, f.feature, f.region, f.value
+        FROM fl f JOIN rids r ON f.t = r.t JOIN cids c ON c.fidx = f.fidx AND c.region = f.region
+        WHERE f.value <> 0),
+mu AS (SELECT avg(value) AS mean FROM coo),
+pf AS (SELECT i AS id, (i % 5 - 2) / 10.0 AS bias, k, ((i * 7 + k * 3) % 11 - 5) / 10.0 AS f
+       FROM rids, generate_series(0, 3) AS g(k)),
+qf AS (SELECT j AS id, (j % 3 - 1) / 10.0 AS bias, k, ((j * 5 + k * 2) % 13 - 6) / 10.0 AS f
+       FROM cids, generate_series(0, 3) AS g(k)),
+pq AS (SELECT p.id AS i, q.id AS j, any_value(p.bias) AS bi, any_value(q.bias) AS bj, sum(p.f * q.f) AS d
+       FROM pf p JOIN qf q ON p.k = q.k GROUP BY p.id, q.id)"""
+
+_FM_KEPT = with_(CHECKINS, CELL_USER, FIRST_VISITS, GRID, FEATURE_MATRIX_BODY, KEPT.split(",\naligned AS")[0], IDS)
+
+SQL["sparse_cells"] = _FM_KEPT + "SELECT i, j, t, feature, region, round(value, 6) AS value FROM coo\n"
+
+SQL["nonzero_mean"] = _FM_KEPT + "SELECT round(mean, 6) AS mean FROM mu\n"
+
+SQL["predict_cells"] = _FM_KEPT + """
+SELECT c.i, c.j, round(c.value, 6) AS value, round(mu.mean + pq.bi + pq.bj + pq.d, 6) AS prediction
+FROM coo c JOIN pq ON c.i = pq.i AND c.j = pq.j, mu
+"""
+
+SQL["dense_matrix"] = _FM_KEPT + """
+, cells AS (
+  SELECT k.t, k.region, c.feature, mu.mean + pq.bi + pq.bj + pq.d AS pred
+  FROM kept k JOIN rids r ON k.t = r.t JOIN cids c ON c.region = k.region
+       JOIN pq ON pq.i = r.i AND pq.j = c.j, mu
+)
+SELECT t, region,
+       round(max(CASE WHEN feature = 'visitor_count' THEN pred END), 6) AS visitor_count,
+       round(max(CASE WHEN feature = 'obs_freq' THEN pred END), 6) AS obs_freq,
+       round(max(CASE WHEN feature = 'visitor_entropy' THEN pred END), 6) AS visitor_entropy,
+       round(max(CASE WHEN feature = 'visitor_ratio' THEN pred END), 6) AS visitor_ratio,
+       round(max(CASE WHEN feature = 'region_popularity' THEN pred END), 6) AS region_popularity
+FROM cells GROUP BY t, region
+"""
+
+SQL["fit_error"] = _FM_KEPT + """
+, e AS (SELECT count(*) AS n, sum(pow(c.value - (mu.mean + pq.bi + pq.bj + pq.d), 2)) AS sse
+        FROM coo c JOIN pq ON c.i = pq.i AND c.j = pq.j, mu),
+reg AS (SELECT sum(f * f) AS reg FROM (SELECT f FROM pf UNION ALL SELECT f FROM qf))
+SELECT n, round(sse, 6) AS sse, round(sqrt(sse / n), 6) AS rmse, round(sqrt(sse), 6) AS root_sse,
+       round(sse / 2 + 0.001 / 2 * reg, 6) AS cost
+FROM e, reg
+"""
+
+SQL["matrix_shape"] = _FM_KEPT + """
+SELECT count(DISTINCT t) AS n_rows, count(DISTINCT region) * 5 AS n_columns, 250 AS rank FROM kept
+"""
+
+# ---------------------------------------------------------------- sampling & metrics
+
+SAMPLE = """
+hs AS (SELECT *, md5(concat_ws(',', '0', 'sample', region, CAST(CAST(epoch(t) AS BIGINT) AS VARCHAR))) AS h FROM aligned),
+rk AS (SELECT *, row_number() OVER (PARTITION BY region, label ORDER BY h, t) AS rnk,
+              sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY region) AS np,
+              sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY region) AS nn FROM hs),
+smp AS (SELECT * EXCLUDE (h, rnk, np, nn) FROM rk WHERE rnk <= least(np, nn))"""
+
+_FM_SAMPLE = _FM_ALIGN + ", " + SAMPLE.strip() + "\n"
+
+SQL["undersample"] = _FM_SAMPLE + "SELECT t, region, label FROM smp\n"
+
+SQL["train_test_split"] = _FM_SAMPLE + """
+, hs2 AS (SELECT *, md5(concat_ws(',', '0', 'split', region, CAST(CAST(epoch(t) AS BIGINT) AS VARCHAR))) AS h2 FROM smp)
+SELECT t, region, label,
+       row_number() OVER (PARTITION BY region ORDER BY h2, t) <= ceil(0.3 * count(*) OVER (PARTITION BY region)) AS is_test
+FROM hs2
+"""
+
+SQL["cv_folds"] = _FM_SAMPLE + """
+SELECT t, region, label, CAST(ntile(5) OVER (PARTITION BY region, label ORDER BY t) - 1 AS INTEGER) AS fold FROM smp
+"""
+
+SQL["standardize"] = _FM_SAMPLE + "SELECT t, region, " + ", ".join(
+    f"round(CASE WHEN stddev_pop({f}) OVER (PARTITION BY region) > 0 "
+    f"THEN ({f} - avg({f}) OVER (PARTITION BY region)) / stddev_pop({f}) OVER (PARTITION BY region) ELSE 0.0 END, 6) AS {f}_z"
+    for f in ("visitor_count", "obs_freq", "visitor_entropy", "visitor_ratio", "region_popularity")
+) + " FROM smp\n"
+
+DOCS = """
+ds AS (SELECT l.doc_id, l.toxic, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score
+       FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+SQL["roc_auc"] = with_(DOCS) + """
+, rr AS (SELECT toxic, label, rank() OVER (PARTITION BY toxic ORDER BY score) AS r0,
+                count(*) OVER (PARTITION BY toxic, score) AS nt FROM ds),
+ar AS (SELECT toxic, label, r0 + (nt - 1) / 2.0 AS ar FROM rr)
+SELECT toxic, CAST(sum(label) AS BIGINT) AS n_pos, CAST(count(*) - sum(label) AS BIGINT) AS n_neg,
+       round((sum(CASE WHEN label = 1 THEN ar ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0)
+             / nullif(sum(label) * (count(*) - sum(label)), 0), 6) AS auc
+FROM ar GROUP BY toxic
+"""
+
+SQL["threshold_scores"] = with_(DOCS) + "SELECT doc_id, CASE WHEN score > 2000.0 THEN 1 ELSE 0 END AS prediction FROM ds\n"
+
+SQL["f1_accuracy"] = with_(DOCS) + """
+, pr AS (SELECT toxic, label, CASE WHEN score > 2000.0 THEN 1 ELSE 0 END AS p FROM ds),
+cm AS (SELECT toxic,
+              CAST(sum(CASE WHEN p = 1 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+              CAST(sum(CASE WHEN p = 1 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+              CAST(sum(CASE WHEN p = 0 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+              CAST(sum(CASE WHEN p = 0 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM pr GROUP BY toxic)
+SELECT toxic, tp, fp, fn, tn,
+       round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+       round((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 6) AS accuracy
+FROM cm
+"""

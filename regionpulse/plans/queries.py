@@ -374,3 +374,154 @@ def q_vector_cosine(spark, sf_dir):
     e = td.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
     return rounded(ms.vector_cosine(e, nxt, "vec_id"))
+
+
+# ---------------------------------------------------------------- factorization
+
+from regionpulse.operators import factorize as fz  # noqa: E402
+from regionpulse.operators import metrics as mt  # noqa: E402
+from regionpulse.operators import sampling as sp  # noqa: E402
+
+GIVEN_RANK = 4
+GIVEN_BETA = 0.001
+
+
+def given_factors(rows: DataFrame, cols: DataFrame, k: int = GIVEN_RANK) -> DataFrame:
+    """Factors fixed by a rule of the ids, to check prediction and cost exactly:
+    P_i[k] = ((7i + 3k) % 11 - 5) / 10, b_i = (i % 5 - 2) / 10,
+    Q_j[k] = ((5j + 2k) % 13 - 6) / 10, b_j = (j % 3 - 1) / 10."""
+    ks = F.sequence(F.lit(0), F.lit(k - 1))
+    p = rows.select(
+        F.lit("P").alias("side"), F.col("i").alias("id"),
+        ((F.col("i") % 5 - 2) / 10.0).alias("bias"),
+        F.transform(ks, lambda x: ((F.col("i") * 7 + x * 3) % 11 - 5) / 10.0).alias("factors"),
+    )
+    q = cols.select(
+        F.lit("Q").alias("side"), F.col("j").alias("id"),
+        ((F.col("j") % 3 - 1) / 10.0).alias("bias"),
+        F.transform(ks, lambda x: ((F.col("j") * 5 + x * 2) % 13 - 6) / 10.0).alias("factors"),
+    )
+    return p.unionByName(q)
+
+
+def _coo(spark, sf_dir):
+    return fz.sparse_cells(_kept_matrix(spark, sf_dir))
+
+
+@register("sparse_cells")
+def q_sparse_cells(spark, sf_dir):
+    coo, rows, cols = _coo(spark, sf_dir)
+    return rounded(coo.join(rows, "i").join(cols, "j").select("i", "j", "t", "feature", "region", "value"))
+
+
+@register("nonzero_mean")
+def q_nonzero_mean(spark, sf_dir):
+    coo, _, _ = _coo(spark, sf_dir)
+    return rounded(fz.nonzero_mean(coo))
+
+
+@register("predict_cells")
+def q_predict_cells(spark, sf_dir):
+    coo, rows, cols = _coo(spark, sf_dir)
+    mean = fz.nonzero_mean(coo).select("mean").scalar()
+    return rounded(fz.predict_cells(coo, given_factors(rows, cols), mean))
+
+
+@register("dense_matrix")
+def q_dense_matrix(spark, sf_dir):
+    m = _kept_matrix(spark, sf_dir)
+    coo, rows, cols = fz.sparse_cells(m)
+    mean = fz.nonzero_mean(coo).select("mean").scalar()
+    return rounded(fz.dense_matrix(m, given_factors(rows, cols), mean, rows, cols))
+
+
+@register("fit_error")
+def q_fit_error(spark, sf_dir):
+    coo, rows, cols = _coo(spark, sf_dir)
+    mean = fz.nonzero_mean(coo).select("mean").scalar()
+    return rounded(fz.fit_error(coo, given_factors(rows, cols), mean, GIVEN_BETA))
+
+
+@register("matrix_shape")
+def q_matrix_shape(spark, sf_dir):
+    return fz.matrix_shape(_kept_matrix(spark, sf_dir), 250)
+
+
+def _materialized_matrix(spark, sf_dir):
+    path = scratch_path(spark, "kept-matrix")
+    _kept_matrix(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("densify_sgd")
+def q_densify_sgd(spark, sf_dir):
+    """The reference run: K=250, alpha=beta=0.001, 20 epochs, dense (t, region, 5 features)."""
+    dense, _ = fz.dynamic_features(_materialized_matrix(spark, sf_dir), PipelineConfig(), "sgd")
+    return dense
+
+
+@register("training_history")
+def q_training_history(spark, sf_dir):
+    m = _materialized_matrix(spark, sf_dir)
+    coo, rows, cols = fz.sparse_cells(m)
+    return fz.densify_sgd(coo, rows, cols, PipelineConfig(epochs=5)).history
+
+
+@register("densify_als")
+def q_densify_als(spark, sf_dir):
+    dense, _ = fz.dynamic_features(_materialized_matrix(spark, sf_dir), PipelineConfig(rank=10), "als")
+    return dense
+
+
+# ---------------------------------------------------------------- sampling & metrics
+
+def _aligned(spark, sf_dir):
+    return lab.align_features_labels(_kept_matrix(spark, sf_dir), _labels(spark, sf_dir))
+
+
+@register("undersample")
+def q_undersample(spark, sf_dir):
+    return sp.undersample(_aligned(spark, sf_dir), seed=0).select("t", "region", "label")
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    s = sp.undersample(_aligned(spark, sf_dir), seed=0)
+    return sp.train_test_split(s, test_fraction=0.3, seed=0).select("t", "region", "label", "is_test")
+
+
+@register("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    s = sp.undersample(_aligned(spark, sf_dir), seed=0)
+    return sp.cv_folds(s, 5).select("t", "region", "label", "fold")
+
+
+@register("standardize")
+def q_standardize(spark, sf_dir):
+    from regionpulse.config import FEATURES
+
+    s = sp.undersample(_aligned(spark, sf_dir), seed=0)
+    z = sp.standardize(s, FEATURES, suffix="_z")
+    return rounded(z.select("t", "region", *[f"{f}_z" for f in FEATURES]))
+
+
+def _doc_scores(spark, sf_dir):
+    lb = td.table(spark, sf_dir, "labels")
+    docs = td.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return lb.join(docs, "doc_id").select("doc_id", "toxic", F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("score"))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return rounded(mt.roc_auc(_doc_scores(spark, sf_dir), "score", "label", ["toxic"]))
+
+
+@register("threshold_scores")
+def q_threshold_scores(spark, sf_dir):
+    return mt.threshold_scores(_doc_scores(spark, sf_dir), "score", 2000.0).select("doc_id", "prediction")
+
+
+@register("f1_accuracy")
+def q_f1_accuracy(spark, sf_dir):
+    pred = mt.threshold_scores(_doc_scores(spark, sf_dir), "score", 2000.0)
+    return rounded(mt.f1_accuracy(pred, "prediction", "label", ["toxic"]))
