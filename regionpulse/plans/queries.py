@@ -525,3 +525,76 @@ def q_threshold_scores(spark, sf_dir):
 def q_f1_accuracy(spark, sf_dir):
     pred = mt.threshold_scores(_doc_scores(spark, sf_dir), "score", 2000.0)
     return rounded(mt.f1_accuracy(pred, "prediction", "label", ["toxic"]))
+
+
+# ---------------------------------------------------------------- models & evaluation
+
+from regionpulse.operators import models as md  # noqa: E402
+from regionpulse.plans import evaluate as ev  # noqa: E402
+from regionpulse.plans import pipeline as pl  # noqa: E402
+
+FIXTURE_CONFIG = PipelineConfig(min_interval_obs=FIXTURE_MIN_INTERVAL_OBS, min_region_obs=FIXTURE_MIN_REGION_OBS)
+
+
+def _dynamic(spark, sf_dir, config=FIXTURE_CONFIG):
+    return pl.build(td.event_checkins(spark, sf_dir), td.event_incidents(spark, sf_dir), config)
+
+
+@register("dynamic_features")
+def q_dynamic_features(spark, sf_dir):
+    """Dense features aligned with labels (the input of the model comparison)."""
+    d = _dynamic(spark, sf_dir)
+    return d.frame
+
+
+@register("region_panel")
+def q_region_panel(spark, sf_dir):
+    """PF19: one region's rows of the aligned matrix (first kept region by name)."""
+    aligned = _aligned(spark, sf_dir)
+    first = aligned.agg(F.min("region").alias("r")).select("r").scalar()
+    return rounded(aligned.filter(F.col("region") == first))
+
+
+def _eval_model(model):
+    def q(spark, sf_dir):
+        d = _dynamic(spark, sf_dir)
+        return ev.evaluate_region(d.frame, None, FIXTURE_CONFIG, [model])
+    q.__name__ = f"q_eval_{model}"
+    return q
+
+
+for _m in md.MODELS:
+    register(f"eval_{_m}")(_eval_model(_m))
+
+
+@register("evaluate_region")
+def q_evaluate_region(spark, sf_dir):
+    d = _dynamic(spark, sf_dir)
+    region = d.frame.agg(F.min("region")).first()[0]
+    return ev.evaluate_region(d.frame, region, FIXTURE_CONFIG)
+
+
+@register("repeat_evaluation")
+def q_repeat_evaluation(spark, sf_dir):
+    d = _dynamic(spark, sf_dir)
+    return ev.repeat_evaluation(d.frame, None, 3, FIXTURE_CONFIG, ["lr"])
+
+
+@register("comparison_report")
+def q_comparison_report(spark, sf_dir):
+    d = _dynamic(spark, sf_dir)
+    return ev.comparison_report(ev.evaluate_region(d.frame, None, FIXTURE_CONFIG, ["lr"]))
+
+
+@register("load_model_table")
+def q_load_model_table(spark, sf_dir):
+    """IO6: the aligned dense features written as a model table and read back."""
+    from regionpulse.config import FEATURES
+
+    d = _dynamic(spark, sf_dir)
+    path = scratch_path(spark, "model-table")
+    d.frame.select(*[F.col(f"d_{f}").alias(f) for f in FEATURES], F.col("label").alias("crime")).write.parquet(path)
+    from pyspark.ml.functions import vector_to_array
+
+    t = src.load_model_table(spark, path, "crime")
+    return t.select(vector_to_array("features").alias("features"), "label")
