@@ -45,28 +45,34 @@ def visitor_count(binned: DataFrame) -> DataFrame:
     return binned.groupBy("t", "region").agg(F.count_distinct("user_id").alias("visitor_count"))
 
 
-def user_cell_visits(binned: DataFrame) -> DataFrame:
-    """AG4: visits per (t, region, user) = non-null venue count, plus the row count."""
-    return (
-        binned.filter(F.col("user_id").isNotNull())
-        .groupBy("t", "region", "user_id")
-        .agg(F.count("venue_id").alias("reg_time_visits"), F.count(F.lit(1)).alias("n_rows"))
+def cell_user_all(binned: DataFrame) -> DataFrame:
+    """The one event-level aggregate behind AG2-AG6: per (t, region, user) the non-null
+    venue count and the row count.  The NULL-user group is kept so that the region
+    list and the time bounds can be read off this table too (one scan, one exchange,
+    reused by every consumer)."""
+    return binned.groupBy("t", "region", "user_id").agg(
+        F.count("venue_id").alias("reg_time_visits"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
-def user_totals(binned: DataFrame) -> DataFrame:
-    """AG5: total visits per user over all cells: (user_id, total_visits)."""
-    return (
-        binned.filter(F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(F.count("venue_id").alias("total_visits"))
-    )
+def user_cell_visits(binned: DataFrame, cells_all: DataFrame | None = None) -> DataFrame:
+    """AG4: visits per (t, region, user) = non-null venue count, plus the row count."""
+    cells_all = cell_user_all(binned) if cells_all is None else cells_all
+    return cells_all.filter(F.col("user_id").isNotNull())
 
 
-def visit_probability(binned: DataFrame) -> DataFrame:
+def user_totals(binned: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """AG5: total visits per user over all cells: (user_id, total_visits).
+
+    Summed from the (t, region, user) aggregate, so no second pass over the events."""
+    cells = user_cell_visits(binned) if cells is None else cells
+    return cells.groupBy("user_id").agg(F.sum("reg_time_visits").alias("total_visits"))
+
+
+def visit_probability(binned: DataFrame, cells_all: DataFrame | None = None) -> DataFrame:
     """JN4 / PF17: p = user's visits in the cell / user's visits everywhere, all time."""
-    cells = user_cell_visits(binned)
-    totals = user_totals(binned)
+    cells = user_cell_visits(binned, cells_all)
+    totals = user_totals(binned, cells)
     j = cells.join(totals, "user_id")
     return j.select(
         "t", "region", "user_id", "reg_time_visits", "total_visits", "n_rows",
@@ -74,10 +80,10 @@ def visit_probability(binned: DataFrame) -> DataFrame:
     )
 
 
-def cell_stats(binned: DataFrame) -> DataFrame:
+def cell_stats(binned: DataFrame, cells_all: DataFrame | None = None) -> DataFrame:
     """AG2 + AG3 + AG6 from one (t, region, user) aggregate:
     (t, region, visitor_count, obs_freq, visitor_entropy)."""
-    p = visit_probability(binned)
+    p = visit_probability(binned, cells_all)
     return p.groupBy("t", "region").agg(
         F.count(F.lit(1)).alias("visitor_count"),
         F.sum("n_rows").alias("obs_freq"),
@@ -153,15 +159,27 @@ def visitor_ratio(binned: DataFrame, k: int = 4) -> DataFrame:
 
 # ---------------------------------------------------------------- whole matrix
 
-def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT) -> DataFrame:
+def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT, materialize: bool = True) -> DataFrame:
     """JN6 / PF15: the five features on the dense spine x region grid, missing -> 0.
 
     (t, region, visitor_count, obs_freq, visitor_entropy, visitor_ratio, region_popularity)
+
+    With ``materialize`` the (t, region, user) aggregate, which feeds five consumers
+    (counts, entropy, user totals, region list, time bounds), is written once to the
+    shared checkpoint folder; otherwise each consumer would rescan the check-ins.
     """
     binned = binned_checkins(checkins, config.interval)
-    stats = cell_stats(binned)
+    cells_all = cell_user_all(binned)
+    if materialize:
+        from regionpulse.session import scratch_path
+
+        spark = checkins.sparkSession
+        path = scratch_path(spark, "cell-user")
+        cells_all.write.parquet(path)
+        cells_all = spark.read.parquet(path)
+    stats = cell_stats(binned, cells_all)
     fv = first_visit_counts(binned, config.top_k)
-    grid = grid_of(binned.select("region"), binned, config.interval)
+    grid = grid_of(cells_all.select("region"), cells_all, config.interval)
     cells = stats.join(fv, ["t", "region"], "left")
     dense = densify_grid(
         cells, grid, ["visitor_count", "obs_freq", "visitor_entropy", "first_visits"]
