@@ -21,24 +21,34 @@ def read_checkin_stream(spark: SparkSession, path: str, schema: str, max_files_p
     return r.load(path)
 
 
+def _event_time(stream: DataFrame, ts_col: str, watermark: str) -> DataFrame:
+    # watermarks need TIMESTAMP (LTZ); wall-clock NTZ maps 1:1 under a UTC session
+    s = stream.filter(F.col("region").isNotNull()).withColumn("_et", F.col(ts_col).cast("timestamp"))
+    return s.withWatermark("_et", watermark)
+
+
+def _bin(w: str = "w") -> F.Column:
+    return F.col(f"{w}.start").cast("timestamp_ntz").alias("t")
+
+
 def streaming_cell_counts(stream: DataFrame, interval: str = "3 hours", watermark: str = "6 hours",
                           ts_col: str = "ts") -> DataFrame:
     """(t, region, obs_freq, visitor_count_approx) per closed bin."""
-    s = stream.filter(F.col("region").isNotNull()).withWatermark(ts_col, watermark)
-    g = s.groupBy(F.window(ts_col, interval).alias("w"), "region").agg(
+    s = _event_time(stream, ts_col, watermark)
+    g = s.groupBy(F.window("_et", interval).alias("w"), "region").agg(
         F.count("user_id").alias("obs_freq"),
         F.approx_count_distinct("user_id").alias("visitor_count_approx"),
     )
-    return g.select(F.col("w.start").alias("t"), "region", "obs_freq", "visitor_count_approx")
+    return g.select(_bin(), "region", "obs_freq", "visitor_count_approx")
 
 
 def streaming_incident_labels(stream: DataFrame, interval: str = "3 hours", watermark: str = "6 hours",
                               ts_col: str = "ts") -> DataFrame:
     """(t, region, n_incidents, label) per closed bin."""
-    s = stream.filter(F.col("region").isNotNull()).withWatermark(ts_col, watermark)
-    g = s.groupBy(F.window(ts_col, interval).alias("w"), "region").agg(F.count(F.lit(1)).alias("n_incidents"))
+    s = _event_time(stream, ts_col, watermark)
+    g = s.groupBy(F.window("_et", interval).alias("w"), "region").agg(F.count(F.lit(1)).alias("n_incidents"))
     return g.select(
-        F.col("w.start").alias("t"), "region", "n_incidents",
+        _bin(), "region", "n_incidents",
         F.least(F.col("n_incidents"), F.lit(1)).cast("int").alias("label"),
     )
 
