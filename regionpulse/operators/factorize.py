@@ -295,12 +295,13 @@ def densify_als(
 # ------------------------------------------------------------------ whole step
 
 def dynamic_features(matrix: DataFrame, config: PipelineConfig = PipelineConfig(), method: str = "sgd",
-                     features=FEATURES) -> tuple[DataFrame, FactorModel]:
+                     features=FEATURES, track_history: bool = False) -> tuple[DataFrame, FactorModel]:
     """MF10: factorize the (already low-activity-filtered) matrix and return the dense
-    (t, region, <features>) table plus the model."""
+    (t, region, <features>) table plus the model.  The per-epoch cost (one extra job
+    per epoch) is only computed when ``track_history`` is set."""
     coo, rows, cols = sparse_cells(matrix, features)
     if method == "sgd":
-        model = densify_sgd(coo, rows, cols, config)
+        model = densify_sgd(coo, rows, cols, config, track_history=track_history)
     elif method == "als":
         model = densify_als(coo, rows, cols, config)
     else:
