@@ -522,3 +522,11 @@ SELECT toxic, tp, fp, fn, tn,
        round((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 6) AS accuracy
 FROM cm
 """
+
+SQL["region_panel"] = _FM_ALIGN + f"""
+SELECT {FM_COLS}, label FROM aligned WHERE region = (SELECT min(region) FROM aligned)
+"""
+
+SQL["preview_features"] = with_(CHECKINS, CELL_USER, FIRST_VISITS, GRID, FEATURE_MATRIX_BODY) + f"""
+SELECT {FM_COLS} FROM fm ORDER BY t, region LIMIT 5
+"""

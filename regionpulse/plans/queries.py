@@ -598,3 +598,10 @@ def q_load_model_table(spark, sf_dir):
 
     t = src.load_model_table(spark, path, "crime")
     return t.select(vector_to_array("features").alias("features"), "label")
+
+
+@register("preview_features")
+def q_preview_features(spark, sf_dir):
+    """WN5: the first rows of the feature matrix in (t, region) order (the limit is the feature)."""
+    m = feat.feature_matrix(td.event_checkins(spark, sf_dir))
+    return rounded(m.orderBy("t", "region").limit(5))
