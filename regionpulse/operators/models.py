@@ -23,27 +23,32 @@ from pyspark.sql import functions as F
 MODELS = ("svm", "lr", "rf", "mlp")
 
 
-def fourier_features(df: DataFrame, cols: Sequence[str], components: int = 100, gamma: float | None = None,
-                     seed: int = 0, prefix: str = "_rff") -> tuple[DataFrame, list[str]]:
-    """z_d(x) = sqrt(2/D) cos(w_d . x + b_d), w ~ N(0, 2 gamma I), b ~ U(0, 2 pi).
-
-    The D x n projection is a parameter of fixed size (not data), so it is inlined as
-    native column expressions."""
+def fourier_projection(cols: Sequence[str], components: int = 100, gamma: float | None = None, seed: int = 0):
+    """Random Fourier feature parameters: W ~ N(0, 2 gamma I) (D x n), b ~ U(0, 2 pi)."""
     n = len(cols)
     gamma = (1.0 / n) if gamma is None else gamma
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(components, n))
     b = rng.uniform(0.0, 2 * math.pi, size=components)
+    return W, b
+
+
+def fourier_features(df: DataFrame, cols: Sequence[str], components: int = 100, gamma: float | None = None,
+                     seed: int = 0, out: str = "features") -> DataFrame:
+    """z(x) = sqrt(2/D) cos(W x + b) as one ML vector column.
+
+    The D x n projection is a parameter of fixed size (not data): it is inlined as
+    literal arrays and evaluated by one native higher-order expression per row."""
+    from pyspark.ml.functions import array_to_vector
+
+    W, b = fourier_projection(cols, components, gamma, seed)
     scale = math.sqrt(2.0 / components)
-    names = []
-    exprs = []
-    for d in range(components):
-        lin = F.lit(float(b[d]))
-        for k, c in enumerate(cols):
-            lin = lin + F.lit(float(W[d, k])) * F.col(c).cast("double")
-        names.append(f"{prefix}{d}")
-        exprs.append((F.lit(scale) * F.cos(lin)).alias(names[-1]))
-    return df.select("*", *exprs), names
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = F.array(*[F.struct(F.lit(float(b[d])).alias("b"), F.array(*[F.lit(float(w)) for w in W[d]]).alias("w"))
+                     for d in range(components)])
+    z = F.transform(rows, lambda r: F.lit(scale) * F.cos(r["b"] + F.aggregate(
+        F.zip_with(r["w"], x, lambda w, v: w * v), F.lit(0.0), lambda acc, y: acc + y)))
+    return df.withColumn(out, array_to_vector(z))
 
 
 def _estimator(model: str, n_train: int, n_features: int, seed: int):
@@ -68,20 +73,25 @@ def _estimator(model: str, n_train: int, n_features: int, seed: int):
 
 
 def fit_score(train: DataFrame, test: DataFrame, cols: Sequence[str], model: str, seed: int = 0,
-              label: str = "label", keep: Sequence[str] = ()) -> DataFrame:
+              label: str = "label", keep: Sequence[str] = (), rows_per_partition: int = 100_000) -> DataFrame:
     """Fit ``model`` on ``train`` and score ``test``: (keep..., label, score, prediction)."""
     cols = list(cols)
     if model == "svm":
-        train, feat_cols = fourier_features(train, cols, seed=seed)
-        test, _ = fourier_features(test, cols, seed=seed)
+        def featurize(df):
+            return fourier_features(df, cols, seed=seed)
+        n_features = 100
     else:
-        feat_cols = cols
-    asm = VectorAssembler(inputCols=feat_cols, outputCol="features", handleInvalid="keep")
-    tr = asm.transform(train).select("features", F.col(label).cast("double").alias("label"))
+        asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+        featurize = asm.transform
+        n_features = len(cols)
+    tr = featurize(train).select("features", F.col(label).cast("double").alias("label"))
     n = tr.count()
-    est = _estimator(model, n, len(feat_cols), seed)
+    # iterative solvers run one job per iteration: size partitions to the data
+    # (rows_per_partition rows each) so small fits are not dominated by task overhead
+    tr = tr.repartition(max(1, math.ceil(n / rows_per_partition)))
+    est = _estimator(model, n, n_features, seed)
     fitted = est.fit(tr)
-    scored = fitted.transform(asm.transform(test))
+    scored = fitted.transform(featurize(test))
     from pyspark.ml.functions import vector_to_array
 
     if model in ("svm",):
