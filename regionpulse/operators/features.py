@@ -159,17 +159,37 @@ def visitor_ratio(binned: DataFrame, k: int = 4) -> DataFrame:
 
 # ---------------------------------------------------------------- whole matrix
 
-def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT, materialize: bool = True) -> DataFrame:
+MATERIALIZE_ABOVE_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Input volume of a plan: the sum of Catalyst's size estimates of its leaf scans
+    (file sizes scaled by the pruned columns).  Leaves, not the root, because join
+    estimates without column statistics are product-style upper bounds."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # pragma: no cover - no statistics available
+        return MATERIALIZE_ABOVE_BYTES + 1
+
+
+def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT, materialize: bool | None = None) -> DataFrame:
     """JN6 / PF15: the five features on the dense spine x region grid, missing -> 0.
 
     (t, region, visitor_count, obs_freq, visitor_entropy, visitor_ratio, region_popularity)
 
-    With ``materialize`` the (t, region, user) aggregate, which feeds five consumers
-    (counts, entropy, user totals, region list, time bounds), is written once to the
-    shared checkpoint folder; otherwise each consumer would rescan the check-ins.
+    The (t, region, user) aggregate feeds five consumers (counts, entropy, user totals,
+    region list, time bounds).  Column pruning makes their plans differ, so Spark does
+    not reuse the exchange and each would rescan and reshuffle the check-ins.  With
+    ``materialize`` the aggregate is written once to the shared checkpoint folder
+    instead.  ``None`` decides by size: write when the estimated check-in input is
+    above ``MATERIALIZE_ABOVE_BYTES`` (for small inputs one more job costs more than
+    the rescans).
     """
     binned = binned_checkins(checkins, config.interval)
     cells_all = cell_user_all(binned)
+    if materialize is None:
+        materialize = estimated_bytes(binned) > MATERIALIZE_ABOVE_BYTES
     if materialize:
         from regionpulse.session import scratch_path
 

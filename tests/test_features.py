@@ -91,3 +91,16 @@ def test_low_activity_totals_from_unfiltered(spark):
     m = feat.feature_matrix(spark.createDataFrame(rows, SCHEMA), PipelineConfig(), materialize=False)
     kept = grid.low_activity_filter(m, None, min_interval_obs=2, min_region_obs=2).collect()
     assert {(r["t"], r["region"]) for r in kept} == {(ts("2012-04-03 18:00:00"), "a")}
+
+
+def test_materialized_and_lazy_matrix_agree(spark):
+    from tests.conftest import SF0001
+    from regionpulse.sources import testdata as td
+
+    ck = td.event_checkins(spark, SF0001)
+    from regionpulse.plans.queries import rounded
+
+    # doubles agree up to summation order
+    a = rounded(feat.feature_matrix(ck, PipelineConfig(), materialize=True), 9)
+    b = rounded(feat.feature_matrix(ck, PipelineConfig(), materialize=False), 9)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
