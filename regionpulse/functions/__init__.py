@@ -3,8 +3,11 @@
 from regionpulse.functions.exprs import (
     dot,
     entropy_term,
+    instant_to_ntz,
     interval_expr,
     l2_norm,
+    ntz_epoch_seconds,
+    ntz_to_instant,
     no_negative_zero,
     ratio,
     time_bin,
@@ -18,7 +21,10 @@ from regionpulse.functions.timeparse import (
 __all__ = [
     "dot",
     "entropy_term",
+    "instant_to_ntz",
     "interval_expr",
+    "ntz_epoch_seconds",
+    "ntz_to_instant",
     "l2_norm",
     "no_negative_zero",
     "ratio",

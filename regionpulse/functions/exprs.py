@@ -48,3 +48,23 @@ def dot(a, b) -> Column:
 
 def l2_norm(a) -> Column:
     return F.sqrt(dot(a, a))
+
+
+_NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_epoch_seconds(ts) -> Column:
+    """Whole seconds since 1970-01-01 of a TIMESTAMP_NTZ wall clock, independent of the
+    session time zone (a cast to TIMESTAMP would shift it by the zone offset)."""
+    return F.timestamp_diff("SECOND", F.expr(_NTZ_EPOCH), _col(ts))
+
+
+def ntz_to_instant(ts) -> Column:
+    """TIMESTAMP_NTZ wall clock read as UTC -> TIMESTAMP instant (zone independent)."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_NTZ_EPOCH), _col(ts))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_ntz(ts) -> Column:
+    """TIMESTAMP instant -> its UTC wall clock as TIMESTAMP_NTZ (zone independent)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), F.expr(_NTZ_EPOCH))

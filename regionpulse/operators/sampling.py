@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from regionpulse.functions import ntz_epoch_seconds
+
 
 def _key_text(df: DataFrame, cols: Sequence[str]) -> list[Column]:
     out = []
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     for c in cols:
         dt = types[c]
-        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            out.append(F.unix_seconds(F.col(c).cast("timestamp")).cast("string"))
+        if isinstance(dt, T.TimestampNTZType):
+            out.append(ntz_epoch_seconds(c).cast("string"))
+        elif isinstance(dt, T.TimestampType):
+            out.append(F.unix_seconds(F.col(c)).cast("string"))
         else:
             out.append(F.col(c).cast("string"))
     return out

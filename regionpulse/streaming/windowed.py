@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionpulse.functions import instant_to_ntz, ntz_to_instant
+
 
 def read_checkin_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema).format("parquet")
@@ -22,13 +24,14 @@ def read_checkin_stream(spark: SparkSession, path: str, schema: str, max_files_p
 
 
 def _event_time(stream: DataFrame, ts_col: str, watermark: str) -> DataFrame:
-    # watermarks need TIMESTAMP (LTZ); wall-clock NTZ maps 1:1 under a UTC session
-    s = stream.filter(F.col("region").isNotNull()).withColumn("_et", F.col(ts_col).cast("timestamp"))
+    # watermarks need a TIMESTAMP instant: read the NTZ wall clock as UTC, so bins
+    # equal the batch (NTZ) bins whatever the session time zone is
+    s = stream.filter(F.col("region").isNotNull()).withColumn("_et", ntz_to_instant(ts_col))
     return s.withWatermark("_et", watermark)
 
 
 def _bin(w: str = "w") -> F.Column:
-    return F.col(f"{w}.start").cast("timestamp_ntz").alias("t")
+    return instant_to_ntz(F.col(f"{w}.start")).alias("t")
 
 
 def streaming_cell_counts(stream: DataFrame, interval: str = "3 hours", watermark: str = "6 hours",

@@ -70,3 +70,14 @@ def test_standardize_population_std(spark):
     out = {(r["region"], r["x"]): r["x_z"] for r in sp.standardize(df, ["x"], suffix="_z").collect()}
     assert out[("a", 1.0)] == pytest.approx(-1.0) and out[("a", 3.0)] == pytest.approx(1.0)
     assert out[("b", 5.0)] == 0.0
+
+
+def test_hash_draws_do_not_depend_on_session_time_zone(spark):
+    utc = sorted(sp.undersample(_frame(spark), seed=5).select("t", "region").collect())
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = sorted(sp.undersample(_frame(spark), seed=5).select("t", "region").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == ny
