@@ -17,7 +17,7 @@ from regionpulse.operators import features as feat
 from regionpulse.operators import grid
 from regionpulse.operators import labels as lab
 from regionpulse.plans.evaluate import evaluation_frame
-from regionpulse.session import scratch_path
+from regionpulse.session import materialize
 
 
 @dataclass
@@ -30,19 +30,13 @@ class DynamicFeatures:
     model: fz.FactorModel
 
 
-def _materialize(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def build(checkins: DataFrame, incidents: DataFrame, config: PipelineConfig = PipelineConfig(),
           method: str = "sgd") -> DynamicFeatures:
-    m = feat.feature_matrix(checkins, config)
-    kept = _materialize(grid.low_activity_filter(m, None, config.min_interval_obs, config.min_region_obs), "kept")
+    # the matrix feeds the cut three times (rows, two totals): compute it once
+    m = materialize(feat.feature_matrix(checkins, config), "feature-matrix")
+    kept = materialize(grid.low_activity_filter(m, None, config.min_interval_obs, config.min_region_obs), "kept")
     dense, model = fz.dynamic_features(kept, config, method)
-    dense = _materialize(dense, "dense")
+    dense = materialize(dense, "dense")
     labels = lab.binary_labels(lab.incident_counts(incidents, config.interval))
     aligned = lab.align_features_labels(kept, labels, config.quiet_intervals)
     frame = evaluation_frame(kept, dense, aligned)

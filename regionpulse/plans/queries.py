@@ -131,9 +131,7 @@ def q_feature_matrix_nations(spark, sf_dir):
 
 @register("low_activity_filter")
 def q_low_activity_filter(spark, sf_dir):
-    m = feat.feature_matrix(td.event_checkins(spark, sf_dir))
-    kept = grid.low_activity_filter(m, None, FIXTURE_MIN_INTERVAL_OBS, FIXTURE_MIN_REGION_OBS)
-    return rounded(kept)
+    return rounded(_kept_matrix(spark, sf_dir))
 
 
 @register("feature_pivot")
@@ -156,7 +154,7 @@ from regionpulse.operators import geo  # noqa: E402
 from regionpulse.operators import labels as lab  # noqa: E402
 from regionpulse.operators import measures as ms  # noqa: E402
 from regionpulse import sources as src  # noqa: E402
-from regionpulse.session import scratch_path  # noqa: E402
+from regionpulse.session import materialize, scratch_path  # noqa: E402
 
 # inclusive date range and offence used by the cleaning queries
 RANGE_START, RANGE_END = "2024-01-05", "2024-01-20"
@@ -235,7 +233,9 @@ def _labels(spark, sf_dir):
 
 
 def _kept_matrix(spark, sf_dir):
-    m = feat.feature_matrix(td.event_checkins(spark, sf_dir))
+    """Feature matrix after the low-activity cut.  The matrix is written once: the cut
+    reads it three times and the label/factorization queries read the result again."""
+    m = materialize(feat.feature_matrix(td.event_checkins(spark, sf_dir)), "feature-matrix")
     return grid.low_activity_filter(m, None, FIXTURE_MIN_INTERVAL_OBS, FIXTURE_MIN_REGION_OBS)
 
 
@@ -405,7 +405,7 @@ def given_factors(rows: DataFrame, cols: DataFrame, k: int = GIVEN_RANK) -> Data
 
 
 def _coo(spark, sf_dir):
-    return fz.sparse_cells(_kept_matrix(spark, sf_dir))
+    return fz.sparse_cells(_materialized_matrix(spark, sf_dir))
 
 
 @register("sparse_cells")
@@ -429,7 +429,7 @@ def q_predict_cells(spark, sf_dir):
 
 @register("dense_matrix")
 def q_dense_matrix(spark, sf_dir):
-    m = _kept_matrix(spark, sf_dir)
+    m = _materialized_matrix(spark, sf_dir)
     coo, rows, cols = fz.sparse_cells(m)
     mean = fz.nonzero_mean(coo).select("mean").scalar()
     return rounded(fz.dense_matrix(m, given_factors(rows, cols), mean, rows, cols))
@@ -448,9 +448,7 @@ def q_matrix_shape(spark, sf_dir):
 
 
 def _materialized_matrix(spark, sf_dir):
-    path = scratch_path(spark, "kept-matrix")
-    _kept_matrix(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return materialize(_kept_matrix(spark, sf_dir), "kept-matrix")
 
 
 @register("densify_sgd")

@@ -51,3 +51,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/regionpulse-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to the shared checkpoint folder and return the re-read table.
+
+    Used where a (small, derived) table has several consumers: Spark would otherwise
+    re-expand and recompute its whole plan for each of them.  The written table also
+    cuts the lineage, so a lost executor costs one stage, not the whole chain."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
