@@ -175,7 +175,10 @@ def assign_region(
     Points outside every polygon are dropped, or kept with region 'Other' when
     ``keep_other``.
     """
-    index = polygon_index(regions, cell)
+    # built once (several shuffles over the polygon table), then size-checked and joined
+    from regionpulse.session import materialize
+
+    index = materialize(polygon_index(regions, cell), "polygon-index")
     if _estimated_bytes(index) <= broadcast_limit_bytes:
         index = F.broadcast(index)
     c = F.lit(float(cell))
