@@ -530,3 +530,11 @@ SELECT {FM_COLS}, label FROM aligned WHERE region = (SELECT min(region) FROM ali
 SQL["preview_features"] = with_(CHECKINS, CELL_USER, FIRST_VISITS, GRID, FEATURE_MATRIX_BODY) + f"""
 SELECT {FM_COLS} FROM fm ORDER BY t, region LIMIT 5
 """
+
+# windows the watermark (max event time, millisecond precision) has closed
+SQL["streaming_obs_freq"] = with_(CHECKINS) + """
+, wm AS (SELECT date_trunc('millisecond', max(ts)) AS w FROM ck WHERE region IS NOT NULL)
+SELECT t, region, count(user_id) AS obs_freq FROM ck, wm
+WHERE region IS NOT NULL AND t + INTERVAL 3 HOURS <= wm.w
+GROUP BY t, region
+"""

@@ -603,3 +603,20 @@ def q_preview_features(spark, sf_dir):
     """WN5: the first rows of the feature matrix in (t, region) order (the limit is the feature)."""
     m = feat.feature_matrix(td.event_checkins(spark, sf_dir))
     return rounded(m.orderBy("t", "region").limit(5))
+
+
+# ---------------------------------------------------------------- streaming
+
+@register("streaming_obs_freq")
+def q_streaming_obs_freq(spark, sf_dir):
+    """obs_freq per closed 3-hour bin, computed incrementally: the events table is read
+    as a file stream, aggregated with a watermark, appended to a parquet sink (with a
+    checkpoint, so a restart is exactly-once), and the sink is returned."""
+    from regionpulse import streaming as st
+
+    schema = td.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    agg = st.streaming_cell_counts(td.checkins_of_events(stream), "3 hours", watermark="0 seconds")
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    st.write_stream_to_table(agg, out, ckpt).awaitTermination()
+    return spark.read.parquet(out).select("t", "region", "obs_freq")

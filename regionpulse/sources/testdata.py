@@ -24,9 +24,14 @@ def _venue() -> F.Column:
 
 def event_checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, venue_id, region, ts, seq) from the events stream."""
+    return checkins_of_events(table(spark, sf_dir, "events"))
+
+
+def checkins_of_events(events: DataFrame) -> DataFrame:
+    """The check-in rule on an events DataFrame (batch or streaming)."""
     k = _venue()
     return (
-        table(spark, sf_dir, "events")
+        events
         .filter(F.col("event_type") != "error")
         .select(
             "user_id",
