@@ -23,6 +23,7 @@ from pyspark.sql import Window
 from regionpulse.config import FEATURES, PipelineConfig
 from regionpulse.functions import entropy_term, no_negative_zero, ratio, time_bin
 from regionpulse.operators.grid import densify_grid, grid_of
+from regionpulse.session import MATERIALIZE_ABOVE_BYTES, estimated_bytes
 
 DEFAULT = PipelineConfig()
 
@@ -159,20 +160,6 @@ def visitor_ratio(binned: DataFrame, k: int = 4) -> DataFrame:
 
 # ---------------------------------------------------------------- whole matrix
 
-MATERIALIZE_ABOVE_BYTES = 256 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Input volume of a plan: the sum of Catalyst's size estimates of its leaf scans
-    (file sizes scaled by the pruned columns).  Leaves, not the root, because join
-    estimates without column statistics are product-style upper bounds."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # pragma: no cover - no statistics available
-        return MATERIALIZE_ABOVE_BYTES + 1
-
-
 def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT, materialize: bool | None = None) -> DataFrame:
     """JN6 / PF15: the five features on the dense spine x region grid, missing -> 0.
 

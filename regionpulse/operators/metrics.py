@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from regionpulse.functions import ratio
+from regionpulse.session import materialize_if_large
 
 
 def threshold_scores(df: DataFrame, score: str = "score", threshold: float = 0.5, out: str = "prediction") -> DataFrame:
@@ -32,6 +33,8 @@ def roc_auc(
     s = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"))
     s = s.filter(F.col("_s").isNotNull() & F.col("_y").isNotNull())
     ties = s.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p"))
+    # four consumers (bounds, bucket totals, both join sides): write once when large
+    ties = materialize_if_large(ties, "auc-ties")
     lo = ties.agg(F.min("_s").alias("lo")).select("lo").scalar()
     hi = ties.agg(F.max("_s").alias("hi")).select("hi").scalar()
     width = F.try_divide(hi - lo, F.lit(float(buckets)))

@@ -63,3 +63,23 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+MATERIALIZE_ABOVE_BYTES = 256 << 20
+
+
+def estimated_bytes(df) -> int:
+    """Input volume of a plan: the sum of Catalyst's size estimates of its leaf scans
+    (file sizes scaled by the pruned columns).  Leaves, not the root, because join
+    estimates without column statistics are product-style upper bounds."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # pragma: no cover - no statistics available
+        return MATERIALIZE_ABOVE_BYTES + 1
+
+
+def materialize_if_large(df, name: str, threshold: int = MATERIALIZE_ABOVE_BYTES):
+    """``materialize`` when the plan reads more than ``threshold`` bytes, else ``df``:
+    for small inputs one more job costs more than recomputing for each consumer."""
+    return materialize(df, name) if estimated_bytes(df) > threshold else df
