@@ -41,9 +41,13 @@ def obs_freq(binned: DataFrame) -> DataFrame:
     return binned.groupBy("t", "region").agg(F.count("user_id").alias("obs_freq"))
 
 
-def visitor_count(binned: DataFrame) -> DataFrame:
-    """AG2: distinct users per (t, region): (t, region, visitor_count)."""
-    return binned.groupBy("t", "region").agg(F.count_distinct("user_id").alias("visitor_count"))
+def visitor_count(binned: DataFrame, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
+    """AG2: distinct users per (t, region): (t, region, visitor_count).
+
+    ``approximate`` uses HyperLogLog++ (``approx_count_distinct`` with relative
+    standard deviation ``rsd``): fixed-size sketches instead of a distinct pass."""
+    agg = F.approx_count_distinct("user_id", rsd) if approximate else F.count_distinct("user_id")
+    return binned.groupBy("t", "region").agg(agg.alias("visitor_count"))
 
 
 def cell_user_all(binned: DataFrame) -> DataFrame:

@@ -104,3 +104,14 @@ def test_materialized_and_lazy_matrix_agree(spark):
     a = rounded(feat.feature_matrix(ck, PipelineConfig(), materialize=True), 9)
     b = rounded(feat.feature_matrix(ck, PipelineConfig(), materialize=False), 9)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_approximate_visitor_count_close(spark):
+    from tests.conftest import SF001
+    from regionpulse.sources import testdata as td
+
+    b = feat.binned_checkins(td.event_checkins(spark, SF001))
+    exact = {(r["t"], r["region"]): r["visitor_count"] for r in feat.visitor_count(b).collect()}
+    approx = {(r["t"], r["region"]): r["visitor_count"] for r in feat.visitor_count(b, approximate=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert sum(abs(exact[k] - approx[k]) for k in exact) <= 0.02 * sum(exact.values())

@@ -81,3 +81,19 @@ def test_hash_draws_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert utc == ny
+
+
+def test_quiet_intervals_drop_or_zero(spark):
+    import datetime as dt
+
+    from regionpulse.operators import labels as lab
+
+    t1, t2 = dt.datetime(2024, 1, 1, 0), dt.datetime(2024, 1, 1, 3)
+    m = spark.createDataFrame([(t1, "a", 1.0), (t1, "b", 2.0), (t2, "a", 3.0)], "t TIMESTAMP_NTZ, region STRING, x DOUBLE")
+    labels = spark.createDataFrame([(t1, "a", 1)], "t TIMESTAMP_NTZ, region STRING, label INT")
+    drop = {(r["t"], r["region"]): r["label"] for r in lab.align_features_labels(m, labels).collect()}
+    zero = {(r["t"], r["region"]): r["label"] for r in lab.align_features_labels(m, labels, "zero").collect()}
+    assert drop == {(t1, "a"): 1, (t1, "b"): 0}
+    assert zero == {(t1, "a"): 1, (t1, "b"): 0, (t2, "a"): 0}
+    pct = {r["region"]: (r["positives"], r["percent"]) for r in lab.percent_labeled(lab.align_features_labels(m, labels), labels).collect()}
+    assert pct == {"a": (1, 100)}
