@@ -1 +1 @@
-"""End-to-end plans: the registered query catalog, its SQL oracles, and pipelines."""
+"""End-to-end plans: the registered query catalog, its SQL oracles, and the end-to-end build."""

@@ -529,7 +529,7 @@ def q_f1_accuracy(spark, sf_dir):
 
 from regionpulse.operators import models as md  # noqa: E402
 from regionpulse.plans import evaluate as ev  # noqa: E402
-from regionpulse.plans import pipeline as pl  # noqa: E402
+from regionpulse.plans import end_to_end as pl  # noqa: E402
 
 FIXTURE_CONFIG = PipelineConfig(min_interval_obs=FIXTURE_MIN_INTERVAL_OBS, min_region_obs=FIXTURE_MIN_REGION_OBS)
 
