@@ -534,8 +534,17 @@ from regionpulse.plans import end_to_end as pl  # noqa: E402
 FIXTURE_CONFIG = PipelineConfig(min_interval_obs=FIXTURE_MIN_INTERVAL_OBS, min_region_obs=FIXTURE_MIN_REGION_OBS)
 
 
+_BUILT: dict = {}
+
+
 def _dynamic(spark, sf_dir, config=FIXTURE_CONFIG):
-    return pl.build(td.event_checkins(spark, sf_dir), td.event_incidents(spark, sf_dir), config)
+    """The end-to-end build, shared by the model queries of one Spark application: its
+    stages are tables written to the checkpoint folder, so later queries reuse them
+    instead of factorizing again."""
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    if key not in _BUILT:
+        _BUILT[key] = pl.build(td.event_checkins(spark, sf_dir), td.event_incidents(spark, sf_dir), config)
+    return _BUILT[key]
 
 
 @register("dynamic_features")
