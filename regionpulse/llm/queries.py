@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionpulse.llm import fst_tokens, host_rules, interleave, license_scan, mixing
-from regionpulse.llm import bpe_segment
+from regionpulse.llm import (
+    backoff_lm,
+    bpe_segment,
+    fst_tokens,
+    host_rules,
+    interleave,
+    license_scan,
+    merkle,
+    mixing,
+    pii_sanitize,
+    tensor_minhash,
+)
 from regionpulse.llm.common import documents
 
 
@@ -18,6 +28,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(documents(spark, sf_dir))
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_quality(documents(spark, sf_dir), keep_columns=["doc_id"])
 
@@ -36,10 +50,25 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_pii_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_sanitize.find(documents(spark, sf_dir))
+    count = [F.size(F.array_remove(F.transform("spans", lambda s: s["kind_no"] == n), False)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii_sanitize.KINDS)]
+    return found.select("doc_id", *count, F.sha2(F.encode(pii_sanitize.written(F.col("spans")), "UTF-8"), 256).alias("base_sha256"),
+                        pii_sanitize.written(F.col("all_spans")).alias("spans"))
+
+
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     coded = bpe_segment.bpe_round_trip(docs, _vocabulary("word_bpe_49k.json"))
@@ -47,6 +76,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_host_quality, op3_fst_token_counts, op4_stratified_interleave, op5_license_scan, op8_mix_sources, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_merkle_fingerprints, op2_host_quality, op3_fst_token_counts, op4_stratified_interleave, op5_license_scan, op6_pii_sanitize, op7_backoff_scores, op8_mix_sources, op9_tensor_minhash, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {}
