@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from regionpulse.session import materialize
 
-__all__ = ["WORD", "documents", "let", "text_or_empty", "words", "word_count", "source_key", "order_key", "materialize",
+__all__ = ["WORD", "documents", "vocabulary", "let", "text_or_empty", "words", "word_count", "source_key", "order_key", "materialize",
            "small_batches", "join_measured"]
 
 #: a word of the contracts: a run without space, tab, newline, \x0B, \x0C or carriage return
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

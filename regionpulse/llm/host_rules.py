@@ -97,20 +97,31 @@ def host_verdicts(measures: DataFrame, host_key: str = "host_key", limits: dict[
     return out.select(host_key, "n_docs", *[f"rate_{r}" for r in rules], failed.alias("host_failed"))
 
 
-def host_quality(docs: DataFrame, host: str = "source", text: str = "text", keep_columns: list[str] | None = None,
-                 limits: dict[str, float] | None = None) -> DataFrame:
-    """``keep_columns`` of ``docs`` (default: all but the text) with the measures,
-    ``base_failed``, ``host_failed`` and ``kept``.
-
-    Writes the measured rows once to the shared folder, as both the hosts' rates and the
-    final rows come from them."""
-    keep = [c for c in (keep_columns if keep_columns is not None else [c for c in docs.columns if c != text])
-            if c not in {*MEASURES, "base_failed", "host_failed", "kept", "host_key"}]
-    rows = materialize(measured(docs.withColumn("host_key", source_key(host)), text)
-                       .select(*[f"`{c}`" for c in keep], "host_key", *MEASURES, "base_failed"), "host-measures")
+def _judged(rows: DataFrame, text: str, columns: list[str], limits: dict[str, float] | None) -> DataFrame:
+    """``columns`` with measures and verdicts; ``rows`` has ``host_key`` and the text.
+
+    The measured rows are written once to the shared folder, as both the hosts' rates and
+    the final rows come from them."""
+    rows = materialize(measured(rows, text).select(*[f"`{c}`" for c in columns], "host_key", *MEASURES, "base_failed"), "host-measures")
     # the few failing hosts only; all others pass
     bad = host_verdicts(rows, limits=limits).filter("host_failed").select("host_key", "host_failed")
     return (join_measured(rows, bad, "host_key", "left")
             .withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
-            .select(*[f"`{c}`" for c in keep], *MEASURES, "base_failed", "host_failed", "kept"))
+            .select(*[f"`{c}`" for c in columns], *MEASURES, "base_failed", "host_failed", "kept"))
+
+
+def host_quality(docs: DataFrame, host: str = "source", text: str = "text", keep_columns: list[str] | None = None,
+                 limits: dict[str, float] | None = None) -> DataFrame:
+    """``keep_columns`` of ``docs`` (default: all but the text) with the measures,
+    ``base_failed``, ``host_failed`` and ``kept``; clashing names are replaced."""
+    columns = [c for c in (keep_columns if keep_columns is not None else [c for c in docs.columns if c != text])
+               if c not in {*MEASURES, "base_failed", "host_failed", "kept", "host_key"}]
+    wanted = docs.select(*[docs[c] for c in columns], docs[text].alias("_text"), source_key(host).alias("host_key"))
+    return _judged(wanted, "_text", columns, limits)
+
+
+def passing(docs: DataFrame, host: str = "source", text: str = "text", limits: dict[str, float] | None = None) -> DataFrame:
+    """The kept rows of ``docs``, all its columns as they were."""
+    wanted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs[text].alias("_text"), source_key(host).alias("host_key"))
+    return _judged(wanted, "_text", ["_row"], limits).filter("kept").select("_row.*")

@@ -55,12 +55,12 @@ def permuted(index: Column, size: Column, salt: Column) -> Column:
     """Place of ``index`` under a pseudorandom permutation of 0 .. size - 1 chosen by ``salt``."""
     pick = F.pmod(salt, F.lit(len(PRIMES)))
     turned = [F.when(F.pmod(size, p) != 0, p) for p in (F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(pick + k, F.lit(len(PRIMES))) + 1).cast("int")) for k in range(len(PRIMES)))]
-    return F.pmod(F.coalesce(*turned, F.lit(1)) * index + F.pmod(F.xxhash64(salt, F.lit("shift")), size), size)
+    return F.pmod(F.coalesce(*turned, F.lit(1)) * index + F.pmod(salt, size), size)
 
 
 def uniform(*parts: Column) -> Column:
     """A pseudorandom number in [0, 1) from the given values."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+    return order_key("uniform", *parts) / F.lit(float(1 << 60))
 
 
 def rows_of(docs: DataFrame, mix: Mixture, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -111,8 +111,8 @@ def slots(src: DataFrame, mix: Mixture, run: int = 4096) -> DataFrame:
             .repartition("source_key", "_run"))
     one = (runs.withColumn("_j", F.explode(F.expr(f"sequence(_run * {run}, least((_run + 1) * {run}, slot_end - slot_start) - 1)")))
            .withColumn("_pass", F.expr("_j div n_blocks")))
-    place = permuted(F.col("slot_start") + F.col("_j"), F.col("_total"), F.xxhash64(F.lit(mix.seed), F.lit("strata")))
-    block = permuted(F.expr("_j % n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(mix.seed), F.col("source_key"), F.col("_pass")))
+    place = permuted(F.col("slot_start") + F.col("_j"), F.col("_total"), order_key(mix.seed, F.lit("strata")))
+    block = permuted(F.expr("_j % n_blocks"), F.col("n_blocks"), order_key(mix.seed, F.col("source_key"), F.col("_pass")))
     return (one.withColumn("_place", place)
             .select(F.expr(f"_place div {mix.shard_slots}").alias("shard"), F.expr(f"_place % {mix.shard_slots}").alias("slot"),
                     "source_key", block.alias("block")))
@@ -134,14 +134,30 @@ def taken_words(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id
     src = materialize(targets(rows, mix), "mix-sources")
     used = slots(src, mix).groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("times"))
     buckets = max(1, math.isqrt(rows.count()))
-    at = stream(rows, buckets).withColumn("_row", F.struct("_key", "doc_id", "start"))
+    at = stream(rows, buckets)
     size, start = F.col("size"), F.col("start")
     pieces = (at.filter("size > 0")
               .withColumn("block", F.explode(F.expr(f"sequence(start div {mix.block_words}, (start + size - 1) div {mix.block_words})")))
               .withColumn("_words", F.least(start + size, (F.col("block") + 1) * mix.block_words) - F.greatest(start, F.col("block") * mix.block_words)))
     got = (pieces.join(used, ["source_key", "block"])
            .groupBy("source_key", "_key", "doc_id", "start", "size").agg(F.sum(F.col("_words") * F.col("times")).alias("taken")))
-    empty = at.filter("size = 0").select("doc_id", "size", "source_key", F.lit(0).cast("long").alias("taken"))
-    met = at.filter("size > 0").join(got, ["source_key", "_key", "doc_id", "start", "size"], "left").select("doc_id", "size", "source_key", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    kept = ["doc_id", "size", "source_key", "_key"]
+    empty = at.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
+    met = at.filter("size > 0").alias("r").join(got.alias("g"), (F.col("r.source_key") == F.col("g.source_key")) & (F.col("r._key") == F.col("g._key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.start") == F.col("g.start")), "left")
+    met = met.select(*[f"r.{c}" for c in kept], F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"))
     return (join_measured(met.unionByName(empty), src.select("source_key", "source_size", "target"), "source_key")
-            .select("doc_id", "size", "source_size", "target", "taken", "source_key"))
+            .select("doc_id", "size", "source_size", "target", "taken", "_key"))
+
+
+def resample(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` as whole documents in the mix's proportions: each as often as its words were
+    taken per word it has, rounded up or down by a number drawn from its id and text, so
+    that the expected words of a source are those the mix took.  Columns stay; documents
+    without words are not in the mix; equal rows are repeated equally."""
+    taken = (taken_words(docs, mix, doc_id, text, source).filter("size > 0").groupBy("_key").agg((F.sum("taken") / F.sum("size")).alias("_times"))
+             .withColumn("_copies", F.floor(F.col("_times") + uniform(F.lit(mix.seed), F.col("_key"))).cast("int")).filter("_copies > 0")
+             .select(F.col("_key").alias("_taken_key"), "_copies"))
+    taken = materialize(taken, "mix-copies")
+    keyed = docs.withColumn("_row_key", order_key(mix.seed, F.col(doc_id), F.crc32(F.encode(text_or_empty(text), "UTF-8"))))
+    met = join_measured(keyed, taken, F.col("_row_key") == F.col("_taken_key"))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])

@@ -19,13 +19,7 @@ from regionpulse.llm import (
     pii_sanitize,
     tensor_minhash,
 )
-from regionpulse.llm.common import documents
-
-
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from regionpulse.llm.common import documents, vocabulary
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +32,7 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return fst_tokens.token_counts(docs, _vocabulary("byte_bpe_50k.json"))
+    return fst_tokens.token_counts(docs, vocabulary("byte_bpe_50k.json"))
 
 
 def op4_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +65,7 @@ def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe_segment.bpe_round_trip(docs, _vocabulary("word_bpe_49k.json"))
+    coded = bpe_segment.bpe_round_trip(docs, vocabulary("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

@@ -253,3 +253,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates (the one with the smallest
+    id), all columns as they were.  Of rows that share an id the one with the smallest text
+    stays; rows without an id all stay."""
+    marked = near_duplicates(docs, doc_id, text, **options)
+    dropped = materialize(marked.filter("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), "near-dropped")
+    left = join_measured(docs, dropped, doc_id, "left_anti")
+    repeated = materialize(docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").select(doc_id), "near-repeated")
+    if not repeated.limit(1).count():
+        return left
+    once = join_measured(left, repeated, doc_id, "left_anti")
+    again = join_measured(left, repeated, doc_id, "left_semi").withColumn("_at", F.row_number().over(W.partitionBy(doc_id).orderBy(text))).filter("_at = 1").drop("_at")
+    return once.unionByName(again)
