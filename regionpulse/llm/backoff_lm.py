@@ -43,7 +43,7 @@ END, START = np.uint64(1), np.uint64(2)
 class BackoffModel:
     add: float = 0.1
     mu: float = 20.0
-    rows_per_block: int = 4000
+    rows_per_block: int = 2000
 
 
 def held_out(doc_id: int | None) -> bool:
