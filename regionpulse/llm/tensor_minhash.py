@@ -157,7 +157,7 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     """(node, comp): the smallest id reachable, for every id that has a link.
 
     Large-star gives every larger neighbour the smallest one around, small-star does the
-    same among the smaller; both keep connectivity, and rounds end when nothing changes."""
+    same among the smaller; both keep connectivity, and rounds end when only stars are left."""
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))) if larger else pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -165,16 +165,18 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
         out = met.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")) if larger else met.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
         return out.filter("a != b").distinct()
 
-    now, mark = materialize(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name), None
+    now = links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for _ in range(most_rounds):
         now = materialize(star(star(now, True), False), name)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        # settled: every larger end has one link, and no smaller end is a larger one elsewhere
+        ends = now.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select(F.col("b").alias("node"), "n", F.lit(False).alias("hub"))
+        hubs = now.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("hub")).distinct()
+        seen = ends.union(hubs).groupBy("node").agg(F.count(F.lit(1)).alias("roles"), F.max("n").alias("n")).filter("roles > 1 or n > 1")
+        if not seen.limit(1).count():
             break
-        mark = tuple(seen)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")).union(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+    return now.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
 def cross_pairs(members: DataFrame, count: int, least: float = 0.55, threshold: int = THRESHOLD) -> DataFrame:
@@ -247,7 +249,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_members = placed.join(mixed, "key", "left_semi").join(reps.select("rep", "sig"), "rep")
     # links already confirmed have one component, so no pair is confirmed twice
     second = materialize(confirmed(cross_pairs(open_members, 2 * k * m, threshold=threshold), texts, width, threshold), "near-links")
-    final = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).filter("a != b").union(second)).withColumnRenamed("node", "rep")
+    joined = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).filter("a != b").union(second)
+    final = (components(joined) if second.limit(1).count() else comps).withColumnRenamed("node", "rep")
     of_set = classes.join(final, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "set_id").join(of_set, "set_id", "left")
     component = F.coalesce("comp", "doc_id")
