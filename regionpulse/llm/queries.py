@@ -20,6 +20,7 @@ from regionpulse.llm import (
     tensor_minhash,
 )
 from regionpulse.llm.common import documents, vocabulary
+from regionpulse.llm.oracles import SQL
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,3 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_merkle_fingerprints, op2_host_quality, op3_fst_token_counts, op4_stratified_interleave, op5_license_scan, op6_pii_sanitize, op7_backoff_scores, op8_mix_sources, op9_tensor_minhash, op10_bpe_round_trip)
 }
-SQL: dict[str, str] = {}
