@@ -20,8 +20,15 @@ class PipelineConfig:
     regularization: float = 0.001
     epochs: int = 20
     error_scale: float = 2.0
-    # stratified SGD: number of row/column blocks; None = pick from data size
-    blocks: int | None = None
+    # stratified SGD: number of row/column blocks.  Part of the model (it fixes the order of
+    # the updates), so never taken from data size or cores; raise it with the cluster
+    blocks: int = 4
+    # evaluation models
+    forest_depth: int = 30
+    fourier_components: int = 100
+    train_partitions: int = 8
+    network_iterations: int = 100
+    score_threshold: float = 0.5
     keep_observed: bool = False
     # sampling / evaluation
     seed: int = 0

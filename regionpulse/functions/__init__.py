@@ -6,7 +6,9 @@ from regionpulse.functions.exprs import (
     instant_to_ntz,
     interval_expr,
     l2_norm,
+    ntz_epoch_micros,
     ntz_epoch_seconds,
+    ntz_from_epoch_micros,
     ntz_to_instant,
     no_negative_zero,
     ratio,
@@ -23,7 +25,9 @@ __all__ = [
     "entropy_term",
     "instant_to_ntz",
     "interval_expr",
+    "ntz_epoch_micros",
     "ntz_epoch_seconds",
+    "ntz_from_epoch_micros",
     "ntz_to_instant",
     "l2_norm",
     "no_negative_zero",

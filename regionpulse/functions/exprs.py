@@ -59,6 +59,16 @@ def ntz_epoch_seconds(ts) -> Column:
     return F.timestamp_diff("SECOND", F.expr(_NTZ_EPOCH), _col(ts))
 
 
+def ntz_epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ wall clock (zone independent)."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_NTZ_EPOCH), _col(ts))
+
+
+def ntz_from_epoch_micros(micros) -> Column:
+    """The TIMESTAMP_NTZ wall clock that many microseconds after 1970-01-01."""
+    return F.timestamp_add("MICROSECOND", _col(micros), F.expr(_NTZ_EPOCH))
+
+
 def ntz_to_instant(ts) -> Column:
     """TIMESTAMP_NTZ wall clock read as UTC -> TIMESTAMP instant (zone independent)."""
     micros = F.timestamp_diff("MICROSECOND", F.expr(_NTZ_EPOCH), _col(ts))

@@ -37,4 +37,4 @@ def lenient_time(c, fmt: str = TIME_FORMAT) -> Column:
 def combine_date_time(date_col, time_col) -> Column:
     """Timestamp (NTZ) from a DATE and an 'HH:mm:ss' string."""
     text = F.concat_ws(" ", F.date_format(_col(date_col), "yyyy-MM-dd"), _col(time_col))
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return text.try_cast("timestamp_ntz")  # no session zone, so no hour that a zone skips

@@ -8,10 +8,13 @@ reference's update order (biases first, then P_i, then Q_j with the *updated* P_
 stratified SGD (Gemulla et al., KDD 2011): rows and columns are hashed into d blocks;
 stratum s pairs row block r with column block (r + s) mod d.  Blocks of one stratum
 share no row and no column, so they are updated in parallel by a cogrouped
-``applyInPandas`` and one epoch equals a sequential pass in stratum order.  The
-state (one row per interval / column: bias + factor array) is written to the shared
-checkpoint folder every few epochs (default 5), which bounds the lineage and the
-work a lost executor can cost.
+``applyInPandas`` and one epoch equals a sequential pass in stratum order.  Inside a
+block, cells run as array operations in batches that share no row and no column, which
+keeps the sequential result.  The state (one row per interval / column: bias + factor
+array) is written to the shared checkpoint folder after a bounded number of strata, which
+bounds the lineage and the work a lost executor can cost.
+
+Fitting runs Spark jobs when these functions are called; what they return is lazy again.
 
 ``densify_als`` fits the same biased model to convergence: biases by aggregation,
 then MLlib ALS on the residuals.
@@ -34,7 +37,7 @@ from regionpulse.config import FEATURES, PipelineConfig
 from regionpulse.functions import dot
 from regionpulse.operators.features import feature_long
 from regionpulse.operators.grid import dense_ids
-from regionpulse.session import scratch_path
+from regionpulse.session import materialize
 
 STATE_SCHEMA = "side STRING, id BIGINT, bias DOUBLE, factors ARRAY<DOUBLE>"
 
@@ -129,38 +132,60 @@ def dense_matrix(matrix: DataFrame, factors: DataFrame, mean, rows: DataFrame, c
 
 # ------------------------------------------------------------------ initialisation
 
-def _gauss(seed: int, side: int, ident: int, k: int) -> np.ndarray:
-    return np.random.default_rng([seed, side, ident]).normal(0.0, 1.0 / k, k)
+def gauss(seed: int, side, ident, k, rank: int):
+    """N(0, 1/rank) from a hash of (seed, side, id, k): two uniforms, Box-Muller."""
+    def uniform(which: int):
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), side, ident, k, F.lit(which)), 11)
+        return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.sqrt(-2.0 * F.log(uniform(0))) * F.cos(F.lit(2 * math.pi) * uniform(1)) / F.lit(float(rank))
 
 
 def init_factors(rows: DataFrame, cols: DataFrame, rank: int, seed: int = 0) -> DataFrame:
-    """MF9: N(0, 1/K) factors (deterministic per id), zero biases."""
-    ids = rows.select(F.lit("P").alias("side"), F.col("i").alias("id")).unionByName(
-        cols.select(F.lit("Q").alias("side"), F.col("j").alias("id"))
+    """MF9: N(0, 1/K) factors (a function of seed, side, id and place), zero biases."""
+    ids = rows.select(F.lit("P").alias("side"), F.col("i").cast("long").alias("id")).unionByName(
+        cols.select(F.lit("Q").alias("side"), F.col("j").cast("long").alias("id"))
     )
-
-    def gen(it):
-        for pdf in it:
-            sides = pdf["side"].to_numpy()
-            idv = pdf["id"].to_numpy()
-            facs = [_gauss(seed, 0 if s == "P" else 1, int(i), rank).tolist() for s, i in zip(sides, idv)]
-            yield pd.DataFrame({"side": sides, "id": idv, "bias": np.zeros(len(idv)), "factors": facs})
-
-    return ids.mapInPandas(gen, STATE_SCHEMA)
+    facs = F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda k: gauss(seed, F.col("side"), F.col("id"), k, rank))
+    return ids.select("side", "id", F.lit(0.0).alias("bias"), facs.alias("factors"))
 
 
 # ------------------------------------------------------------------ stratified SGD
 
-def sgd_block(b, P, Q, bp, bq, ii, jj, vv, alpha, beta, error_scale):
-    """Sequential per-cell updates over local arrays, in the given order (in place)."""
-    for pi, qj, r in zip(ii, jj, vv):
-        p = P[pi]
-        q = Q[qj]
-        e = r - (b + bp[pi] + bq[qj] + p.dot(q))
-        bp[pi] += alpha * (e - beta * bp[pi])
-        bq[qj] += alpha * (e - beta * bq[qj])
-        p += alpha * (error_scale * e * q - beta * p)
-        q += alpha * (error_scale * e * p - beta * q)
+def conflict_free_batches(ii: np.ndarray, jj: np.ndarray) -> list[np.ndarray]:
+    """Positions of an ordered list of cells in batches that share no row and no column.
+
+    A cell goes one batch after the last earlier cell of its row or column, so running the
+    batches in order, each at once, gives what running the cells one by one gives."""
+    row_next: dict[int, int] = {}
+    col_next: dict[int, int] = {}
+    batch = np.empty(len(ii), np.int64)
+    for n, (i, j) in enumerate(zip(ii.tolist(), jj.tolist())):
+        at = max(row_next.get(i, 0), col_next.get(j, 0))
+        batch[n] = at
+        row_next[i] = col_next[j] = at + 1
+    order = np.argsort(batch, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(batch[order])) + 1) if len(order) else []
+
+
+def update_batches(mean, P, Q, bp, bq, ii, jj, vv, alpha, beta, error_scale) -> None:
+    """MF4, in place: biases first, then row factors, then column factors from the new row factors."""
+    for at in conflict_free_batches(ii, jj):
+        i, j = ii[at], jj[at]
+        p, q, b_i, b_j = P[i], Q[j], bp[i], bq[j]
+        miss = vv[at] - (mean + b_i + b_j + np.einsum("nk,nk->n", p, q))
+        bp[i] = b_i + alpha * (miss - beta * b_i)
+        bq[j] = b_j + alpha * (miss - beta * b_j)
+        step = (error_scale * miss)[:, None]
+        p = p + alpha * (step * q - beta * p)
+        P[i] = p
+        Q[j] = q + alpha * (step * p - beta * q)
+
+
+def _positions(index: pd.Index, ids: np.ndarray, side: str) -> np.ndarray:
+    at = index.get_indexer(ids)
+    if len(at) and at.min() < 0:
+        raise ValueError(f"ratings name {side} ids that have no factors: {ids[at < 0][:5].tolist()}")
+    return at
 
 
 def _block_order(n: int, seed: int, epoch: int, stratum: int, block: int) -> np.ndarray:
@@ -169,33 +194,21 @@ def _block_order(n: int, seed: int, epoch: int, stratum: int, block: int) -> np.
 
 def _make_update(mean, alpha, beta, error_scale, seed, epoch, stratum, shuffle):
     def update(key, state: pd.DataFrame, ratings: pd.DataFrame) -> pd.DataFrame:
-        if len(ratings) == 0 or len(state) == 0:
+        if len(ratings) == 0:
             return state[["side", "id", "bias", "factors"]]
-        ps = state[state["side"] == "P"].sort_values("id")
-        qs = state[state["side"] == "Q"].sort_values("id")
-        P = np.array(ps["factors"].tolist(), dtype=np.float64)
-        Q = np.array(qs["factors"].tolist(), dtype=np.float64)
-        bp = ps["bias"].to_numpy(dtype=np.float64).copy()
-        bq = qs["bias"].to_numpy(dtype=np.float64).copy()
-        pidx = pd.Index(ps["id"].to_numpy())
-        qidx = pd.Index(qs["id"].to_numpy())
+        sides = {s: state[state["side"] == s].sort_values("id") for s in ("P", "Q")}
+        factors = {s: np.array(x["factors"].tolist(), dtype=np.float64) for s, x in sides.items()}
+        biases = {s: x["bias"].to_numpy(dtype=np.float64).copy() for s, x in sides.items()}
         r = ratings.sort_values(["i", "j"], kind="mergesort")
         order = _block_order(len(r), seed, epoch, stratum, int(key[0])) if shuffle else np.arange(len(r))
-        ii = pidx.get_indexer(r["i"].to_numpy())[order]
-        jj = qidx.get_indexer(r["j"].to_numpy())[order]
-        vv = r["value"].to_numpy(dtype=np.float64)[order]
-        sgd_block(mean, P, Q, bp, bq, ii, jj, vv, alpha, beta, error_scale)
-        out_p = pd.DataFrame({"side": "P", "id": ps["id"].to_numpy(), "bias": bp, "factors": list(P)})
-        out_q = pd.DataFrame({"side": "Q", "id": qs["id"].to_numpy(), "bias": bq, "factors": list(Q)})
-        return pd.concat([out_p, out_q], ignore_index=True)
+        ii = _positions(pd.Index(sides["P"]["id"].to_numpy()), r["i"].to_numpy(), "row")[order]
+        jj = _positions(pd.Index(sides["Q"]["id"].to_numpy()), r["j"].to_numpy(), "column")[order]
+        update_batches(mean, factors["P"], factors["Q"], biases["P"], biases["Q"], ii, jj, r["value"].to_numpy(dtype=np.float64)[order], alpha, beta, error_scale)
+        return pd.concat([pd.DataFrame({"side": s, "id": x["id"].to_numpy(), "bias": biases[s], "factors": list(factors[s])}) for s, x in sides.items()], ignore_index=True)
 
     return update
 
 
-def _auto_blocks(n_ratings: int, parallelism: int) -> int:
-    return int(max(1, min(parallelism, math.ceil(n_ratings / 250_000))))
-
-
 def densify_sgd(
     coo: DataFrame,
     rows: DataFrame,
@@ -204,56 +217,47 @@ def densify_sgd(
     track_history: bool = True,
     shuffle: bool = True,
     init: DataFrame | None = None,
-    checkpoint_every: int = 5,
+    strata_per_write: int = 20,
 ) -> FactorModel:
     """MF2 + MF4 + MF8 + MF9: stratified distributed SGD; returns the fitted model.
 
-    The state is written every ``checkpoint_every`` epochs (and after the last); the
-    epochs in between chain their stratum cogroups lazily into one job.  A lost
-    executor then recomputes at most that many epochs from the last written state."""
+    ``config.blocks`` (d) decides the visiting order and so the fitted numbers; neither data
+    size nor cores do.  The state is written after every ``strata_per_write`` strata (and
+    after the last, and each epoch when the history is tracked); the cogroups in between
+    chain lazily into one job, which is all that a lost executor can cost."""
     spark = coo.sparkSession
-    K, alpha, beta, es = config.rank, config.learning_rate, config.regularization, float(config.error_scale)
+    alpha, beta, es, d = config.learning_rate, config.regularization, float(config.error_scale), config.blocks
     stats = coo.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).first()
-    n, mean = int(stats["n"]), float(stats["mean"] or 0.0)
-    d = config.blocks or _auto_blocks(n, spark.sparkContext.defaultParallelism)
+    mean = float(stats["mean"] or 0.0)
 
-    def rblock(c):
-        return F.pmod(F.xxhash64(F.col(c)), F.lit(d)) if d > 1 else F.lit(0).cast("long")
+    def block(c):
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(d))
 
     # ratings with their blocks, written once: every stratum re-reads a slice
-    rpath = scratch_path(spark, "sgd-ratings")
-    coo.select(
-        "i", "j", F.col("value").cast("double").alias("value"),
-        rblock("i").alias("rb"), rblock("j").alias("cb"),
-    ).withColumn("stratum", F.pmod(F.col("cb") - F.col("rb"), F.lit(d))).write.parquet(rpath)
-    ratings = spark.read.parquet(rpath)
-
-    state = init if init is not None else init_factors(rows, cols, K, config.seed)
-    spath = scratch_path(spark, "sgd-state-0")
-    state.write.parquet(spath)
-    state = spark.read.parquet(spath)
-
-    history = []
+    ratings = materialize(coo.select(
+        F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"),
+    ).withColumn("rb", block("i")).withColumn("cb", block("j")).withColumn("stratum", F.pmod(F.col("cb") - F.col("rb"), F.lit(d))), "sgd-ratings")
+    state = materialize(init if init is not None else init_factors(rows, cols, config.rank, config.seed), "sgd-state")
+
+    history, pending = [], 0
     for epoch in range(config.epochs):
         for s in range(d):
-            # P keeps its row block as group; Q block c meets row block (c - s) mod d
-            blk = F.when(F.col("side") == "P", rblock("id")).otherwise(F.pmod(rblock("id") - F.lit(s), F.lit(d)))
-            # exactly d groups: hash both sides into d partitions so the cogroup runs
-            # d tasks (not spark.sql.shuffle.partitions mostly-empty ones)
-            st = state.withColumn("g", blk).repartition(d, "g")
-            rs = ratings.filter(F.col("stratum") == s).select(F.col("rb").alias("g"), "i", "j", "value").repartition(d, "g")
+            # P keeps its row block as group; Q block c meets row block (c - s) mod d.
+            # Group g goes to partition g: d tasks, one block each
+            blk = F.when(F.col("side") == "P", block("id")).otherwise(F.pmod(block("id") - F.lit(s), F.lit(d)))
+            st = state.withColumn("g", blk).repartitionById(d, F.col("g").cast("int"))
+            rs = ratings.filter(F.col("stratum") == s).select(F.col("rb").alias("g"), "i", "j", "value").repartitionById(d, F.col("g").cast("int"))
             fn = _make_update(mean, alpha, beta, es, config.seed, epoch, s, shuffle)
             state = st.groupBy("g").cogroup(rs.groupBy("g")).applyInPandas(fn, STATE_SCHEMA)
-        last = epoch == config.epochs - 1
-        if track_history or last or (epoch + 1) % max(1, checkpoint_every) == 0:
-            spath = scratch_path(spark, f"sgd-state-{epoch + 1}")
-            state.write.parquet(spath)  # lineage cut + recovery point
-            state = spark.read.parquet(spath)
+            pending += 1
+            end = s == d - 1
+            if pending >= strata_per_write or end and (track_history or epoch == config.epochs - 1):
+                state, pending = materialize(state, "sgd-state"), 0  # lineage cut + recovery point
         if track_history:
             h = fit_error(ratings.select("i", "j", "value"), state, mean, beta).first()
-            history.append((epoch, int(h["n"]), float(h["sse"]), float(h["rmse"]), float(h["root_sse"]), float(h["cost"])))
+            history.append((epoch, int(h["n"]), float(h["sse"] or 0.0), float(h["rmse"] or 0.0), float(h["root_sse"] or 0.0), float(h["cost"] or 0.0)))
     hist_df = spark.createDataFrame(history, "epoch INT, n BIGINT, sse DOUBLE, rmse DOUBLE, root_sse DOUBLE, cost DOUBLE") if track_history else None
-    return FactorModel(state, mean, K, hist_df)
+    return FactorModel(state, mean, config.rank, hist_df)
 
 
 # ------------------------------------------------------------------ ALS alternative
@@ -280,24 +284,27 @@ def densify_als(
         F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
         (F.col("value") - mean - F.col("bi") - F.col("bj")).alias("r"),
     )
-    ckpt = scratch_path(spark, "als-resid")
-    resid.write.parquet(ckpt)
-    resid = spark.read.parquet(ckpt)
+    resid = materialize(resid, "als-resid")
     als = ALS(
         rank=config.rank, maxIter=max_iter, regParam=config.regularization / float(config.error_scale),
         userCol="i", itemCol="j", ratingCol="r", nonnegative=False, seed=config.seed,
         coldStartStrategy="nan", checkpointInterval=5,
     )
-    model = als.fit(resid)
+    model = als.fit(resid) if resid.limit(1).count() else None  # nothing to fit: every cell is the mean
     to_d = F.transform("features", lambda x: x.cast("double"))
-    p = model.userFactors.select(F.lit("P").alias("side"), F.col("id").cast("long").alias("id"), to_d.alias("factors"))
-    q = model.itemFactors.select(F.lit("Q").alias("side"), F.col("id").cast("long").alias("id"), to_d.alias("factors"))
-    p = p.join(bi.select(F.col("i").alias("id"), F.col("bi").alias("bias")), "id", "left")
-    q = q.join(bj.select(F.col("j").alias("id"), F.col("bj").alias("bias")), "id", "left")
-    facs = p.unionByName(q).select("side", "id", F.coalesce("bias", F.lit(0.0)).alias("bias"), "factors")
-    fpath = scratch_path(spark, "als-factors")
-    facs.write.parquet(fpath)
-    return FactorModel(spark.read.parquet(fpath), mean, config.rank)
+
+    def side(name: str, ids: DataFrame, key: str, fitted: DataFrame, bias: DataFrame, bias_name: str) -> DataFrame:
+        # ids without a rating: zero factors and bias, so their cells are predicted too
+        return (ids.select(F.col(key).cast("long").alias("id")).distinct()
+                .join(fitted.select(F.col("id").cast("long").alias("id"), to_d.alias("factors")), "id", "left")
+                .join(bias.select(F.col(key).cast("long").alias("id"), F.col(bias_name).alias("bias")), "id", "left")
+                .select(F.lit(name).alias("side"), "id", F.coalesce("bias", F.lit(0.0)).alias("bias"),
+                        F.coalesce("factors", F.array_repeat(F.lit(0.0), config.rank)).alias("factors")))
+
+    empty = spark.createDataFrame([], "id INT, features ARRAY<FLOAT>")
+    user, item = (model.userFactors, model.itemFactors) if model else (empty, empty)
+    facs = side("P", rows, "i", user, bi, "bi").unionByName(side("Q", cols, "j", item, bj, "bj"))
+    return FactorModel(materialize(facs, "als-factors"), mean, config.rank)
 
 
 # ------------------------------------------------------------------ whole step

@@ -5,8 +5,8 @@ Input contract (check-ins): ``user_id, venue_id, region, ts`` and optionally ``s
 are dropped up front (group keys that are NULL are dropped by the reference).
 
 Shuffle plan for ``feature_matrix`` (E = check-in rows):
-  1. E -> partial agg -> exchange (t, region, user)       [cell x user visits]
-  2. E -> partial agg -> exchange (user, venue)           [user x venue counts + first visit]
+  1. E -> partial hash agg -> exchange (t, region, user, venue), written once
+  2. from it: (t, region, user) visits, (user, venue) counts and first-visit keys
   3. cell x user  join  user totals on user                [AQE: broadcast or skew-split]
   4. top-k per user: partial WindowGroupLimit before the exchange on user
   5. small aggregates to (t, region) and the generated grid, joined on (t, region)
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from regionpulse.config import FEATURES, PipelineConfig
-from regionpulse.functions import entropy_term, no_negative_zero, ratio, time_bin
+from regionpulse.functions import entropy_term, no_negative_zero, ntz_from_epoch_micros, ntz_epoch_micros, ratio, time_bin
 from regionpulse.operators.grid import densify_grid, grid_of
-from regionpulse.session import MATERIALIZE_ABOVE_BYTES, estimated_bytes
+from regionpulse.session import materialize as write_once
 
 DEFAULT = PipelineConfig()
 
@@ -50,14 +50,30 @@ def visitor_count(binned: DataFrame, approximate: bool = False, rsd: float = 0.0
     return binned.groupBy("t", "region").agg(agg.alias("visitor_count"))
 
 
-def cell_user_all(binned: DataFrame) -> DataFrame:
-    """The one event-level aggregate behind AG2-AG6: per (t, region, user) the non-null
-    venue count and the row count.  The NULL-user group is kept so that the region
-    list and the time bounds can be read off this table too (one scan, one exchange,
-    reused by every consumer)."""
-    return binned.groupBy("t", "region", "user_id").agg(
-        F.count("venue_id").alias("reg_time_visits"), F.count(F.lit(1)).alias("n_rows")
-    )
+#: room for a file position below the microseconds in a first-visit key
+_SEQ = "CAST(10000000000000000000 AS DECIMAL(20,0))"
+
+
+def event_cells(binned: DataFrame) -> DataFrame:
+    """The one event-level aggregate behind AG2-AG9: per (t, region, user, venue) the row
+    count and ``first``, the smallest (ts, seq) as one number (microseconds * 10^19 + seq).
+
+    All buffers are fixed-width numbers, so both sides of the exchange use a hash
+    aggregate: no sort of the events.  Groups with a NULL user or venue are kept; the region
+    list and the time bounds are read off this table too."""
+    seq = F.coalesce(F.col("seq"), F.lit(0)) if "seq" in binned.columns else F.lit(0)
+    key = F.expr(f"CAST(_us AS DECIMAL(18,0)) * {_SEQ} + CAST(_seq AS DECIMAL(20,0))").cast("decimal(38,0)")
+    keyed = binned.withColumn("_us", ntz_epoch_micros("ts")).withColumn("_seq", seq).withColumn("_key", key)
+    return keyed.groupBy("t", "region", "user_id", "venue_id").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"))
+
+
+def cell_user_all(binned: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Per (t, region, user) the non-null venue count and the row count, the NULL-user
+    group included."""
+    if events is None:
+        return binned.groupBy("t", "region", "user_id").agg(F.count("venue_id").alias("reg_time_visits"), F.count(F.lit(1)).alias("n_rows"))
+    return events.groupBy("t", "region", "user_id").agg(
+        F.sum(F.when(F.col("venue_id").isNotNull(), F.col("n")).otherwise(0)).alias("reg_time_visits"), F.sum("n").alias("n_rows"))
 
 
 def user_cell_visits(binned: DataFrame, cells_all: DataFrame | None = None) -> DataFrame:
@@ -109,18 +125,13 @@ def region_popularity(cells: DataFrame, obs_col: str = "obs_freq") -> DataFrame:
 
 # --------------------------------------------------------------- favourite venues
 
-def user_venue_stats(binned: DataFrame) -> DataFrame:
-    """AG8 + WN2 in one aggregate: visits per (user, venue) and the first visit.
-
-    The first visit is the smallest (ts, seq); its bin and region ride along in the
-    same struct, so no second pass over the events is needed.
-    """
-    seq = F.col("seq") if "seq" in binned.columns else F.lit(None).cast("long")
-    first = F.min(F.struct(F.col("ts"), seq.alias("seq"), F.col("t"), F.col("region")))
+def user_venue_stats(binned: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """AG8 + WN2 in one aggregate: visits per (user, venue) and the key of the first one."""
+    events = event_cells(binned) if events is None else events
     return (
-        binned.filter(F.col("user_id").isNotNull() & F.col("venue_id").isNotNull())
+        events.filter(F.col("user_id").isNotNull() & F.col("venue_id").isNotNull())
         .groupBy("user_id", "venue_id")
-        .agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     )
 
 
@@ -139,18 +150,22 @@ def top_venues(uv: DataFrame, k: int = 4) -> DataFrame:
     return uv.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def first_visits(binned: DataFrame, k: int = 4) -> DataFrame:
-    """JN5 + WN2: first visit of each user's top-k venues: (user_id, venue_id, ts, t, region)."""
-    top = top_venues(user_venue_stats(binned), k)
-    return top.select(
-        "user_id", "venue_id",
-        F.col("first.ts").alias("ts"), F.col("first.t").alias("t"), F.col("first.region").alias("region"),
-    )
+def first_visits(binned: DataFrame, k: int = 4, events: DataFrame | None = None) -> DataFrame:
+    """JN5 + WN2: first visit of each user's top-k venues: (user_id, venue_id, ts, t, region).
+
+    Bin and region of the first visit are fetched for the kept (user, venue) pairs only;
+    of rows that share user, venue, time and position the smallest region counts."""
+    events = event_cells(binned) if events is None else events
+    top = top_venues(user_venue_stats(binned, events), k).select("user_id", "venue_id", "first")
+    met = events.select("user_id", "venue_id", "first", "t", "region").join(top, ["user_id", "venue_id", "first"])
+    one = met.groupBy("user_id", "venue_id", "first", "t").agg(F.min("region").alias("region"))
+    us = F.expr(f"CAST(floor(first / {_SEQ}) AS BIGINT)")
+    return one.select("user_id", "venue_id", ntz_from_epoch_micros(us).alias("ts"), "t", "region")
 
 
-def first_visit_counts(binned: DataFrame, k: int = 4) -> DataFrame:
+def first_visit_counts(binned: DataFrame, k: int = 4, events: DataFrame | None = None) -> DataFrame:
     """AG9 numerator: first visits to top-k venues per (t, region)."""
-    return first_visits(binned, k).groupBy("t", "region").agg(F.count(F.lit(1)).alias("first_visits"))
+    return first_visits(binned, k, events).groupBy("t", "region").agg(F.count(F.lit(1)).alias("first_visits"))
 
 
 def visitor_ratio(binned: DataFrame, k: int = 4) -> DataFrame:
@@ -164,33 +179,21 @@ def visitor_ratio(binned: DataFrame, k: int = 4) -> DataFrame:
 
 # ---------------------------------------------------------------- whole matrix
 
-def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT, materialize: bool | None = None) -> DataFrame:
+def feature_matrix(checkins: DataFrame, config: PipelineConfig = DEFAULT) -> DataFrame:
     """JN6 / PF15: the five features on the dense spine x region grid, missing -> 0.
 
     (t, region, visitor_count, obs_freq, visitor_entropy, visitor_ratio, region_popularity)
 
-    The (t, region, user) aggregate feeds five consumers (counts, entropy, user totals,
-    region list, time bounds).  Column pruning makes their plans differ, so Spark does
-    not reuse the exchange and each would rescan and reshuffle the check-ins.  With
-    ``materialize`` the aggregate is written once to the shared checkpoint folder
-    instead.  ``None`` decides by size: write when the estimated check-in input is
-    above ``MATERIALIZE_ABOVE_BYTES`` (for small inputs one more job costs more than
-    the rescans).
+    ``event_cells`` feeds every other aggregate (counts, entropy, user totals, first visits,
+    region list, time bounds), so it is written once to the shared checkpoint folder when
+    this is called: the check-ins are scanned once, whatever their size.
     """
     binned = binned_checkins(checkins, config.interval)
-    cells_all = cell_user_all(binned)
-    if materialize is None:
-        materialize = estimated_bytes(binned) > MATERIALIZE_ABOVE_BYTES
-    if materialize:
-        from regionpulse.session import scratch_path
-
-        spark = checkins.sparkSession
-        path = scratch_path(spark, "cell-user")
-        cells_all.write.parquet(path)
-        cells_all = spark.read.parquet(path)
+    events = write_once(event_cells(binned), "event-cells")
+    cells_all = cell_user_all(binned, events)
     stats = cell_stats(binned, cells_all)
-    fv = first_visit_counts(binned, config.top_k)
-    grid = grid_of(cells_all.select("region"), cells_all, config.interval)
+    fv = first_visit_counts(binned, config.top_k, events)
+    grid = grid_of(events.select("region"), events, config.interval)
     cells = stats.join(fv, ["t", "region"], "left")
     dense = densify_grid(
         cells, grid, ["visitor_count", "obs_freq", "visitor_entropy", "first_visits"]

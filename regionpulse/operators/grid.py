@@ -96,6 +96,15 @@ def feature_pivot(
     return wide
 
 
+def region_list(df: DataFrame, region_col: str = "region", most: int = 10_000) -> list[str]:
+    """The distinct region names, sorted, for operators that make a column per region; more
+    than ``most`` columns are refused."""
+    names = [r[0] for r in df.select(region_col).filter(F.col(region_col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} regions: too many for a column each")
+    return sorted(names)
+
+
 def region_one_hot(df: DataFrame, regions: Sequence[str], region_col: str = "region", prefix: str = "") -> DataFrame:
     """PF13: one 0/1 integer column per listed region, no pivot pass."""
     return df.select(

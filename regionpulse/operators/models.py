@@ -51,7 +51,7 @@ def fourier_features(df: DataFrame, cols: Sequence[str], components: int = 100,
     return df.withColumn(out, array_to_vector(z))
 
 
-def _estimator(model: str, n_train: int, n_features: int, seed: int):
+def _estimator(model: str, n_train: int, n_features: int, seed: int, max_depth: int = 30, iterations: int = 100):
     from pyspark.ml.classification import (
         LinearSVC,
         LogisticRegression,
@@ -65,31 +65,35 @@ def _estimator(model: str, n_train: int, n_features: int, seed: int):
     if model == "svm":
         return LinearSVC(regParam=reg, standardization=False, maxIter=100)
     if model == "rf":
-        return RandomForestClassifier(numTrees=200, featureSubsetStrategy="sqrt", maxDepth=20,
+        return RandomForestClassifier(numTrees=200, featureSubsetStrategy="sqrt", maxDepth=max_depth,
                                       minInstancesPerNode=1, seed=seed)
     if model == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 5, 2], blockSize=32, maxIter=100, seed=seed)
+        return MultilayerPerceptronClassifier(layers=[n_features, 5, 2], blockSize=32, maxIter=iterations, seed=seed)
     raise ValueError(f"unknown model {model!r}")
 
 
 def fit_score(train: DataFrame, test: DataFrame, cols: Sequence[str], model: str, seed: int = 0,
-              label: str = "label", keep: Sequence[str] = (), rows_per_partition: int = 100_000) -> DataFrame:
-    """Fit ``model`` on ``train`` and score ``test``: (keep..., label, score, prediction)."""
+              label: str = "label", keep: Sequence[str] = (), partitions: int = 8, max_depth: int = 30, components: int = 100,
+              iterations: int = 100, threshold: float | None = None) -> DataFrame:
+    """Fit ``model`` on ``train`` and score ``test``: (keep..., label, score, prediction).
+
+    ``partitions`` is the number of training partitions: explicit, because bagging and
+    summation order depend on it.  ``max_depth`` is the forest's, ``components`` the number of
+    random Fourier features, ``iterations`` the network's.  With ``threshold`` the prediction
+    is score > threshold instead of the model's own."""
     cols = list(cols)
     if model == "svm":
         def featurize(df):
-            return fourier_features(df, cols, seed=seed)
-        n_features = 100
+            return fourier_features(df, cols, components, seed=seed)
+        n_features = components
     else:
         asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
         featurize = asm.transform
         n_features = len(cols)
-    tr = featurize(train).select("features", F.col(label).cast("double").alias("label"))
-    n = tr.count()
-    # iterative solvers run one job per iteration: size partitions to the data
-    # (rows_per_partition rows each) so small fits are not dominated by task overhead
-    tr = tr.repartition(max(1, math.ceil(n / rows_per_partition)))
-    est = _estimator(model, n, n_features, seed)
+    n = train.count()  # of the regularization: 1 / (C n)
+    # dealt by content, so the same rows train together whatever the input's layout
+    tr = featurize(train.repartition(partitions, *cols, label)).select("features", F.col(label).cast("double").alias("label"))
+    est = _estimator(model, n, n_features, seed, max_depth, iterations)
     fitted = est.fit(tr)
     scored = fitted.transform(featurize(test))
     from pyspark.ml.functions import vector_to_array
@@ -98,5 +102,5 @@ def fit_score(train: DataFrame, test: DataFrame, cols: Sequence[str], model: str
         score = vector_to_array("rawPrediction")[1]
     else:
         score = vector_to_array("probability")[1]
-    return scored.select(*keep, F.col(label).cast("int").alias("label"), score.alias("score"),
-                         F.col("prediction").cast("int").alias("prediction"))
+    prediction = F.col("prediction").cast("int") if threshold is None else F.when(score > threshold, 1).otherwise(0)
+    return scored.select(*keep, F.col(label).cast("int").alias("label"), score.alias("score"), prediction.alias("prediction"))

@@ -20,7 +20,7 @@ from regionpulse.operators import sampling as sp
 from regionpulse.session import scratch_path
 
 RESULT_SCHEMA = ("region STRING, model STRING, feature_set STRING, scaled BOOLEAN, seed INT, "
-                 "cv_mean DOUBLE, cv_std DOUBLE, auc DOUBLE, f1 DOUBLE, accuracy DOUBLE")
+                 "cv_folds INT, cv_mean DOUBLE, cv_std DOUBLE, auc DOUBLE, f1 DOUBLE, accuracy DOUBLE")
 
 
 def evaluation_frame(sparse: DataFrame, dense: DataFrame, labels_aligned: DataFrame | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def evaluation_frame(sparse: DataFrame, dense: DataFrame, labels_aligned: DataFr
     return s.join(d, ["t", "region"])
 
 
-def _fit_metrics(sample: DataFrame, cols, model, seed, scaled, leaky, fold):
+def _fit_metrics(sample: DataFrame, cols, model, config, scaled, leaky, fold):
     """One fit: fold None = the 70/30 test split, else CV fold ``fold`` held out."""
     test_mask = F.col("is_test") if fold is None else (F.col("fold") == fold)
     df, use = sample, list(cols)
@@ -39,7 +39,9 @@ def _fit_metrics(sample: DataFrame, cols, model, seed, scaled, leaky, fold):
         fit_mask = None if (leaky and fold is not None) else ~test_mask
         df = sp.standardize(sample, cols, by=("region",), fit_mask=fit_mask, suffix="_z")
         use = [f"{c}_z" for c in cols]
-    scored = md.fit_score(df.filter(~test_mask), df.filter(test_mask), use, model, seed)
+    scored = md.fit_score(df.filter(~test_mask), df.filter(test_mask), use, model, config.seed, partitions=config.train_partitions,
+                          max_depth=config.forest_depth, components=config.fourier_components, iterations=config.network_iterations,
+                          threshold=config.score_threshold if model == "mlp" else None)
     auc = mt.roc_auc(scored, "score", "label").first()["auc"]
     if fold is not None:
         return {"auc": auc}
@@ -86,7 +88,7 @@ def evaluate_region(
     def run(task):
         ci, fold = task
         model, _, scaled, cols = configs[ci]
-        return task, _fit_metrics(sample, cols, model, config.seed, scaled, leaky_scaling, fold)
+        return task, _fit_metrics(sample, cols, model, config, scaled, leaky_scaling, fold)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         results = dict(pool.map(run, tasks))
@@ -95,7 +97,10 @@ def evaluate_region(
     for ci, (model, fs, scaled, _) in enumerate(configs):
         test = results[(ci, None)]
         cv = np.array([results[(ci, f)]["auc"] for f in range(config.folds)], dtype=float)
-        rows.append((name, model, fs, scaled, config.seed, float(np.nanmean(cv)), float(2 * np.nanstd(cv)),
+        # folds whose held-out rows lack a class have no AUC; how many counted is reported
+        used = cv[~np.isnan(cv)]
+        mean, spread = (float(used.mean()), float(2 * used.std())) if len(used) else (None, None)
+        rows.append((name, model, fs, scaled, config.seed, len(used), mean, spread,
                      test["auc"], test["f1"], test["accuracy"]))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
@@ -109,7 +114,7 @@ def repeat_evaluation(frame: DataFrame, region: str | None, runs: int, config: P
         out = r if out is None else out.unionByName(r)
     return out.groupBy("region", "model", "feature_set", "scaled").agg(
         F.count(F.lit(1)).alias("runs"),
-        *[F.avg(c).alias(c) for c in ("cv_mean", "cv_std", "auc", "f1", "accuracy")],
+        *[F.avg(c).alias(c) for c in ("cv_folds", "cv_mean", "cv_std", "auc", "f1", "accuracy")],
     )
 
 

@@ -531,10 +531,45 @@ SQL["preview_features"] = with_(CHECKINS, CELL_USER, FIRST_VISITS, GRID, FEATURE
 SELECT {FM_COLS} FROM fm ORDER BY t, region LIMIT 5
 """
 
-# windows the watermark (max event time, millisecond precision) has closed
-SQL["streaming_obs_freq"] = with_(CHECKINS) + """
-, wm AS (SELECT date_trunc('millisecond', max(ts)) AS w FROM ck WHERE region IS NOT NULL)
-SELECT t, region, count(user_id) AS obs_freq FROM ck, wm
-WHERE region IS NOT NULL AND t + INTERVAL 3 HOURS <= wm.w
-GROUP BY t, region
+SQL["streaming_obs_freq"] = SQL["obs_freq"]
+
+SQL["cv_auc"] = """
+WITH d AS (SELECT l.toxic, l.quality AS y, o.n_chars::DOUBLE AS s, o.doc_id % 5 AS fold
+           FROM labels l JOIN documents o USING (doc_id)
+           WHERE l.quality IS NOT NULL AND o.n_chars IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY toxic, fold ORDER BY s)
+              + (count(*) OVER (PARTITION BY toxic, fold, s) - 1) / 2.0 AS rk FROM d),
+f AS (SELECT toxic, fold, sum(y) AS p, sum(1 - y) AS n, sum(CASE WHEN y = 1 THEN rk END) AS rs FROM r GROUP BY toxic, fold),
+a AS (SELECT toxic, CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) END AS auc FROM f)
+SELECT toxic, count(auc) AS folds, round(avg(auc), 6) AS cv_mean, round(2 * stddev_pop(auc), 6) AS cv_std2 FROM a GROUP BY toxic
+"""
+
+SQL["load_checkin_points"] = with_(CHECKINS) + """
+SELECT seq, user_id, 'v' || venue_id AS venue_id, ts, (venue_id % 10) / 4.0::DOUBLE - 0.5 AS lon, venue_id / 64.0::DOUBLE - 0.75 AS lat FROM ck
+"""
+
+# every venue number k has a fixed point; both kinds of events get the region that holds it
+_PLACED = POLYGONS + """,
+pts AS (SELECT range AS k, (range * 37 % 100)::DOUBLE / 100.0::DOUBLE - 0.497::DOUBLE AS lon, (range * 53 % 100)::DOUBLE / 100.0::DOUBLE - 0.497::DOUBLE AS lat FROM range(100)),
+tests AS (
+  SELECT k, region_id,
+         sum(CASE WHEN ((y1 > lat) <> (y2 > lat)) AND (((x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1) > 0) = (y2 > y1)) THEN 1 ELSE 0 END) AS crossings,
+         bool_or((x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS on_edge
+  FROM pts, edges GROUP BY k, region_id
+),
+hit AS (SELECT k, min(region_id) AS region_id FROM tests WHERE crossings % 2 = 1 AND NOT on_edge GROUP BY k),
+of_k AS (SELECT hit.k, polys.name AS region FROM hit JOIN polys USING (region_id)),
+ck AS (
+  SELECT user_id, CAST(k AS VARCHAR) AS venue_id, of_k.region, ts, event_id AS seq, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') AS t
+  FROM events JOIN of_k ON CAST(json_extract(props, '$.k') AS BIGINT) = of_k.k WHERE event_type <> 'error'
+)"""
+
+SQL["raw_to_labels"] = with_(_PLACED, CELL_USER, FIRST_VISITS, GRID, FEATURE_MATRIX_BODY, INC_TEXT) + f"""
+, lab AS (
+  SELECT time_bucket(INTERVAL '3 hours', i.ts, TIMESTAMP '1970-01-01') AS t, of_k.region, 1 AS label
+  FROM inc_clean i JOIN events e ON e.event_id = i.incident_id JOIN of_k ON CAST(json_extract(e.props, '$.k') AS BIGINT) = of_k.k
+  WHERE i.offense = 'GRAND LARCENY' AND i.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL
+)
+SELECT {FM_COLS}, coalesce(label, 0)::INTEGER AS label
+FROM (SELECT fm.*, lab.label FROM fm LEFT JOIN lab ON fm.t = lab.t AND fm.region = lab.region WHERE fm.t IN (SELECT t FROM lab))
 """

@@ -1,4 +1,7 @@
-"""Registered queries: each callable takes (spark, sf_dir) and returns a lazy DataFrame.
+"""Registered queries: each callable takes (spark, sf_dir) and returns a DataFrame.
+
+The result is lazy; queries whose operators write shared stages or fit models run those
+jobs when they are called.
 
 Doubles in the outputs are rounded to 6 places so that results compare exactly with
 the SQL oracles (summation order differs between engines).
@@ -136,14 +139,14 @@ def q_low_activity_filter(spark, sf_dir):
 
 @register("feature_pivot")
 def q_feature_pivot(spark, sf_dir):
-    regions = [f"r{i}" for i in range(10)]
+    regions = grid.region_list(td.event_checkins(spark, sf_dir))
     return grid.feature_pivot(feat.obs_freq(_binned(spark, sf_dir)), regions, "obs_freq", fill=0)
 
 
 @register("region_one_hot")
 def q_region_one_hot(spark, sf_dir):
-    regions = [f"r{i}" for i in range(10)]
     ck = td.event_checkins(spark, sf_dir).select("seq", "region")
+    regions = grid.region_list(ck)
     return grid.region_one_hot(ck, regions)
 
 
@@ -206,8 +209,19 @@ def q_load_incidents(spark, sf_dir):
 def q_load_checkins(spark, sf_dir):
     path = scratch_path(spark, "checkins-csv")
     src.write_csv(td.event_checkins(spark, sf_dir), path)
-    df = src.load_checkins(spark, path, "user_id BIGINT, venue_id BIGINT, region STRING, ts TIMESTAMP_NTZ, seq BIGINT")
-    return df
+    return src.load_checkins(spark, path, "user_id BIGINT, venue_id BIGINT, region STRING, ts TIMESTAMP_NTZ, seq BIGINT")
+
+
+@register("load_checkin_points")
+def q_load_checkin_points(spark, sf_dir):
+    """PF4: check-ins with coordinates (derived from the venue), written with the columns in
+    another order, read back by header with their (lon, lat) points."""
+    path = scratch_path(spark, "checkin-points-csv")
+    ck = td.event_checkins(spark, sf_dir)
+    lon, lat = (F.col("venue_id") % 10) / 4.0 - 0.5, F.col("venue_id") / 64.0 - 0.75
+    src.write_csv(ck.select(lat.alias("latitude"), "ts", lon.alias("longitude"), F.concat(F.lit("v"), "venue_id").alias("venue_id"), "seq", "region", "user_id"), path)
+    df = src.load_checkins(spark, path)
+    return df.select("seq", "user_id", "venue_id", "ts", F.col("point.lon").alias("lon"), F.col("point.lat").alias("lat"))
 
 
 @register("roundtrip_checkins")
@@ -462,7 +476,7 @@ def q_densify_sgd(spark, sf_dir):
 def q_training_history(spark, sf_dir):
     m = _materialized_matrix(spark, sf_dir)
     coo, rows, cols = fz.sparse_cells(m)
-    return fz.densify_sgd(coo, rows, cols, PipelineConfig(epochs=5)).history
+    return fz.densify_sgd(coo, rows, cols, PipelineConfig()).history
 
 
 @register("densify_als")
@@ -514,6 +528,13 @@ def q_roc_auc(spark, sf_dir):
     return rounded(mt.roc_auc(_doc_scores(spark, sf_dir), "score", "label", ["toxic"]))
 
 
+@register("cv_auc")
+def q_cv_auc(spark, sf_dir):
+    """ML4: five folds by document id, on a score fixed by a rule."""
+    folded = _doc_scores(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    return rounded(mt.cv_auc(folded, "score", "label", "fold", ["toxic"]))
+
+
 @register("threshold_scores")
 def q_threshold_scores(spark, sf_dir):
     return mt.threshold_scores(_doc_scores(spark, sf_dir), "score", 2000.0).select("doc_id", "prediction")
@@ -538,15 +559,34 @@ _BUILT: dict = {}
 
 
 def _dynamic(spark, sf_dir, config=FIXTURE_CONFIG):
-    """The end-to-end build, shared by the model queries of one Spark application: its
-    stages are tables written to the checkpoint folder, so later queries reuse them
-    instead of factorizing again."""
-    key = (spark.sparkContext.applicationId, sf_dir, config)
+    """The end-to-end build, shared by the model queries of one Spark application while
+    their input files stay the same (path, size and modification time); only the last one
+    is remembered.  Its stages are written tables, so later queries read them instead of
+    factorizing again."""
+    files = td.table(spark, sf_dir, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, tuple(state), config)
     if key not in _BUILT:
+        _BUILT.clear()
         _BUILT[key] = pl.build(td.event_checkins(spark, sf_dir), td.event_incidents(spark, sf_dir), config)
     return _BUILT[key]
 
 
+@register("raw_to_labels")
+def q_raw_to_labels(spark, sf_dir):
+    """Raw CSV to aligned features and labels; each venue number k has a fixed point."""
+    def with_point(df, k):
+        return df.withColumn("longitude", (k * 37 % 100) / 100.0 - 0.497).withColumn("latitude", (k * 53 % 100) / 100.0 - 0.497)
+
+    ck_path, inc_path = scratch_path(spark, "raw-checkins"), scratch_path(spark, "raw-incidents")
+    ck = td.event_checkins(spark, sf_dir)
+    src.write_csv(with_point(ck.withColumn("region", F.lit("?")), F.col("venue_id")), ck_path)
+    k = td.table(spark, sf_dir, "events").select(F.col("event_id").alias("incident_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    src.write_csv(with_point(incident_text(spark, sf_dir).withColumn("region", F.lit("?")).join(k, "incident_id"), F.col("k")), inc_path)
+    polys = td.nation_polygons(spark, sf_dir)
+    return rounded(pl.raw_to_labels(spark, ck_path, inc_path, polys, RANGE_START, RANGE_END, CATEGORY, cell=GEO_CELL))
+
+
 @register("dynamic_features")
 def q_dynamic_features(spark, sf_dir):
     """Dense features aligned with labels (the input of the model comparison)."""
@@ -618,14 +658,15 @@ def q_preview_features(spark, sf_dir):
 
 @register("streaming_obs_freq")
 def q_streaming_obs_freq(spark, sf_dir):
-    """obs_freq per closed 3-hour bin, computed incrementally: the events table is read
-    as a file stream, aggregated with a watermark, appended to a parquet sink (with a
-    checkpoint, so a restart is exactly-once), and the sink is returned."""
+    """obs_freq per 3-hour bin, computed incrementally: the events table is read as a file
+    stream and aggregated with a watermark; every change of a bin is upserted (with a
+    checkpoint, so a restart is exactly-once), so the bins still open at the end of the
+    input are there too."""
     from regionpulse import streaming as st
 
     schema = td.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    agg = st.streaming_cell_counts(td.checkins_of_events(stream), "3 hours", watermark="0 seconds")
+    agg = st.streaming_cell_counts(td.checkins_of_events(stream), "3 hours", watermark="6 hours")
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    st.write_stream_to_table(agg, out, ckpt).awaitTermination()
-    return spark.read.parquet(out).select("t", "region", "obs_freq")
+    st.upsert_stream_to_table(agg, out, ckpt).awaitTermination()
+    return st.latest_bins(spark, out).select("t", "region", "obs_freq")

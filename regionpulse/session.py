@@ -29,12 +29,16 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     return spark
 
 
+_PRIVATE: list[tempfile.TemporaryDirectory] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster-wide checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (tests) is a private folder created.
     The directory is also registered with the SparkContext so that
-    ``DataFrame.checkpoint()`` writes there.
+    ``DataFrame.checkpoint()`` writes there.  Where the setting is missing, a private
+    folder (removed when the process ends) is made for a ``local`` master only: on a
+    cluster every executor would write to its own disk, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,11 +46,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="regionpulse-ckpt-")
+        if not is_local(sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
+        _PRIVATE.append(tempfile.TemporaryDirectory(prefix="regionpulse-ckpt-"))
+        configured = _PRIVATE[-1].name
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process and so share the local disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -64,22 +76,3 @@ def materialize(df, name: str):
     df.write.parquet(path)
     return spark.read.parquet(path)
 
-
-MATERIALIZE_ABOVE_BYTES = 256 << 20
-
-
-def estimated_bytes(df) -> int:
-    """Input volume of a plan: the sum of Catalyst's size estimates of its leaf scans
-    (file sizes scaled by the pruned columns).  Leaves, not the root, because join
-    estimates without column statistics are product-style upper bounds."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # pragma: no cover - no statistics available
-        return MATERIALIZE_ABOVE_BYTES + 1
-
-
-def materialize_if_large(df, name: str, threshold: int = MATERIALIZE_ABOVE_BYTES):
-    """``materialize`` when the plan reads more than ``threshold`` bytes, else ``df``:
-    for small inputs one more job costs more than recomputing for each consumer."""
-    return materialize(df, name) if estimated_bytes(df) > threshold else df

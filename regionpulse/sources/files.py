@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHECKIN_SCHEMA = "user_id BIGINT, venue_id BIGINT, region STRING, ts TIMESTAMP_NTZ, seq BIGINT, longitude DOUBLE, latitude DOUBLE"
+# venue ids are opaque text
+CHECKIN_SCHEMA = "user_id BIGINT, venue_id STRING, region STRING, ts TIMESTAMP_NTZ, seq BIGINT, longitude DOUBLE, latitude DOUBLE"
 # Incidents are read as text and parsed leniently afterwards (bad rows -> NULL).
 INCIDENT_SCHEMA = "incident_id BIGINT, date_text STRING, time_text STRING, offense STRING, region STRING, longitude DOUBLE, latitude DOUBLE"
 
@@ -22,9 +23,6 @@ POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat",
 RINGS = T.ArrayType(T.ArrayType(POINT))
 
 
-TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV sink with a header and the same timestamp text the readers expect."""
     (
@@ -37,29 +35,40 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def load_checkins(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    schema: str = CHECKIN_SCHEMA,
-    timestamp_format: str = TIMESTAMP_TEXT,
-    header: bool = True,
-) -> DataFrame:
-    """IO1: check-in CSV with a parsed timestamp and a (lon, lat) point column."""
-    df = (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("mode", "PERMISSIVE")
-        .option("timestampNTZFormat", timestamp_format)
-        .csv(path)
-    )
+def read_csv_by_header(spark: SparkSession, path: str | Sequence[str], schema: str, on_bad: str = "fail") -> DataFrame:
+    """CSV with a header, columns bound by name and cast to ``schema``.
+
+    The order of the file's columns does not matter and unknown ones are left out; a missing
+    one is an error.  Text that is not of its column's type raises (``on_bad="fail"``) or
+    becomes NULL (``"null"``); nothing is nulled silently."""
+    raw = spark.read.option("header", True).csv(path)
+    wanted = T._parse_datatype_string(schema)
+    if lost := [f.name for f in wanted if f.name not in raw.columns]:
+        raise ValueError(f"columns {lost} are not in the header {raw.columns}")
+
+    def typed(f: T.StructField) -> Column:
+        text = F.col(f"`{f.name}`")
+        value = text if isinstance(f.dataType, T.StringType) else F.trim(text).try_cast(f.dataType)
+        if on_bad == "fail" and not isinstance(f.dataType, T.StringType):
+            said = F.concat(F.lit(f"{f.name}: not {f.dataType.simpleString()}: "), text)
+            value = F.when(text.isNotNull() & value.isNull(), F.raise_error(said).cast(f.dataType)).otherwise(value)
+        return value.alias(f.name)
+
+    return raw.select(*[typed(f) for f in wanted])
+
+
+def load_checkins(spark: SparkSession, path: str | Sequence[str], schema: str = CHECKIN_SCHEMA, on_bad: str = "fail") -> DataFrame:
+    """IO1 + PF4: check-in CSV with a parsed timestamp (no session zone involved) and, when
+    it has coordinates, a (lon, lat) point column."""
+    df = read_csv_by_header(spark, path, schema, on_bad)
     if "longitude" in df.columns and "latitude" in df.columns:
         df = df.withColumn("point", F.struct(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")))
     return df
 
 
-def load_incidents(spark: SparkSession, path: str | Sequence[str], schema: str = INCIDENT_SCHEMA, header: bool = True) -> DataFrame:
+def load_incidents(spark: SparkSession, path: str | Sequence[str], schema: str = INCIDENT_SCHEMA, on_bad: str = "fail") -> DataFrame:
     """IO2: incident CSV, all text for the date/time columns (parsed by ``parse_incident_time``)."""
-    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
+    return read_csv_by_header(spark, path, schema, on_bad)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None, mode: str = "overwrite") -> str:
@@ -93,24 +102,31 @@ def load_model_table(spark: SparkSession, path: str, label_col: str = "crime") -
 
 # --------------------------------------------------------------------------- polygons
 
-_GEOJSON_SCHEMA = "type STRING, coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>"
+_POLYGON = "coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>"
+_MULTI = "coordinates ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+
+
+def _unknown(text: Column, kind: str) -> Column:
+    said = F.concat(F.lit(f"not a {kind} polygon or multi-polygon: "), F.substring(text, 1, 80))
+    return F.raise_error(said).cast(RINGS)
 
 
 def geojson_rings(text: Column) -> Column:
-    """Polygon GeoJSON geometry text -> rings of (lon, lat) structs."""
-    g = F.from_json(text, _GEOJSON_SCHEMA)
-    return F.transform(
-        g["coordinates"],
-        lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))),
-    )
+    """``Polygon`` or ``MultiPolygon`` geometry text -> rings of (lon, lat) structs, the rings of
+    all parts in one list (a point is inside when it crosses an odd number of edges); a null
+    geometry stays null, any other type is an error."""
+    kind = F.get_json_object(text, "$.type")
+    rings = F.when(kind == "MultiPolygon", F.flatten(F.from_json(text, _MULTI)["coordinates"])).otherwise(F.from_json(text, _POLYGON)["coordinates"])
+    points = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    return F.when(text.isNull(), F.lit(None).cast(RINGS)).when(kind.isin("Polygon", "MultiPolygon") & points.isNotNull(), points).otherwise(_unknown(text, "GeoJSON"))
 
 
 def wkt_rings(text: Column) -> Column:
-    """``POLYGON ((x y, ...), (x y, ...))`` text -> rings of (lon, lat) structs."""
-    body = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(?i)POLYGON\s*\(\s*\(", ""), r"\)\s*\)\s*$", "")
-    rings = F.split(body, r"\)\s*,\s*\(")
-    return F.transform(
-        rings,
+    """``POLYGON ((x y, ...), ...)`` or ``MULTIPOLYGON (((x y, ...), ...), ...)`` text -> rings of
+    (lon, lat) structs, as for GeoJSON."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(?i)(MULTI)?POLYGON[\s(]*", ""), r"[)\s]*$", "")
+    points = F.transform(
+        F.split(body, r"\)[\s)]*,[\s(]*\("),
         lambda ring: F.transform(
             F.split(F.trim(ring), r"\s*,\s*"),
             lambda p: F.struct(
@@ -119,6 +135,7 @@ def wkt_rings(text: Column) -> Column:
             ),
         ),
     )
+    return F.when(text.isNull(), F.lit(None).cast(RINGS)).when(F.trim(text).rlike(r"^(?i)(MULTI)?POLYGON\s*\("), points).otherwise(_unknown(text, "WKT"))
 
 
 def load_regions(

@@ -56,6 +56,25 @@ def streaming_incident_labels(stream: DataFrame, interval: str = "3 hours", wate
     )
 
 
+def upsert_stream_to_table(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Write every change of a bin, open bins included, so that nothing waits for a
+    watermark that the end of the input never moves.  Each micro-batch is one folder named
+    by its number and overwritten on a retry; ``latest_bins`` reads the last state of each bin."""
+    def save_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    w = agg.writeStream.outputMode("update").foreachBatch(save_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def latest_bins(spark: SparkSession, path: str, keys: tuple[str, ...] = ("t", "region")) -> DataFrame:
+    """The last written state of every bin of an upserted table."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
 def write_stream_to_table(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     """Append closed bins to a parquet table; the checkpoint makes restarts exactly-once."""
     w = agg.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -17,11 +17,11 @@ def _toy(spark, n_rows=12, n_cols=7, density=0.5, seed=3):
     return cells, coo, rows, cols
 
 
-def _sequential(cells, n_rows, n_cols, cfg, blocks_of_i, blocks_of_j, d):
+def _sequential(cells, n_rows, n_cols, cfg, blocks_of_i, blocks_of_j, d, init):
     """Plain per-cell SGD written independently, visiting blocks in stratum order."""
     K, a, b, es = cfg.rank, cfg.learning_rate, cfg.regularization, cfg.error_scale
-    P = np.array([fz._gauss(cfg.seed, 0, i, K) for i in range(n_rows)])
-    Q = np.array([fz._gauss(cfg.seed, 1, j, K) for j in range(n_cols)])
+    P = np.array([init["P", i] for i in range(n_rows)])
+    Q = np.array([init["Q", j] for j in range(n_cols)])
     bp, bq = np.zeros(n_rows), np.zeros(n_cols)
     mu = np.mean([v for _, _, v in cells])
     for epoch in range(cfg.epochs):
@@ -41,17 +41,18 @@ def _sequential(cells, n_rows, n_cols, cfg, blocks_of_i, blocks_of_j, d):
     return P, Q, bp, bq
 
 
-@pytest.mark.parametrize("d", [1, 2, 3])
-def test_stratified_sgd_equals_sequential(spark, d):
+@pytest.mark.parametrize("d, rank", [(1, 3), (2, 3), (4, 3), (5, 250)])
+def test_stratified_sgd_equals_sequential(spark, d, rank):
     cells, coo, rows, cols = _toy(spark)
-    cfg = PipelineConfig(rank=3, learning_rate=0.05, regularization=0.01, epochs=3, blocks=d, seed=7)
+    cfg = PipelineConfig(rank=rank, learning_rate=0.05, regularization=0.01, epochs=3, blocks=d, seed=7)
     model = fz.densify_sgd(coo, rows, cols, cfg, track_history=False)
+    init = {(r["side"], r["id"]): np.array(r["factors"]) for r in fz.init_factors(rows, cols, rank, cfg.seed).collect()}
     if d > 1:
         bi = {r["i"]: r["b"] for r in rows.select("i", F.pmod(F.xxhash64("i"), F.lit(d)).alias("b")).collect()}
         bj = {r["j"]: r["b"] for r in cols.select("j", F.pmod(F.xxhash64("j"), F.lit(d)).alias("b")).collect()}
     else:
         bi, bj = {i: 0 for i in range(12)}, {j: 0 for j in range(7)}
-    P, Q, bp, bq = _sequential(cells, 12, 7, cfg, bi, bj, d)
+    P, Q, bp, bq = _sequential(cells, 12, 7, cfg, bi, bj, d, init)
     got = {(r["side"], r["id"]): (r["bias"], np.array(r["factors"])) for r in model.factors.collect()}
     for i in range(12):
         assert abs(got[("P", i)][0] - bp[i]) < 1e-9 and np.allclose(got[("P", i)][1], P[i], atol=1e-9)
@@ -112,3 +113,54 @@ def test_als_recovers_planted_low_rank(spark):
     assert err["rmse"] < 0.15 * sd
     test = spark.createDataFrame(held, "i BIGINT, j BIGINT, value DOUBLE")
     assert fz.fit_error(test, model.factors, model.mean, 0.0).first()["rmse"] < 0.5 * sd
+
+
+def test_batches_share_no_row_or_column_and_keep_order():
+    rng = np.random.default_rng(5)
+    ii, jj = rng.integers(0, 9, 80), rng.integers(0, 6, 80)
+    batches = fz.conflict_free_batches(ii, jj)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(80))
+    when = {int(n): k for k, at in enumerate(batches) for n in at}
+    for at in batches:
+        assert len(set(ii[at])) == len(at) == len(set(jj[at]))
+    for a in range(80):
+        for b in range(a):
+            if ii[a] == ii[b] or jj[a] == jj[b]:
+                assert when[b] < when[a]
+
+
+def test_result_does_not_depend_on_cores_or_partitions(spark):
+    _, coo, rows, cols = _toy(spark, 20, 10, 0.6)
+    cfg = PipelineConfig(rank=3, epochs=2)
+    a, b = (fz.densify_sgd(c, rows, cols, cfg, track_history=False, strata_per_write=w).factors.collect()
+            for c, w in ((coo, 3), (coo.repartition(7), 50)))
+    key = lambda r: (r["side"], r["id"])
+    assert all(np.allclose(x["factors"], y["factors"], atol=1e-12) for x, y in zip(sorted(a, key=key), sorted(b, key=key)))
+
+
+def test_initial_factors_are_normal_and_seeded(spark):
+    ids = spark.range(400).select(F.col("id").alias("i"), F.col("id").alias("j"))
+    x = np.array([r["factors"] for r in fz.init_factors(ids, ids, 20, 1).collect()]).ravel() * 20
+    assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03 and abs((x ** 4).mean() - 3) < 0.3
+    y = np.array([r["factors"] for r in fz.init_factors(ids, ids, 20, 2).collect()]).ravel() * 20
+    assert abs(np.corrcoef(np.sort(x[:100]), y[:100])[0, 1]) < 0.5 and not np.allclose(x, y)
+
+
+def test_rating_without_factors_raises(spark):
+    _, coo, rows, cols = _toy(spark)
+    with pytest.raises(Exception, match="have no factors"):
+        fz.densify_sgd(coo, rows.filter("i > 2"), cols, PipelineConfig(rank=2, epochs=1, blocks=1), track_history=False)
+
+
+def test_als_predicts_rows_and_columns_without_ratings(spark):
+    import datetime as dt
+
+    t = [dt.datetime(2024, 1, 1, 3 * k) for k in range(4)]
+    schema = ("t TIMESTAMP_NTZ, region STRING, visitor_count BIGINT, obs_freq BIGINT, "
+              "visitor_entropy DOUBLE, visitor_ratio DOUBLE, region_popularity DOUBLE")
+    m = spark.createDataFrame([(x, r, 1 + k, 2, 0.5, 0.0, 1.0) for k, x in enumerate(t[:3]) for r in "ab"] + [(t[3], "a", 0, 0, 0.0, 0.0, 0.0)], schema)
+    dense, _ = fz.dynamic_features(m, PipelineConfig(rank=2), "als")
+    got = dense.collect()  # no visitor_ratio anywhere, nothing at all in the last interval
+    assert len(got) == 7 and all(v is not None for r in got for v in r)
+    nothing, _ = fz.dynamic_features(m.filter("obs_freq = 0"), PipelineConfig(rank=2), "als")
+    assert [r["obs_freq"] for r in nothing.collect()] == [0.0]

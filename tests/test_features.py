@@ -88,7 +88,7 @@ def test_feature_matrix_invariants(spark):
 
 def test_low_activity_totals_from_unfiltered(spark):
     rows = [(1, 1, "a", ts("2012-04-03 18:00:00"), i) for i in range(3)] + [(2, 2, "b", ts("2012-04-03 21:00:00"), 9)]
-    m = feat.feature_matrix(spark.createDataFrame(rows, SCHEMA), PipelineConfig(), materialize=False)
+    m = feat.feature_matrix(spark.createDataFrame(rows, SCHEMA), PipelineConfig())
     kept = grid.low_activity_filter(m, None, min_interval_obs=2, min_region_obs=2).collect()
     assert {(r["t"], r["region"]) for r in kept} == {(ts("2012-04-03 18:00:00"), "a")}
 
@@ -100,10 +100,11 @@ def test_materialized_and_lazy_matrix_agree(spark):
     ck = td.event_checkins(spark, SF0001)
     from regionpulse.plans.queries import rounded
 
-    # doubles agree up to summation order
-    a = rounded(feat.feature_matrix(ck, PipelineConfig(), materialize=True), 9)
-    b = rounded(feat.feature_matrix(ck, PipelineConfig(), materialize=False), 9)
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    # the written aggregate gives what the single operators give on the events
+    m = rounded(feat.feature_matrix(ck, PipelineConfig()).filter("obs_freq > 0").select("t", "region", "visitor_count", "obs_freq", "visitor_entropy"), 9)
+    b = feat.binned_checkins(ck)
+    one = rounded(feat.visitor_count(b).join(feat.obs_freq(b), ["t", "region"]).join(feat.visitor_entropy(b), ["t", "region"]), 9)
+    assert m.count() == one.count() and m.exceptAll(one).count() == 0
 
 
 def test_approximate_visitor_count_close(spark):

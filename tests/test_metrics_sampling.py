@@ -97,3 +97,24 @@ def test_quiet_intervals_drop_or_zero(spark):
     assert zero == {(t1, "a"): 1, (t1, "b"): 0, (t2, "a"): 0}
     pct = {r["region"]: (r["positives"], r["percent"]) for r in lab.percent_labeled(lab.align_features_labels(m, labels), labels).collect()}
     assert pct == {"a": (1, 100)}
+
+
+def test_auc_buckets_stay_even_on_skewed_scores(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from regionpulse.operators import metrics as mt
+
+    rng = np.random.default_rng(1)
+    x = np.exp(rng.normal(0, 4, 20_000))
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-np.log(x)))).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "score DOUBLE, label INT")
+    points = [k / 256 for k in range(1, 256)]
+    cuts = df.agg(F.array_distinct(F.percentile_approx("score", points, 5120)).alias("c"))
+    sizes = [r["n"] for r in df.crossJoin(cuts).groupBy(mt.cut_number(F.col("score"), F.col("c"), 256).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 200 and max(sizes) < 4 * 20_000 / 256
+    order = np.argsort(x)
+    rank = np.empty(20_000)
+    rank[order] = np.arange(1, 20_001)
+    p, n = y.sum(), (1 - y).sum()
+    assert abs(mt.roc_auc(df).first()["auc"] - (rank[y == 1].sum() - p * (p + 1) / 2) / (p * n)) < 1e-9

@@ -66,3 +66,16 @@ def test_scans_are_pruned_and_filtered(spark):
     schemas = re.findall(r"ReadSchema: (struct<[^\n]*)", plan)
     assert schemas and all("value" not in s for s in schemas)  # unused event columns never read
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))" in plan
+
+
+@pytest.mark.parametrize("name", ["feature_matrix", "top_venues", "first_visits"])
+def test_first_visits_need_no_sorting_aggregate(spark, name):
+    assert "SortAggregate" not in _plan(spark, name)
+
+
+def test_feature_matrix_scans_the_events_once(spark):
+    from regionpulse.operators import features as feat
+    from regionpulse.sources import testdata as td
+
+    plan = feat.feature_matrix(td.event_checkins(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan  # everything comes from the written aggregate
