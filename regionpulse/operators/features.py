@@ -158,7 +158,8 @@ def first_visits(binned: DataFrame, k: int = 4, events: DataFrame | None = None)
     events = event_cells(binned) if events is None else events
     top = top_venues(user_venue_stats(binned, events), k).select("user_id", "venue_id", "first")
     met = events.select("user_id", "venue_id", "first", "t", "region").join(top, ["user_id", "venue_id", "first"])
-    one = met.groupBy("user_id", "venue_id", "first", "t").agg(F.min("region").alias("region"))
+    # a sorted set, as a minimum of text would need a sorting aggregate
+    one = met.groupBy("user_id", "venue_id", "first", "t").agg(F.array_min(F.collect_set("region")).alias("region"))
     us = F.expr(f"CAST(floor(first / {_SEQ}) AS BIGINT)")
     return one.select("user_id", "venue_id", ntz_from_epoch_micros(us).alias("ts"), "t", "region")
 

@@ -50,7 +50,7 @@ def test_evaluation_refuses_too_few_rows(spark):
 
 def test_comparison_report_delta(spark):
     res = spark.createDataFrame(
-        [("x", "lr", "sparse", False, 0, 0.5, 0.1, 0.6, 0.5, 0.55), ("x", "lr", "dynamic", False, 0, 0.55, 0.1, 0.62, 0.5, 0.6)],
+        [("x", "lr", "sparse", False, 0, 5, 0.5, 0.1, 0.6, 0.5, 0.55), ("x", "lr", "dynamic", False, 0, 5, 0.55, 0.1, 0.62, 0.5, 0.6)],
         ev.RESULT_SCHEMA)
     r = ev.comparison_report(res).first()
     assert r["delta_cv_mean"] == pytest.approx(0.05) and r["delta_auc"] == pytest.approx(0.02)
