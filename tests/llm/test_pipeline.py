@@ -50,7 +50,7 @@ def test_stages_on_whole_table(spark):
 @pytest.mark.parametrize("empty", [True, False])
 def test_odd_rows_pass_through(spark, docs, empty):
     long = " ".join(f"word{k}" for k in range(40))
-    df = docs([*ODD_TEXTS, long, long], sources=[None] * (len(ODD_TEXTS) + 2), ids=[*range(len(ODD_TEXTS)), 50, 50], extra="1 AS n_words")
+    df = docs([*ODD_TEXTS, long, long], sources=["odd"] * len(ODD_TEXTS) + [None] * 2, ids=[*range(len(ODD_TEXTS)), 50, 50], extra="1 AS n_words")
     out = stages(spark, df.limit(0) if empty else df)
     assert all(d.columns == df.columns for d in out[:-1])
     assert [d.count() for d in out[2:]] == ([0] * 4 if empty else [out[2].count()] * 2 + [out[4].count()] * 2)
