@@ -22,7 +22,7 @@ class PipelineConfig:
     error_scale: float = 2.0
     # stratified SGD: number of row/column blocks.  Part of the model (it fixes the order of
     # the updates), so never taken from data size or cores; raise it with the cluster
-    blocks: int = 4
+    blocks: int = 2
     # evaluation models
     forest_depth: int = 30
     fourier_components: int = 100
