@@ -13,10 +13,13 @@ Proposals per key, without listing all pairs of a bucket:
 
 1. Every member of a bucket is checked against the bucket's smallest id, and the confirmed
    links are closed to components.
-2. Only buckets that still hold several components are looked at again: all pairs of
-   members from different components, compared in blocks inside the task, filtered by
-   exact size bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below
-   the filter's 0.55 once in ten million), and confirmed on the full sets.
+2. In buckets that still hold several components, every member outside the largest one is
+   checked against the member of another component that is most alike by minimum hashes
+   (one pair per member).  This is repeated until it finds no more links.
+3. Then all pairs from different components that are left in a bucket are looked at, in
+   blocks inside the task and each under its first common key only, filtered by exact size
+   bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below the filter's
+   0.55 once in ten million), and confirmed on the full sets.
 
 A group of thousands of near copies thus costs a few links per member, while no pair of
 members of different components is left unchecked.  Nothing is collected to the driver;
@@ -108,7 +111,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, count: int)
 
 
 def table_keys(reps: DataFrame, k: int, m: int) -> DataFrame:
-    """(key, rep, n): the m * m combined keys of each set."""
+    """(key, slot, rep, n): the m * m combined keys of each set, slot = i * m + j for (A_i, B_j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +126,10 @@ def table_keys(reps: DataFrame, k: int, m: int) -> DataFrame:
             key = _mixed(a[:, :, None] * ODD + b[:, None, :]).reshape(-1).view(np.int64)
             for some in np.array_split(np.arange(batch.num_rows), batch.num_rows // 500 + 1):
                 rows = np.repeat(some, m * m)
-                yield pa.RecordBatch.from_arrays([pa.array(key[some[0] * m * m:(some[-1] + 1) * m * m]), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["key", "rep", "n"])
+                slot = np.tile(np.arange(m * m, dtype=np.int32), len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(key[some[0] * m * m:(some[-1] + 1) * m * m]), pa.array(slot), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["key", "slot", "rep", "n"])
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "key long, rep long, n long")
+    return reps.select("rep", "n", "sig").mapInArrow(run, "key long, slot int, rep long, n long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -179,42 +183,60 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     return now.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def cross_pairs(members: DataFrame, count: int, least: float = 0.55, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): pairs from different components inside each key of ``members`` (key, rep, n,
-    comp, sig) that the size bound and the minimum hashes leave possible."""
-
-    def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n = len(rows)
-        rep, size, comp = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint32).reshape(n, count)
-        step = max(1, 4_000_000 // (n * count))
-        for at in range(0, n, step):
-            x = slice(at, min(n, at + step))
-            ok = (comp[x, None] != comp) & (rep[x, None] < rep) & (100 * np.minimum(size[x, None], size) >= threshold * np.maximum(size[x, None], size))
-            if ok.any():
-                ok &= (sig[x, None, :] == sig).sum(axis=2) >= least * count
-                i, j = np.nonzero(ok)
-                out.append((rep[x][i], rep[j]))
+def cross_pairs(members: DataFrame, k: int, m: int, best: bool, least: float = 0.55, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b, alike): pairs of members of one key (key, slot, rep, n, comp, sig) from different
+    components that the size bound and the minimum hashes leave possible.
+
+    ``best``: for each member outside its bucket's largest component the partner most alike
+    by minimum hashes.  Otherwise all such pairs, each only under its first common key."""
+
+    def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        slot = rows[0][1]
+        rep, size, comp = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
+        names, counts = np.unique(comp, return_counts=True)
+        if len(names) < 2:
+            return
+        outside = np.flatnonzero(comp != names[counts.argmax()])  # two members inside share a component
+        inside = comp == names[counts.argmax()]
+        sig = np.frombuffer(b"".join([r[5] for r in rows]), np.uint32).reshape(len(rows), 2 * k * m)
+        for x in np.array_split(outside, len(outside) * len(rows) * 2 * k * m // 8_000_000 + 1):
+            ok = (comp[x, None] != comp) & (100 * np.minimum(size[x, None], size) >= threshold * np.maximum(size[x, None], size))
+            if not best:
+                ok &= inside | (rep[x, None] < rep)
+            alike = np.where(ok, (sig[x, None, :] == sig).sum(axis=2), -1)
+            if best:
+                j = alike.argmax(axis=1)
+                i = np.flatnonzero(alike[np.arange(len(x)), j] >= least * 2 * k * m)
+                j = j[i]
+            else:
+                i, j = np.nonzero(alike >= least * 2 * k * m)
+                same = (sig[x[i]].reshape(-1, 2 * m, k) == sig[j].reshape(-1, 2 * m, k)).all(axis=2)
+                first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1) == slot
+                i, j = i[first], j[first]
+            if len(i):
+                out.append((rep[x[i]], rep[j], alike[i, j].astype(np.int32)))
+
+    def batches_of(found: list) -> Iterator[pa.RecordBatch]:
+        for columns in found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[0] != key:
                     pairs(rows, out) if len(rows) > 1 else None
                     key, rows = row[0], []
                 rows.append(row)
-            for a, b in out:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from batches_of(out)
         out = []
         pairs(rows, out) if len(rows) > 1 else None
-        for a, b in out:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield from batches_of(out)
 
     # by the number of partitions in force: a key's rows together, in order
-    dealt = members.select("key", "rep", "n", "comp", "sig").repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = members.select("key", "slot", "rep", "n", "comp", "sig").repartition("key").sortWithinPartitions("key", "rep")
+    return dealt.mapInArrow(run, "a long, b long, alike int")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, k: int = K, m: int = M) -> DataFrame:
@@ -235,7 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     by_key = W.partitionBy("key")
     keyed = (table_keys(reps, k, m).withColumn("hub", F.min(F.struct("rep", "n")).over(by_key)).withColumn("many", F.count(F.lit(1)).over(by_key))
-             .filter("many > 1").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
+             .filter("many > 1").select("key", "slot", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
     members = materialize(keyed, "near-members")
     to_hub = (members.filter((F.col("rep") != F.col("hub")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
               .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
@@ -244,13 +266,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = materialize(confirmed(to_hub, texts, width, threshold).union(shared), "near-links")
     comps = materialize(components(first), "near-comps")
 
-    placed = members.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
-    open_members = placed.join(mixed, "key", "left_semi").join(reps.select("rep", "sig"), "rep")
-    # links already confirmed have one component, so no pair is confirmed twice
-    second = materialize(confirmed(cross_pairs(open_members, 2 * k * m, threshold=threshold), texts, width, threshold), "near-links")
-    joined = comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).filter("a != b").union(second)
-    final = (components(joined) if second.limit(1).count() else comps).withColumnRenamed("node", "rep")
+    def joined(more: DataFrame) -> DataFrame:
+        """The components of ``comps`` and further links."""
+        return materialize(components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).filter("a != b").union(more)), "near-comps")
+
+    while True:
+        placed = members.select("key", "slot", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
+        unsettled = materialize(placed.join(mixed, "key", "left_semi").join(reps.select("rep", "sig"), "rep"), "near-open")
+        likely = cross_pairs(unsettled, k, m, True, threshold=threshold).groupBy("a").agg(F.max(F.struct("alike", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        more = materialize(confirmed(likely, texts, width, threshold), "near-links")
+        if not more.limit(1).count():
+            break
+        comps = joined(more)
+    # links already confirmed have one component, so no such pair is confirmed again
+    rest = materialize(confirmed(cross_pairs(unsettled, k, m, False, threshold=threshold).select("a", "b"), texts, width, threshold), "near-links")
+    final = (joined(rest) if rest.limit(1).count() else comps).withColumnRenamed("node", "rep")
     of_set = classes.join(final, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "set_id").join(of_set, "set_id", "left")
     component = F.coalesce("comp", "doc_id")
