@@ -229,7 +229,7 @@ class WordBpe:
         """Code point by code point, without the word-final sigma of ``str.lower``."""
         return "σ".join([x.lower() for x in text.split("Σ")]) if "Σ" in text else text.lower()
 
-    def encode(self, texts: list[str | None], most_known: int = 200_000) -> list[tuple[bytes, str]]:
+    def encode(self, texts: list[str | None], most_known: int = 120_000) -> list[tuple[bytes, str]]:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text:
         with no decoder in the file, its tokens joined by single spaces.
 
@@ -277,7 +277,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", keep_text: bo
 
     A null or empty text has no tokens and decodes to the empty string.  Rows map to rows:
     repeated rows give repeated results, an empty table an empty one."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     new = ["token_ids", "n_tokens", "decoded"]
     keep = [c for c in docs.columns if c not in new and (keep_text or c != text)]
     wanted = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])

@@ -159,5 +159,6 @@ def resample(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id",
              .select(F.col("_key").alias("_taken_key"), "_copies"))
     taken = materialize(taken, "mix-copies")
     keyed = docs.withColumn("_row_key", order_key(mix.seed, F.col(doc_id), F.crc32(F.encode(text_or_empty(text), "UTF-8"))))
-    met = join_measured(keyed, taken, F.col("_row_key") == F.col("_taken_key"))
+    # ids and counts are broadcast up to a small number only: the driver holds them too
+    met = join_measured(keyed, taken, F.col("_row_key") == F.col("_taken_key"), most=100_000)
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])

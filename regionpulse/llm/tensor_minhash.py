@@ -53,7 +53,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit ids of the distinct word shingles of a text; remembers word hashes up to a bound."""
 
-    def __init__(self, width: int = WIDTH, most: int = 500_000):
+    def __init__(self, width: int = WIDTH, most: int = 150_000):
         self.width, self.most, self.words = width, most, {}
 
     def word_hashes(self, data: bytes) -> np.ndarray:
