@@ -139,7 +139,8 @@ def taken_words(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id
     pieces = (at.filter("size > 0")
               .withColumn("block", F.explode(F.expr(f"sequence(start div {mix.block_words}, (start + size - 1) div {mix.block_words})")))
               .withColumn("_words", F.least(start + size, (F.col("block") + 1) * mix.block_words) - F.greatest(start, F.col("block") * mix.block_words)))
-    got = (pieces.join(used, ["source_key", "block"])
+    # slots come from a table of a few rows, so Spark would take them for few and broadcast them
+    got = (pieces.join(used.hint("merge"), ["source_key", "block"])
            .groupBy("source_key", "_key", "doc_id", "start", "size").agg(F.sum(F.col("_words") * F.col("times")).alias("taken")))
     kept = ["doc_id", "size", "source_key", "_key"]
     empty = at.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
