@@ -1,16 +1,21 @@
 """Information-theoretic sanitisation of personal data (DataFrame operations only).
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that
-patterns and checks find in whole texts.  A term that stands near an entity can give it
-away even when the entity itself is gone.  Corpus counts over documents say how much: with
-N documents, n_t with the term, n_e with the entity and n_te with the term near the entity,
+patterns and checks find in whole texts.  A term that stands in documents of an entity can
+give it away even when the entity itself is gone.  Corpus counts over documents say how much:
+with N documents, n_t with the term, n_e with the entity and n_te with both,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N n_te / (n_t n_e)) / log(N / n_e),
 
 the share of the entity's information content that the term reveals (1: whoever reads the
 term knows the entity).  Terms at or above ``disclosure`` in at least ``support`` different
-contexts of the entity are spans too.  Different contexts: a thousand copies of one
-passage are one context, so a word is not condemned for having been copied.
+contexts of the entity are condemned.  Different contexts: a thousand copies of one
+passage are one context, so a word is not condemned for having been copied.  Counts are
+taken twice, and either condemns: over whole documents (a context is a text), and over the
+surroundings of the entity within ``reach`` on its line (a context is such a passage).
+
+Every occurrence of a condemned term is a span, in every document, with or without the
+entity, unless it lies in an entity's own span.
 
 ``sanitize`` generalises entities to their kind and removes disclosing terms.
 
@@ -132,25 +137,93 @@ def contexts(text: Column, spans: Column, reach: int) -> Column:
     return F.transform(spans, one)
 
 
-def disclosing_spans(docs: DataFrame, found: DataFrame, rule: Disclosure, text: str = "text") -> DataFrame:
-    """(doc_id, text_id, added): spans of disclosing terms of each text that has any.
+def _whole(base: DataFrame, n_t: DataFrame, total: int, rule: Disclosure) -> DataFrame:
+    """(entity, term): terms that whole documents condemn.
+
+    share >= d needs n_t <= n_te (N / n_e)^(1 - d) <= n_e^d N^(1 - d): more common terms are
+    left out before terms meet entities, as are entities and terms in too few texts."""
+    entities = base.select("doc_id", "text_id", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
+    n_e = (entities.groupBy("entity", "text_id", "doc_id").count().groupBy("entity").agg(F.count_distinct("text_id").alias("texts"), F.count_distinct("doc_id").alias("n_e"))
+           .filter((F.col("texts") >= rule.support) & (F.col("n_e") < total))
+           .withColumn("most", F.pow("n_e", F.lit(rule.disclosure)) * F.pow(F.lit(float(total)), F.lit(1 - rule.disclosure)) * (1 + 1e-9)))
+    n_e = materialize(n_e.drop("texts"), "pii-entities")
+    held = materialize(join_measured(entities, n_e, "entity").distinct(), "pii-held")
+    texts = held.groupBy("doc_id", "text_id").agg(F.max("most").alias("_most"))
+    words = base.select("doc_id", "text_id", F.explode("words").alias("term")).distinct()
+    key = ["doc_id", "text_id"]
+    rare = join_measured(join_measured(words, texts, key), n_t.filter(F.col("n_t") >= rule.support), "term").filter("n_t <= _most").select(*key, "term", "n_t")
+    both = rare.join(held, key).filter("n_t <= most")
+    wanted = materialize(both.groupBy("entity", "term", "text_id").agg(F.count(F.lit(1)).alias("_")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"))
+                         .filter(F.col("texts") >= rule.support).select("entity", "term"), "pii-candidates")
+    n_te = join_measured(both, wanted, ["entity", "term"], "left_semi").select("entity", "term", "n_t", "n_e", "doc_id").distinct().groupBy("entity", "term", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
+    return n_te.filter(_share(total) >= rule.disclosure).select("entity", "term")
+
+
+def _share(total: int) -> Column:
+    return F.log(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
 
-    ``found``: written rows (doc_id, text_id, near) of the texts with entities."""
-    near = found.select("doc_id", "text_id", F.explode("near").alias("c")).select("doc_id", "text_id", "c.entity", "c.context", F.explode("c.terms").alias("t"))
-    pairs = (near.select("entity", F.col("t.value").alias("term"), "context", "doc_id").groupBy("entity", "term", "context").agg(F.count_distinct("doc_id").alias("docs"))
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_te_most")))
+
+def condemned(docs: DataFrame, base: DataFrame, rule: Disclosure, text: str = "text") -> DataFrame:
+    """(term), written: the terms that disclose some entity.
+
+    ``base``: written rows (doc_id, text_id, spans, near, words) of the texts with entities."""
+    near = base.select("doc_id", F.explode("near").alias("c")).select("doc_id", "c.entity", "c.context", F.explode("c.terms").alias("t"))
+    pairs = near.select("entity", F.col("t.value").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
     wanted = materialize(pairs.filter(F.col("contexts") >= rule.support).select("entity", "term"), "pii-candidates")
     n_te = near.select("entity", F.col("t.value").alias("term"), "doc_id").join(wanted, ["entity", "term"], "left_semi").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     n_e = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = wanted.select("term").distinct()
+    of_entities = base.select(F.explode("words").alias("term")).union(wanted.select("term")).distinct()
     in_texts = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TERM_PATTERN), F.lit(0)))).alias("term"))
-    n_t = join_measured(in_texts, terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = in_texts.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = materialize(counts.join(of_entities, "term", "left_semi"), "pii-counts")
     total = docs.count()
-    ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    share = F.log(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e"))) / ic
-    told = materialize(n_te.join(n_e, "entity").join(n_t, "term").filter((ic > 0) & (share >= rule.disclosure)).select("entity", "term"), "pii-terms")
-    return (near.withColumn("term", F.col("t.value")).join(told, ["entity", "term"], "left_semi")
-            .groupBy("doc_id", "text_id").agg(F.collect_set(F.struct(F.col("t.start").alias("start"), F.lit(len(KINDS)).alias("kind_no"), F.col("t.end").alias("end"), F.lit(None).cast("string").alias("entity"))).alias("added")))
+    told = n_te.join(n_e, "entity").join(n_t, "term").filter((F.log(F.lit(float(total)) / F.col("n_e")) > 0) & (_share(total) >= rule.disclosure))
+    return materialize(told.select("term").union(_whole(base, n_t, total, rule).select("term")).distinct(), "pii-terms")
+
+
+def _spans_of_terms(text: Column, spans: Column, terms: Column) -> Column:
+    """array of the spans, outside ``spans``, of all occurrences of ``terms``."""
+    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,entity:string>>")
+
+    def placed(found: Column) -> Column:
+        steps = F.arrays_zip(F.slice(F.split(text, TERM_PATTERN, -1), 1, F.size(found)).alias("gap"), found.alias("value"))
+
+        # only wanted places are appended: the cost of a text is its terms, not their square
+        def step(done: Column, x: Column) -> Column:
+            return let(done["at"] + F.length(x["gap"]), lambda start: let(start + F.length(x["value"]), lambda end: F.struct(end.alias("at"), F.when(
+                F.array_contains(terms, F.lower(x["value"])) & ~F.exists(spans, lambda o: (o["start"] < end) & (start < o["end"])),
+                F.array_append(done["out"], F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind_no"), end.alias("end"), F.lit(None).cast("string").alias("entity")))).otherwise(done["out"]).alias("out"))))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda done: done["out"])
+
+    return let(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), placed)
+
+
+def disclosing_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text_id, added): the spans of all condemned terms of each text that has any.
+
+    ``rows``: (doc_id, text_id, text, spans).  The distinct terms of every text meet the
+    condemned ones; only texts with a hit are read for places."""
+    distinct = rows.select("doc_id", "text_id", F.explode(_terms_of(F.col("text"))).alias("term"))
+    hits = materialize(join_measured(distinct, terms, "term", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_set("term").alias("_terms")), "pii-hits")
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), "_terms")
+    met = join_measured(rows, hits, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_id"] == F.col("_text_id")), most=200_000)
+    return (met.select("doc_id", "text_id", _spans_of_terms(F.col("text"), F.col("spans"), F.col("_terms")).alias("added")).filter(F.size("added") > 0)
+            .dropDuplicates(["doc_id", "text_id"]))
+
+
+def _terms_of(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), lambda t: F.lower(t)))
+
+
+def _replaced(t: Column, spans: Column, tags: Column) -> Column:
+    """The text with each stretch of spans replaced by the tag of the one that starts first."""
+    def step(done: Column, s: Column) -> Column:
+        new = s["start"] >= done["at"]
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(new, F.concat(
+            done["out"], F.substring(t, done["at"] + 1, s["start"] - done["at"]), F.get(tags, s["kind_no"]))).otherwise(done["out"]).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t))))
 
 
 def _text_id(text: Column) -> Column:
@@ -162,8 +235,11 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_id
     t = text_or_empty(text)
     rows = docs.select(docs[doc_id].alias("doc_id"), t.alias("text")).withColumn("spans", base_spans(F.col("text")))
     near = F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"), rule.reach))
-    base = materialize(rows.select("doc_id", _text_id(F.col("text")).alias("text_id"), "spans", near.alias("near")), "pii-spans")
-    added = disclosing_spans(docs, base.filter("near is not null"), rule, text)
+    # the words of a text with entities, its entities' own left out
+    words = F.when(F.size("spans") > 0, _terms_of(_replaced(F.col("text"), F.col("spans"), F.array(*[F.lit("\n") for _ in KINDS]))))
+    base = materialize(rows.select("doc_id", _text_id(F.col("text")).alias("text_id"), "spans", near.alias("near"), words.alias("words")), "pii-spans")
+    terms = condemned(docs, base.filter("near is not null"), rule, text)
+    added = disclosing_spans(rows.withColumn("text_id", _text_id(F.col("text"))), terms)
     return (_with_added(base.select("doc_id", "text_id", "spans"), added)
             .withColumn("all_spans", F.sort_array(F.concat("spans", F.coalesce("added", F.array()))))
             .drop("added"))
@@ -184,12 +260,4 @@ def sanitize(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "do
     met = join_measured(tagged, found, tagged[doc_id].eqNullSafe(F.col("_id")) & (F.col("_this_text") == F.col("_text_id")), "left", most=200_000)
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit(""))
     t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, s: Column) -> Column:
-        new = s["start"] >= done["at"]
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(new, F.concat(
-            done["out"], F.substring(t, done["at"] + 1, s["start"] - done["at"]), F.get(tags, s["kind_no"]))).otherwise(done["out"]).alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda done: F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t))))
-    return met.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(clean)).select(*[f"`{c}`" for c in docs.columns])
+    return met.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(_replaced(t, F.col("_spans"), tags))).select(*[f"`{c}`" for c in docs.columns])

@@ -225,6 +225,21 @@ def test_sanitized_text(docs):
     assert all("@corp" not in t for t in got if t) and pii_sanitize.sanitize(df).columns == df.columns
 
 
+def test_condemned_terms_go_from_every_document(docs):
+    # far from the address (another line, beyond the reach), and in a document without it
+    far = [f"zorbon{' filler' * 30}\nnote{k}\nboss@corp.example" for k in range(4)]
+    texts = [*far, "It was Zorbon, and zorbon only"] + [f"filler note{k} here" for k in range(60)]
+    clean = {r["doc_id"]: r["text"] for r in pii_sanitize.sanitize(docs(texts)).collect()}
+    assert all("zorbon" not in t.lower() for t in clean.values()) and clean[4] == "It was , and  only"
+    assert all(clean[k] == f"{' filler' * 30}\nnote{k}\n<EMAIL>" for k in range(4)) and clean[9] == texts[9]
+    # condemned near the address, it also goes from another line and another document
+    texts = disclosure_fixture()
+    texts[0] += "\nagain zorbon"
+    texts += ["zorbon elsewhere"]
+    clean = [r["text"] for r in pii_sanitize.sanitize(docs(texts)).orderBy("doc_id").collect()]
+    assert clean[0] == "number0   as <EMAIL> \nagain " and clean[-1] == " elsewhere"
+
+
 # ---------------------------------------------------------------- mixing
 
 def water_filled(sizes, weights, most=3):
