@@ -8,10 +8,12 @@ block each, cut into shards of ``shard_slots`` slots:
    ``most_repeats`` times its source (what is above goes to the others by weight, until
    none is above: the level where the capped sum meets the total, found in closed form).
 2. Source counts per shard.  Every slot draws its source from the target proportions.  The
-   uniforms of the draw are stratified (one in each G-th of the unit interval, G slots),
-   and an index permutation deals the strata to the slots, so the counts of a shard are a
-   multinomial draw around their expectation while each source's total is within one block
-   of its target.
+   uniforms of the draw are stratified (one in each G-th of the unit interval, G slots), so
+   that each source's total is within one block of its target: only the strata at the ends
+   of a source's run can go either way, and a uniform decides.  A keyed permutation of all
+   slots (``shuffled``) deals the strata to the slots, so a shard is a draw of its slots
+   without replacement: the counts vary as in a multinomial draw, the variance times
+   (G - shard) / (G - 1).
 3. Slots to blocks.  The j-th slot of a source takes the block at place j of a per-source
    pseudorandom permutation of its block numbers, with a new permutation after each full
    pass; no block is used more often than ``most_repeats`` times.
@@ -34,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from regionpulse.llm.common import join_measured, materialize, order_key, source_key, text_or_empty, word_count
+from regionpulse.llm.common import join_measured, let, materialize, order_key, source_key, text_or_empty, word_count
 
 #: weights given to the sources in order, repeating
 WEIGHTS = (5, 2, 1)
 #: multipliers of the index permutations: primes, of which one that does not divide the range is used
 PRIMES = (1000003, 1000033, 1000037, 1000039)
+#: exchanges of the permutation that deals slots to shards
+ROUNDS = 64
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,17 @@ def permuted(index: Column, size: Column, salt: Column) -> Column:
     return F.pmod(F.coalesce(*turned, F.lit(1)) * index + F.pmod(salt, size), size)
 
 
+def shuffled(index: Column, size: Column, seed: str, rounds: int = ROUNDS) -> Column:
+    """Place of ``index`` under a keyed random permutation of 0 .. size - 1 (swap or not: in
+    each round the places x and K - x modulo the size are exchanged or not by a hashed bit
+    of the pair, so every size is permuted exactly and neighbours part)."""
+    def step(x: Column, k: Column) -> Column:
+        return let(F.pmod(F.pmod(F.xxhash64(F.lit(seed), k), size) - x, size), lambda other: F.when(
+            F.xxhash64(F.lit(seed), k, F.greatest(x, other)) % 2 == 0, other).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
+
+
 def uniform(*parts: Column) -> Column:
     """A pseudorandom number in [0, 1) from the given values."""
     return order_key("uniform", *parts) / F.lit(float(1 << 60))
@@ -111,7 +126,7 @@ def slots(src: DataFrame, mix: Mixture, run: int = 4096) -> DataFrame:
             .repartition("source_key", "_run"))
     one = (runs.withColumn("_j", F.explode(F.expr(f"sequence(_run * {run}, least((_run + 1) * {run}, slot_end - slot_start) - 1)")))
            .withColumn("_pass", F.expr("_j div n_blocks")))
-    place = permuted(F.col("slot_start") + F.col("_j"), F.col("_total"), order_key(mix.seed, F.lit("strata")))
+    place = shuffled(F.col("slot_start") + F.col("_j"), F.col("_total"), mix.seed)
     block = permuted(F.expr("_j % n_blocks"), F.col("n_blocks"), order_key(mix.seed, F.col("source_key"), F.col("_pass")))
     return (one.withColumn("_place", place)
             .select(F.expr(f"_place div {mix.shard_slots}").alias("shard"), F.expr(f"_place % {mix.shard_slots}").alias("slot"),

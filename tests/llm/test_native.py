@@ -305,6 +305,19 @@ def test_slots_are_a_permutation_and_shards_follow_the_targets(spark, docs):
             assert abs(mine - 64 * n / total) <= 5 * math.sqrt(64 * n / total) + 1
 
 
+@pytest.mark.parametrize("total", [50_000, 100_000])
+def test_counts_of_shards_vary_as_a_draw_does(spark, total):
+    # the first 30% of the strata are one source
+    rows = spark.range(total).select("id", mixing.shuffled(F.col("id"), F.lit(total), "mixing-1").alias("place"))
+    assert rows.agg(F.count_distinct("place"), F.min("place"), F.max("place")).first()[:] == (total, 0, total - 1)
+    src = spark.createDataFrame([("sa", total // 2, 0, total * 3 // 10), ("sb", total, total * 3 // 10, total)], "source_key STRING, n_blocks BIGINT, slot_start BIGINT, slot_end BIGINT")
+    got = mixing.slots(src, mixing.Mixture()).filter("source_key = 'sa'").groupBy("shard").count().collect()
+    counts = [r["count"] for r in got if r["shard"] < total // 1024]
+    sd = math.sqrt(1024 * 0.3 * 0.7)
+    assert len(counts) == total // 1024 and all(abs(c - 1024 * 0.3) < 5 * sd for c in counts)
+    assert 0.65 * sd < math.sqrt(sum((c - 1024 * 0.3) ** 2 for c in counts) / len(counts)) < 1.4 * sd
+
+
 def test_whole_documents_in_the_mix(docs):
     df = docs([f"{'w ' * 50}{k}" for k in range(300)], ["a" if k % 10 else "b" for k in range(300)], extra="1 AS _copies2")
     got = mixing.resample(df)
