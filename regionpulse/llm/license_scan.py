@@ -5,9 +5,15 @@ word bigrams, 2|A & B| / (|A| + |B|).  Since |A & B| is at most the smaller size
 template can reach the threshold t only if its size is between |A| t / (2 - t) and
 |A| (2 - t) / t: the others are pruned before any bigram is compared.
 
-Compared units are the whole text and each of its lines, so both a licence file and a
-notice inside a document are found.  Normalising lower-cases and turns everything but
-ASCII letters, digits and line feeds into single spaces.
+Compared units are the whole text, each of its lines, and word windows of the whole text:
+for a template of n words, the n words from every place where one of its bigrams begins,
+line ends being spaces.  So a notice inside a longer line or paragraph is found, and so is a
+whole licence, wrapped anyhow, by the passage or notice of it that is a template.  Before any
+window is made, a template needs t / (2 - t) of its bigrams somewhere in the text: a window of
+at least shrink * |B| bigrams with 2|A & B| >= t (|A| + |B|) shares no fewer.  Windows count
+only for identifiers that no line and not the whole text has, one match for each identifier.
+Normalising lower-cases and turns everything but ASCII letters, digits and line feeds into
+single spaces.
 
 Defined cases: a null or empty text and a text of fewer than two words match nothing;
 rows map to rows, so repeated rows and ties need no care (equal Dice: the template first
@@ -44,6 +50,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "All rights reserved."),
 ]
 
+#: passages of whole licences that only windows are compared with, besides the notices above
+PASSAGES: list[tuple[str, str]] = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+]
+
 
 def plain_bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a template, by the rule that Spark applies to texts."""
@@ -59,7 +72,8 @@ def bigrams(line: Column) -> Column:
 
 def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str]] | None = None, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``licenses`` (identifiers that some unit reaches, sorted,
-    comma-joined), ``n_matches`` (matching lines and whole text, one line counting once),
+    comma-joined), ``n_matches`` (matching lines and whole text, one line counting once, and
+    identifiers that only windows find),
     ``best_license`` and ``best_dice`` (null and 0 without a match)."""
     given = [(k, name, grams) for k, (name, t) in enumerate(templates or TEMPLATES) if (grams := plain_bigrams(t))]
     shrink, grow = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -74,6 +88,33 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
             (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (size + F.size(t["grams"]))).alias("dice"), t["order"].alias("order"), t["name"].alias("name")))
         return F.when((size >= F.lit(least)) & (size <= F.lit(most)), F.array_max(F.filter(dice, lambda d: d["dice"] >= threshold))).otherwise(nothing)
 
+    passages = [(k, name, grams, len(re.findall("[a-z0-9]+", t.lower()))) for k, (name, t) in enumerate([*(templates or TEMPLATES), *([] if templates else PASSAGES)]) if (grams := plain_bigrams(t))]
+    every = F.array(*map(F.lit, sorted({g for _, _, grams, _ in passages for g in grams})))
+    sought = F.array(*[F.struct(F.lit(-k).alias("order"), F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(n).alias("words")) for k, name, grams, n in passages])
+    several = F.array().cast("array<struct<dice:double,at:int,until:int,order:int,name:string>>")
+
+    def windows(line: Column) -> Column:
+        """The best window of each template that has one, most alike first."""
+        def of_template(row: Column, t: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(row)), lambda i: F.array_contains(t["grams"], F.get(row, i - 1)))
+            return F.array_max(F.filter(F.transform(starts, lambda i: let(F.array_distinct(F.slice(row, i, t["words"] - 1)), lambda a: F.struct(
+                (2.0 * F.size(F.array_intersect(a, t["grams"])) / (F.size(a) + F.size(t["grams"]))).alias("dice"), (-i).alias("at"), (i + t["words"]).alias("until"), t["order"].alias("order"), t["name"].alias("name")))),
+                lambda d: d["dice"] >= threshold))
+
+        def in_text(row: Column) -> Column:
+            return let(F.array_intersect(row, every), lambda met: let(
+                F.filter(sought, lambda t: F.size(F.array_intersect(met, t["grams"])) >= F.size(t["grams"]) * F.lit(shrink - 1e-9)),
+                lambda some: F.when(F.size(some) == 0, several).otherwise(F.filter(F.transform(some, lambda t: of_template(row, t)), lambda m: m.isNotNull()))))
+
+        return let(F.split(line, " "), lambda w: F.when(F.size(w) >= 2, let(
+            F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))), in_text)).otherwise(several))
+
+    def unlike(seen: Column) -> Column:
+        """Windows without those that a more alike template of another identifier overlaps, one of each identifier."""
+        free = F.filter(seen, lambda m: ~F.exists(seen, lambda o: (o["name"] != m["name"]) & (-o["at"] < m["until"]) & (-m["at"] < o["until"])
+                                                  & ((o["dice"] > m["dice"]) | ((o["dice"] == m["dice"]) & (o["order"] > m["order"])))))
+        return F.filter(free, lambda m: ~F.exists(free, lambda o: (o["name"] == m["name"]) & (F.struct(o["dice"], o["order"]) > F.struct(m["dice"], m["order"]))))
+
     clean = F.regexp_replace(F.lower(text_or_empty(text)), r"[^a-z0-9\n]+", " ")
     # a text of one line is its own only unit
     units = let(clean, lambda c: let(F.split(c, "\n"), lambda ls: F.when(F.size(ls) > 1, F.concat(ls, F.array(F.regexp_replace(c, r"[\n ]+", " ")))).otherwise(ls)))
@@ -81,6 +122,10 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
     found = F.filter(F.transform(units, lambda u: let(F.trim(u), lambda line: let(
         F.length(line) - F.length(F.replace(line, F.lit(" "))),
         lambda spaces: F.when(spaces >= F.lit(least), let(bigrams(line), best)).otherwise(nothing)))), lambda m: m.isNotNull())
+    inside = let(windows(F.trim(F.regexp_replace(clean, r"[\n ]+", " "))), unlike)
+    found = let(found, lambda units: F.concat(units, F.transform(
+        F.filter(inside, lambda m: ~F.exists(units, lambda u: (u["name"] == m["name"]))), lambda m: F.struct(
+            m["dice"].alias("dice"), m["order"].alias("order"), m["name"].alias("name")))))
     names = ["licenses", "n_matches", "best_license", "best_dice"]
     return (docs.withColumn("_found", found)
             .select(*[f"`{c}`" for c in docs.columns if c not in {*names, text}],

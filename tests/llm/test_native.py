@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -161,6 +162,22 @@ def test_licences_on_whole_table_and_odd_rows(spark, docs, table):
     assert license_scan.scan(df.limit(0)).collect() == []
 
 
+def test_notices_inside_prose_and_wrapped_whole_licences(docs):
+    mit = (license_scan.TEMPLATES[2][1] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+           'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+           "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.")
+    prose = "some words of prose that say nothing about terms of use. "
+    texts = [prose * 3 + "Licensed under the Apache License, Version 2.0. " + prose * 3,
+             "MIT License\n\nCopyright (c) 2020 A Holder\n\n" + textwrap.fill(mit, 80),
+             "\n".join(["The licence", *textwrap.wrap(" ".join(f"filler{k}" for k in range(60)) + " " + license_scan.PASSAGES[0][1] + " " + prose, 60)]),
+             prose * 3 + license_scan.TEMPLATES[7][1] + " " + prose + "Licensed under CC BY-SA 4.0. " + prose,
+             prose * 9, "all that is reserved: rights, under the license of a public software"]
+    got = license_scan.scan(docs(texts)).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_matches"], r["best_dice"]) for r in got] == [
+        ("Apache-2.0", 1, 1.0), ("MIT", 1, 1.0), ("GPL-2.0", 1, 1.0), ("CC-BY-SA-4.0,GPL-3.0", 2, 1.0), ("", 0, 0.0), ("", 0, 0.0)]
+    assert all(plain_scan(t)[1] == 0 for t in texts)
+
+
 # ---------------------------------------------------------------- personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
