@@ -18,6 +18,7 @@ from regionpulse.llm import (
     mixing,
     pii_sanitize,
     tensor_minhash,
+    two_fit,
 )
 from regionpulse.llm.common import documents, vocabulary
 from regionpulse.llm.oracles import SQL
@@ -70,6 +71,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return two_fit.pack(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fingerprints, op2_host_quality, op3_fst_token_counts, op4_stratified_interleave, op5_license_scan, op6_pii_sanitize, op7_backoff_scores, op8_mix_sources, op9_tensor_minhash, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_merkle_fingerprints, op2_host_quality, op3_fst_token_counts, op4_stratified_interleave, op5_license_scan, op6_pii_sanitize, op7_backoff_scores, op8_mix_sources, op9_tensor_minhash, op10_bpe_round_trip,
+                                 op11_best_two_fit)
 }
