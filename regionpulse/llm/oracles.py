@@ -115,8 +115,10 @@ sp AS ({_SPANS}),
 around AS (SELECT row_number() OVER () AS uid, rid, doc_id, entity, st AS s0, en AS e0,
   substring(t, greatest(st - {_RULE.reach}, 0)::BIGINT + 1, least(st, {_RULE.reach})::BIGINT) AS b0, substring(t, en::BIGINT + 1, {_RULE.reach} + 1) AS a0 FROM sp),
 ctx AS (SELECT uid, rid, doc_id, entity, s0, e0,
-  string_split(CASE WHEN s0 > {_RULE.reach} THEN regexp_replace(b0, '^[^ 	-]+', '') ELSE b0 END, chr(10))[-1] AS b,
-  string_split(CASE WHEN length(a0) > {_RULE.reach} THEN regexp_replace(a0, '[^ 	-]+$', '') ELSE a0 END, chr(10))[1] AS a FROM around),
+  string_split(CASE WHEN s0 > {_RULE.reach} THEN regexp_replace(b0, '^[^ 	-
+]+', '') ELSE b0 END, chr(10))[-1] AS b,
+  string_split(CASE WHEN length(a0) > {_RULE.reach} THEN regexp_replace(a0, '[^ 	-
+]+$', '') ELSE a0 END, chr(10))[1] AS a FROM around),
 near0 AS (SELECT rid, doc_id, entity, a, b, lower(v) AS term, s0 - length(b) + st AS st, s0 - length(b) + en AS en FROM {_located('ctx', 'b', r'[\p{L}\p{N}]{3,}')}
   UNION ALL SELECT rid, doc_id, entity, a, b, lower(v), e0 + st, e0 + en FROM {_located('ctx', 'a', r'[\p{L}\p{N}]{3,}')}),
 near AS (SELECT * FROM near0 x WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.rid = x.rid AND sp.st < x.en AND x.st < sp.en)),
@@ -211,8 +213,45 @@ least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept FROM n LEFT JOIN least_id ON doc_id = x
 """
 
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+WITH {_D},
+tok AS (SELECT rid, unnest({_TERMS.format(_LOWER)}) AS w FROM d),
+tf AS (SELECT rid, w, count(*) AS tf FROM tok GROUP BY ALL),
+n AS (SELECT rid, sum(tf)::BIGINT AS n FROM tf GROUP BY rid),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+weight AS (SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, total GROUP BY w, docs),
+item AS (SELECT row_number() OVER () AS iid, item_id, coalesce(text, '') AS t FROM benchmark),
+asked AS (SELECT iid, w, count(*) AS times FROM (SELECT iid, unnest({_TERMS.format(_LOWER)}) AS w FROM item) GROUP BY ALL),
+scored AS (SELECT iid, rid, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+           FROM asked JOIN tf USING (w) JOIN weight USING (w) JOIN n USING (rid), total GROUP BY ALL HAVING score > 0),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored JOIN d USING (rid) JOIN item USING (iid))
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+{_D},
+run AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM d) GROUP BY ALL),
+hashed AS (SELECT run, k, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM run, crc_table WHERE length(run) >= 6),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+hole AS (SELECT word, n, i, substring(word, 1, i) AS head, substring(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+pair AS (SELECT a.word AS word, a.n AS n, b.word AS other, b.n AS other_n FROM hole a JOIN hole b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION ALL SELECT x.word, x.n, v.word, v.n FROM (SELECT DISTINCT word, n, head || tail AS less FROM hole) x JOIN v ON v.word = x.less
+  UNION ALL SELECT v.word, v.n, x.word, x.n FROM (SELECT DISTINCT word, n, head || tail AS less FROM hole) x JOIN v ON v.word = x.less),
+near AS (SELECT word, n, count(*) AS n_near, max(other_n) AS most, arg_min(other, struct_pack(a := -other_n, b := encode(other))) AS other FROM pair GROUP BY word, n),
+form AS (SELECT word, other AS form, most AS form_n FROM near WHERE most >= 5 * n),
+chain AS (SELECT word, form AS root, 1 AS step FROM form UNION ALL SELECT chain.word, form.form, step + 1 FROM chain JOIN form ON chain.root = form.word),
+root AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT v.word, form.form, coalesce(root.root, v.word) AS root, v.n, coalesce(near.n_near, 0)::BIGINT AS n_near, form.form_n::BIGINT AS form_n
+FROM v LEFT JOIN near ON v.word = near.word LEFT JOIN form ON v.word = form.word LEFT JOIN root ON v.word = root.word
+"""
+
 SQL: dict[str, str] = {
     "op2_host_quality": OP2, "op4_stratified_interleave": OP4, "op5_license_scan": OP5,
     "op6_pii_sanitize": OP6, "op7_backoff_scores": OP7,
     "op8_mix_sources": OP8, "op9_tensor_minhash": OP9,
+    "op12_ball_tree_search": OP12, "op13_frequency_trie": OP13,
 }

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from regionpulse.llm import (
     backoff_lm,
+    ball_tree,
     bpe_segment,
+    frequency_trie,
     fst_tokens,
     host_rules,
     interleave,
@@ -76,7 +78,16 @@ def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_fit.pack(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return ball_tree.search(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
+def op13_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency_trie.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_merkle_fingerprints, op2_host_quality, op3_fst_token_counts, op4_stratified_interleave, op5_license_scan, op6_pii_sanitize, op7_backoff_scores, op8_mix_sources, op9_tensor_minhash, op10_bpe_round_trip,
-                                 op11_best_two_fit)
+                                 op11_best_two_fit, op12_ball_tree_search, op13_frequency_trie)
 }
