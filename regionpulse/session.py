@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -65,14 +67,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/regionpulse-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str):
+#: the written tables of each open scope, innermost last
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are removed at the end, except those it is
+    told to ``keep`` for the result, which belong to the scope around this one (without one,
+    they stay).  What leaves the scope must read kept tables only."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _SCOPES.pop())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables wherever they are stored."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def materialize(df, name: str, keep: bool = False):
     """Write ``df`` once to the shared checkpoint folder and return the re-read table.
 
     Used where a (small, derived) table has several consumers: Spark would otherwise
     re-expand and recompute its whole plan for each of them.  The written table also
-    cuts the lineage, so a lost executor costs one stage, not the whole chain."""
+    cuts the lineage, so a lost executor costs one stage, not the whole chain.  Inside
+    ``scratch`` the table lives as long as that scope, with ``keep`` as long as the one around it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.parquet(path)
-
