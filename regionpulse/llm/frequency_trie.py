@@ -1,14 +1,16 @@
 """Spelling variants: words one edit apart, found in a trie over letter-group counts.
 
-The letters fall into ``GROUPS`` groups; a word's path is the number of its letters in each
-group, one after the other, and the trie arranges words by these counts.  One edit changes
-a path by one surplus (a letter more), one deficit (a letter less) or one of each, in the
-same group or in two.  So a depth-first search that may spend one surplus and one deficit
+The letters fall into ``GROUPS`` groups; a word's path is its length and then the number of
+its letters in each group, and the trie arranges words by these counts.  One edit changes
+the group counts by one surplus (a letter more), one deficit (a letter less) or one of each, in
+the same group or in two.  So a depth-first search that may spend one surplus and one deficit
 reaches every word one edit away, and the few words at a leaf are verified.  As nearness
-has no direction, a search spends its surplus first: of two words only one finds the other.
+has no direction, a search looks for words one letter longer (a surplus to spend) and for
+words of its own length (a surplus and after it a deficit): of two words only one finds the
+other.
 
-The vocabulary is dealt to tasks by subtrees.  A subtree is cut where it holds at most
-``most_words``; a search is sent to each cut that its first steps can reach, with the budget
+The vocabulary is dealt to tasks by subtrees.  A subtree is cut, at one of a few ``DEPTHS``,
+where it holds at most ``most_words``; a search is sent to each cut that its first steps can reach, with the budget
 that is left.  A leaf with more words than that, or a subtree that more searches reach, is
 dealt in blocks (some words x some searches), so no task holds an unbounded group; at a
 leaf of many words only those with an equal half are looked at, as one edit leaves one half
@@ -32,7 +34,12 @@ from pyspark.sql import functions as F
 from regionpulse.llm.common import materialize, text_or_empty
 
 GROUPS = 13
-#: a letter's group is its code point modulo the number of groups
+#: levels at which subtrees can be cut; the last is a leaf
+DEPTHS = (1, 3, 5, 7, 9, 1 + GROUPS)
+#: what a search has spent: with its own length nothing, the surplus, both; with one letter more nothing, the surplus
+NONE, SURPLUS, BOTH, LONGER, INSERTED = range(5)
+#: letters from frequent to rare: the first levels of the trie tell words apart best
+ORDER = "etaoinsrhldcumfpgwybvkxjqz"
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,24 +57,48 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     return hashed.select(word.alias("word")).filter(F.length("word") >= least_chars).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_count)
 
 
-def path_of(word: str, groups: int = GROUPS) -> tuple[int, ...]:
-    counts = [0] * groups
+class GroupOf(dict):
+    """The group of each letter: its place in ``ORDER``, of others the code point, modulo ``GROUPS``."""
+
+    def __missing__(self, letter: str) -> int:
+        self[letter] = group = (ORDER.find(letter) if letter in ORDER else ord(letter)) % GROUPS
+        return group
+
+
+_GROUP = GroupOf()
+
+
+def path_of(word: str) -> tuple[int, ...]:
+    counts = [0] * GROUPS
     for c in word:
-        counts[ord(c) % groups] += 1
-    return tuple(counts)
+        counts[_GROUP[c]] += 1
+    return (len(word), *counts)
+
+
+def spend(spent: int, level: int, difference: int) -> int:
+    """What is spent after a level whose count differs by that much; -1: out of reach."""
+    if not difference:
+        return spent
+    if level == 0:
+        return LONGER if difference == 1 else -1
+    if difference == 1 and spent in (NONE, LONGER):
+        return spent + 1
+    return BOTH if difference == -1 and spent == SURPLUS else -1
 
 
 def reachable(path: tuple[int, ...], depth: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(first ``depth`` counts, spent) of all subtrees that a search can enter: 0 nothing
-    spent, 1 the surplus, 2 the surplus and after it the deficit."""
+    """(first ``depth`` >= 1 counts, spent) of all subtrees that a search can enter."""
     top = path[:depth]
-    yield top, 0
-    for i in range(depth):
+    longer = (top[0] + 1,) + top[1:]
+    yield top, NONE
+    yield longer, LONGER
+    for i in range(1, depth):
+        yield longer[:i] + (top[i] + 1,) + top[i + 1:], INSERTED
         more = top[:i] + (top[i] + 1,) + top[i + 1:]
-        yield more, 1
+        yield more, SURPLUS
         for j in range(i + 1, depth):
             if top[j]:
-                yield more[:j] + (top[j] - 1,) + more[j + 1:], 2
+                yield more[:j] + (top[j] - 1,) + more[j + 1:], BOTH
 
 
 def name_of(top: tuple[int, ...]) -> str:
@@ -113,12 +144,13 @@ class Leaf:
 class Trie:
     """Words arranged by their counts from level ``depth`` on; a path without a fork is one leaf."""
 
-    def __init__(self, words: list[str], depth: int = 0, groups: int = GROUPS):
-        self.depth, self.groups = depth, groups
+    def __init__(self, words: list[str], depth: int = 0):
+        self.depth = depth
         by_path: dict[tuple[int, ...], list[str]] = {}
         for w in words:
-            by_path.setdefault(path_of(w, groups), []).append(w)
-        self.root = self._node([Leaf(p, ws) for p, ws in by_path.items()], depth)
+            by_path.setdefault(path_of(w), []).append(w)
+        leaves = [Leaf(p, ws) for p, ws in by_path.items()]
+        self.root = self._node(leaves, depth) if leaves else {}
 
     def _node(self, leaves: list[Leaf], level: int):
         if len(leaves) == 1:
@@ -128,20 +160,20 @@ class Trie:
             children.setdefault(leaf.path[level], []).append(leaf)
         return {count: self._node(some, level + 1) for count, some in children.items()}
 
-    def near(self, word: str, spent: int = 0) -> Iterator[str]:
+    def near(self, word: str, spent: int = NONE) -> Iterator[str]:
         """Words one edit from ``word`` that a search finds with the budget that is left."""
-        path, groups = path_of(word, self.groups), self.groups
+        path = path_of(word)
+        levels = len(path)
         stack = [(self.root, self.depth, spent)]
         while stack:
             node, level, spent = stack.pop()
             if isinstance(node, Leaf):
                 other = node.path
-                while level < groups and spent >= 0:
-                    step = other[level] - path[level]
-                    if step:
-                        spent = 1 if step == 1 and not spent else 2 if step == -1 and spent == 1 else -1
+                while level < levels and spent >= 0:
+                    if other[level] != path[level]:
+                        spent = spend(spent, level, other[level] - path[level])
                     level += 1
-                if spent >= 0:
+                if spent in (NONE, BOTH, INSERTED):
                     for w in node.candidates(word):
                         # with nothing spent both words find each other: the smaller one counts
                         if (spent or word < w) and one_edit(word, w):
@@ -150,44 +182,53 @@ class Trie:
             count = path[level]
             if (child := node.get(count)) is not None:
                 stack.append((child, level + 1, spent))
-            if spent == 0 and (child := node.get(count + 1)) is not None:
-                stack.append((child, level + 1, 1))
-            elif spent == 1 and (child := node.get(count - 1)) is not None:
-                stack.append((child, level + 1, 2))
+            if level == 0:
+                if (child := node.get(count + 1)) is not None:
+                    stack.append((child, 1, LONGER))
+            elif spent == NONE or spent == LONGER:
+                if (child := node.get(count + 1)) is not None:
+                    stack.append((child, level + 1, spent + 1))
+            elif spent == SURPLUS and (child := node.get(count - 1)) is not None:
+                stack.append((child, level + 1, BOTH))
 
 
-def near_pairs(vocabulary: DataFrame, groups: int = GROUPS, most_words: int = 5_000, searches_per_task: int = 25_000) -> DataFrame:
+def near_pairs(vocabulary: DataFrame, cut_depths: tuple[int, ...] = DEPTHS, most_words: int = 20_000, searches_per_task: int = 25_000, most_cuts: int = 1_000_000) -> DataFrame:
     """(a, n_a, b, n_b): every two words of ``vocabulary`` (word, n; a written table of
     distinct words) that are one edit apart, once."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            paths = [path_of(w, groups) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(p[:d]) for p in paths for d in range(groups + 1)], pa.string()),
-                                              pa.array([d for _ in paths for d in range(groups + 1)], pa.int32()),
-                                              pa.array([w for w in words for _ in range(groups + 1)], pa.string())], names=["top", "depth", "word"])
+            paths = [path_of(w) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(p[:d]) for p in paths for d in cut_depths], pa.string()),
+                                              pa.array([d for _ in paths for d in cut_depths], pa.int32()),
+                                              pa.array([w for w in words for _ in cut_depths], pa.string())], names=["top", "depth", "word"])
 
     tops = vocabulary.select("word").mapInArrow(prefixes, "top string, depth int, word string")
     sizes = tops.groupBy("top", "depth").agg(F.count(F.lit(1)).alias("size"))
     # the first subtree on a word's path that is small enough, or its leaf
-    able = materialize(sizes.filter((F.col("size") <= most_words) | (F.col("depth") == groups)), "trie-sizes")
+    able = materialize(sizes.filter((F.col("size") <= most_words) | (F.col("depth") == cut_depths[-1])), "trie-sizes")
     home = tops.join(able, ["top", "depth"]).groupBy("word").agg(F.min(F.struct("depth", "top", "size")).alias("home"))
     homes = materialize(home.select("word", "home.*").join(vocabulary, "word"), "trie-homes")
-    cuts = homes.select("top", "depth", "size").distinct()
-    depths = sorted(r["depth"] for r in cuts.select("depth").distinct().collect())  # at most ``groups`` + 1 numbers
+    cuts = materialize(homes.select("top", "depth", "size").distinct(), "trie-cuts")
+    # the names of the cuts, where they are few enough to be known to every task; beyond that
+    # the join below alone finds the cuts among all that a search could enter
+    known = {r["top"] for r in cuts.select("top").collect()} if cuts.count() <= most_cuts else None
+    tuples = None if known is None else {tuple(map(int, top.split(":")[1].split(","))) for top in known}
+    depths = sorted(r["depth"] for r in cuts.select("depth").distinct().collect())  # some of ``cut_depths``
 
     def searches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for some in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 top, row, spent = [], [], []
                 for k, w in enumerate(some.column(0).to_pylist()):
-                    path = path_of(w, groups)
+                    path = path_of(w)
                     for depth in depths:
                         for at, s in reachable(path, depth):
-                            top.append(name_of(at))
-                            row.append(k)
-                            spent.append(s)
+                            if tuples is None or at in tuples:
+                                top.append(name_of(at))
+                                row.append(k)
+                                spent.append(s)
                 rows = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), some.column(0).take(rows), some.column(1).take(rows), pa.array(spent, pa.int32())], names=["top", "word", "n", "spent"])
 
@@ -201,17 +242,30 @@ def near_pairs(vocabulary: DataFrame, groups: int = GROUPS, most_words: int = 5_
     queries = (sent.select("top", "word", "n", "spent").join(blocks, "top").withColumn("part", (part % F.col("of_searches")).cast("int"))
                .withColumn("block", every("of_words")).select("top", "depth", "block", "part", "word", "n", "spent"))
 
-    def search(table: pa.Table) -> pa.Table:
-        depth = table.column("depth")[0].as_py()
-        words, counts, spent = (table.column(c).to_pylist() for c in ("word", "n", "spent"))
-        n_of = {w: n for w, n, s in zip(words, counts, spent) if s < 0}
-        trie = Trie(list(n_of), depth, groups)
-        out = [(w, n, other, n_of[other]) for w, n, s in zip(words, counts, spent) if s >= 0 for other in trie.near(w, s)] if n_of else []
-        return pa.table({name: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate((("a", pa.string()), ("n_a", pa.int64()), ("b", pa.string()), ("n_b", pa.int64())))})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts, trie = None, {}, None  # of the words of the block at hand, which come before its searches
+        for batch in batches:
+            a, b = [], []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:4] != key:
+                    key, counts, trie = row[:4], {}, None
+                _, depth, _, _, spent, word, n = row
+                if spent < 0:
+                    counts[word] = n
+                    continue
+                if trie is None:
+                    trie = Trie(list(counts), depth) if counts else ()
+                if counts:
+                    for other in trie.near(word, spent):
+                        a.append((word, n))
+                        b.append((other, counts[other]))
+            columns = [pa.array([x[i] for x in side], t) for side in (a, b) for i, t in ((0, pa.string()), (1, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "n_a", "b", "n_b"])
 
     keys = ["top", "depth", "block", "part"]
     tasks = max(1, sent.count() // searches_per_task)  # by work: Spark would go by bytes, which are few
-    return targets.union(queries).repartition(tasks, *keys).groupBy(*keys).applyInArrow(search, "a string, n_a long, b string, n_b long")
+    dealt = targets.union(queries).select(*keys, "spent", "word", "n").repartition(tasks, *keys).sortWithinPartitions(*keys, "spent")
+    return dealt.mapInArrow(search, "a string, n_a long, b string, n_b long")
 
 
 def roots(forms: DataFrame, most_rounds: int = 40) -> DataFrame:
