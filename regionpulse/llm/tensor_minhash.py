@@ -9,21 +9,31 @@ sets with similarity s share a key with probability (1 - (1 - s^k)^m)^2; at the
 Sharing a key only proposes a pair.  Links are confirmed on the full sets, as
 |intersection| * 100 >= threshold * |union|.  Equal sets are one class from the start.
 
+A combined key can be shared only if both of its bands are, so the 2m band hashes are
+counted first, and keys are formed from shared bands only: the same keys, far fewer rows.
+
 Proposals per key, without listing all pairs of a bucket:
 
-1. Every member of a bucket is checked against the bucket's smallest id, and the confirmed
-   links are closed to components.
+1. Every document is checked against one other, the smallest of its buckets' smallest
+   ids, and the confirmed links are closed to components.
 2. In buckets that still hold several components, every member outside the largest one is
    checked against the member of another component that is most alike by minimum hashes
    (one pair per member).  This is repeated until it finds no more links.
-3. Then all pairs from different components that are left in a bucket are looked at, in
-   blocks inside the task and each under its first common key only, filtered by exact size
+3. Then all pairs from different components that are left in a bucket are looked at, each
+   under its first common key only, filtered by exact size
    bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below the filter's
    0.55 once in ten million), and confirmed on the full sets.
 
-A group of thousands of near copies thus costs a few links per member, while no pair of
+Steps 2 and 3 deal a bucket in pairs of blocks of bounded size, (members outside the largest
+component) x (members inside) and outside x outside, so no task holds a whole bucket and
+members of one component are never compared.  A group of thousands of near copies thus
+costs a few links per member, while no pair of
 members of different components is left unchecked.  Nothing is collected to the driver;
-components are found by alternating large-star and small-star steps over written tables.
+components are found by alternating large-star and small-star steps over written tables,
+which are removed when the result is written.
+
+Very long texts are one set like any other; columns other than the id and the text are not
+read here, and ``one_per_group`` returns them untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from regionpulse.llm.common import join_measured, materialize, small_batches
+from regionpulse.llm.common import materialize, small_batches
+from regionpulse.session import scratch
 
 K, M, THRESHOLD, WIDTH, SEED = 3, 12, 80, 2, 11
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -110,26 +121,47 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, count: int)
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, n long, set_id binary, sig binary")
 
 
-def table_keys(reps: DataFrame, k: int, m: int) -> DataFrame:
-    """(key, slot, rep, n): the m * m combined keys of each set, slot = i * m + j for (A_i, B_j)."""
+def _bands(sig: list[bytes], k: int, m: int) -> np.ndarray:
+    """[set, band] hashes of the 2m bands; a band's number is part of its hash."""
+    values = np.frombuffer(b"".join(sig), np.uint32).reshape(len(sig), 2 * m, k).astype(np.uint64)
+    band = np.zeros(values.shape[:2], np.uint64)
+    for i in range(k):
+        band = _mixed(band * ODD + values[:, :, i])
+    return _mixed(band + np.arange(2 * m, dtype=np.uint64))
+
+
+def shared_bands(reps: DataFrame, k: int, m: int) -> DataFrame:
+    """(rep, bands): numbers of the bands that a set shares with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, 2 * m, k).astype(np.uint64)
-            band = np.zeros(sig.shape[:2], np.uint64)
-            for i in range(k):
-                band = _mixed(band * ODD + sig[:, :, i])
-            band += np.arange(2 * m, dtype=np.uint64)  # the band's number is part of its hash
-            a, b = _mixed(band[:, :m]), _mixed(band[:, m:])
-            key = _mixed(a[:, :, None] * ODD + b[:, None, :]).reshape(-1).view(np.int64)
-            for some in np.array_split(np.arange(batch.num_rows), batch.num_rows // 500 + 1):
-                rows = np.repeat(some, m * m)
-                slot = np.tile(np.arange(m * m, dtype=np.int32), len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(key[some[0] * m * m:(some[-1] + 1) * m * m]), pa.array(slot), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["key", "slot", "rep", "n"])
+            if batch.num_rows:
+                band = _bands(batch.column(1).to_pylist(), k, m)
+                rows = np.repeat(np.arange(batch.num_rows), 2 * m)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.tile(np.arange(2 * m, dtype=np.int32), batch.num_rows)), pa.array(band.reshape(-1).view(np.int64))], names=["rep", "band", "hash"])
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "key long, slot int, rep long, n long")
+    bands = reps.select("rep", "sig").mapInArrow(run, "rep long, band int, hash long")
+    common = bands.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("hash")
+    found = bands.join(common, "hash", "left_semi").groupBy("rep").agg(F.collect_set("band").alias("bands"))
+    return found.filter(F.exists("bands", lambda b: b < m) & F.exists("bands", lambda b: b >= m))
+
+
+def table_keys(reps: DataFrame, k: int, m: int) -> DataFrame:
+    """(key, slot, rep, n): the combined keys of the listed bands of (rep, n, sig, bands);
+    slot = i * m + j for (A_i, B_j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                band = _bands(batch.column(2).to_pylist(), k, m)
+                able = np.zeros(band.shape, bool)
+                lists = batch.column(3)
+                able[np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = True
+                row, slot = np.nonzero((able[:, :m, None] & able[:, None, m:]).reshape(batch.num_rows, m * m))
+                key = _mixed(band[row, slot // m] * ODD + band[row, m + slot % m]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(slot.astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["key", "slot", "rep", "n"])
+
+    return reps.select("rep", "n", "sig", "bands").mapInArrow(run, "key long, slot int, rep long, n long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -183,59 +215,92 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     return now.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def cross_pairs(members: DataFrame, k: int, m: int, best: bool, least: float = 0.55, threshold: int = THRESHOLD) -> DataFrame:
+def block_pairs(members: DataFrame, most: int = 400) -> DataFrame:
+    """(key, x, inside, y, first, second, ...): the rows of buckets with several components
+    (key, slot, rep, n, comp, sig), dealt to pairs of blocks of about ``most`` rows.
+
+    Members outside a bucket's largest component make blocks x; each meets every block y of
+    members inside, and every block y >= x of members outside.  ``first`` and ``second`` tell
+    on which sides of its pair a row stands."""
+    per_comp = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    per_key = per_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).filter(F.col("all") > F.col("top.c"))
+    blocks = lambda n: F.ceil(n / most).cast("int")
+    per_key = per_key.select("key", F.col("top.comp").alias("largest"), blocks(F.col("top.c")).alias("ins"), blocks(F.col("all") - F.col("top.c")).alias("outs"))
+    rows = members.join(per_key, "key").withColumn("out", F.col("comp") != F.col("largest"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    rows = rows.withColumn("own", own)
+
+    def place(x, inside: bool, y, first, second):
+        return F.struct(x.alias("x"), F.lit(inside).alias("inside"), y.alias("y"), first.alias("first"), second.alias("second"))
+
+    me, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    with_inside = F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda y: place(me, True, y, yes, no))
+    with_outside = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: place(F.least(me, o), False, F.greatest(me, o), me <= o, me >= o))
+    with_any = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda x: place(x, True, me, no, yes))
+    at = F.explode(F.when(F.col("out"), F.concat(with_inside, with_outside)).otherwise(with_any)).alias("at")
+    return rows.select("key", "slot", "rep", "n", "comp", "sig", at).select("key", "at.*", "slot", "rep", "n", "comp", "sig")
+
+
+def cross_pairs(members: DataFrame, k: int, m: int, best: bool, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400) -> DataFrame:
     """(a, b, alike): pairs of members of one key (key, slot, rep, n, comp, sig) from different
     components that the size bound and the minimum hashes leave possible.
 
     ``best``: for each member outside its bucket's largest component the partner most alike
-    by minimum hashes.  Otherwise all such pairs, each only under its first common key."""
+    by minimum hashes, in each pair of blocks.  Otherwise all such pairs, each only under
+    its first common key."""
 
     def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        slot = rows[0][1]
-        rep, size, comp = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
-        names, counts = np.unique(comp, return_counts=True)
-        if len(names) < 2:
+        slot, inside, same_block = rows[0][6], rows[0][2], rows[0][1] == rows[0][3]
+        one, two = ([r for r in rows if r[side]] for side in (4, 5))
+        if not one or not two:
             return
-        outside = np.flatnonzero(comp != names[counts.argmax()])  # two members inside share a component
-        inside = comp == names[counts.argmax()]
-        sig = np.frombuffer(b"".join([r[5] for r in rows]), np.uint32).reshape(len(rows), 2 * k * m)
-        for x in np.array_split(outside, len(outside) * len(rows) * 2 * k * m // 8_000_000 + 1):
-            ok = (comp[x, None] != comp) & (100 * np.minimum(size[x, None], size) >= threshold * np.maximum(size[x, None], size))
-            if not best:
-                ok &= inside | (rep[x, None] < rep)
-            alike = np.where(ok, (sig[x, None, :] == sig).sum(axis=2), -1)
+        (rep, size, comp), (rep2, size2, comp2) = [[np.array([r[i] for r in some], np.int64) for i in (7, 8, 9)] for some in (one, two)]
+        sig, sig2 = [np.frombuffer(b"".join([r[10] for r in some]), np.uint32).reshape(len(some), 2 * k * m) for some in (one, two)]
+        top = np.full(len(two), -1)  # of the second side: how alike the best of the first is, and which
+        top_at = np.zeros(len(two), np.int64)
+        for x in np.array_split(np.arange(len(one)), len(one) * len(two) * 2 * k * m // 4_000_000 + 1):
+            ok = (comp[x, None] != comp2) & (100 * np.minimum(size[x, None], size2) >= threshold * np.maximum(size[x, None], size2))
+            if same_block and not inside and not best:
+                ok &= rep[x, None] < rep2
+            alike = np.where(ok, (sig[x, None, :] == sig2).sum(axis=2), -1)
             if best:
                 j = alike.argmax(axis=1)
                 i = np.flatnonzero(alike[np.arange(len(x)), j] >= least * 2 * k * m)
-                j = j[i]
-            else:
-                i, j = np.nonzero(alike >= least * 2 * k * m)
-                same = (sig[x[i]].reshape(-1, 2 * m, k) == sig[j].reshape(-1, 2 * m, k)).all(axis=2)
-                first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1) == slot
-                i, j = i[first], j[first]
-            if len(i):
-                out.append((rep[x[i]], rep[j], alike[i, j].astype(np.int32)))
+                out.append((rep[x[i]], rep2[j[i]], alike[i, j[i]].astype(np.int32)))
+                if not inside and not same_block:
+                    better = alike.max(axis=0) > top
+                    top_at[better] = x[alike.argmax(axis=0)[better]]
+                    top = np.maximum(top, alike.max(axis=0))
+                continue
+            i, j = np.nonzero(alike >= least * 2 * k * m)
+            same = (sig[x[i]].reshape(-1, 2 * m, k) == sig2[j].reshape(-1, 2 * m, k)).all(axis=2)
+            first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1) == slot
+            i, j = i[first], j[first]
+            out.append((rep[x[i]], rep2[j], alike[i, j].astype(np.int32)))
+        j = np.flatnonzero(top >= least * 2 * k * m)
+        out.append((rep2[j], rep[top_at[j]], top[j].astype(np.int32)))
 
     def batches_of(found: list) -> Iterator[pa.RecordBatch]:
-        for columns in found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "alike"])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
             out: list = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != key:
+                if row[:4] != key:
                     pairs(rows, out) if len(rows) > 1 else None
-                    key, rows = row[0], []
+                    key, rows = row[:4], []
                 rows.append(row)
             yield from batches_of(out)
         out = []
         pairs(rows, out) if len(rows) > 1 else None
         yield from batches_of(out)
 
-    # by the number of partitions in force: a key's rows together, in order
-    dealt = members.select("key", "slot", "rep", "n", "comp", "sig").repartition("key").sortWithinPartitions("key", "rep")
+    # by the number of partitions in force: the rows of a pair of blocks together, in order
+    group = ["key", "x", "inside", "y"]
+    dealt = block_pairs(members, most).select(*group, "first", "second", "slot", "rep", "n", "comp", "sig").repartition(*group).sortWithinPartitions(*group, "rep")
     return dealt.mapInArrow(run, "a long, b long, alike int")
 
 
@@ -249,20 +314,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     id and the text are read."""
     spark = docs.sparkSession
     small_batches(spark)
+    with scratch(spark):
+        return materialize(_near_duplicates(docs, doc_id, text, width, threshold, k, m), "near-result", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, threshold: int, k: int, m: int) -> DataFrame:
     sigs = materialize(signatures(docs, doc_id, text, width, 2 * k * m), "near-sets")
     classes = sigs.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = materialize(classes.join(sigs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep"), ["set_id", "rep"]).dropDuplicates(["set_id"]), "near-classes")
     # rows that share an id link their sets
     shared = sigs.filter("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(classes, "set_id").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b").select("a", "b")
 
-    by_key = W.partitionBy("key")
-    keyed = (table_keys(reps, k, m).withColumn("hub", F.min(F.struct("rep", "n")).over(by_key)).withColumn("many", F.count(F.lit(1)).over(by_key))
-             .filter("many > 1").select("key", "slot", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
-    members = materialize(keyed, "near-members")
+    able = materialize(reps.join(shared_bands(reps, k, m), "rep"), "near-able")
+    keyed = table_keys(able, k, m)
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    members = materialize(keyed.join(hubs, "key").select("key", "slot", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "near-members")
+    # one hub for each member, however many buckets it is in
     to_hub = (members.filter((F.col("rep") != F.col("hub")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-              .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+              .groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b")))
     found = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialize(join_measured(docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text")), found, "id", "left_semi"), "near-texts")
+    texts = materialize(docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text")).join(found, "id", "left_semi"), "near-texts")
     first = materialize(confirmed(to_hub, texts, width, threshold).union(shared), "near-links")
     comps = materialize(components(first), "near-comps")
 
@@ -293,12 +364,17 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """``docs`` with one document of each group of near duplicates (the one with the smallest
     id), all columns as they were.  Of rows that share an id the one with the smallest text
     stays; rows without an id all stay."""
-    marked = near_duplicates(docs, doc_id, text, **options)
-    dropped = materialize(marked.filter("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), "near-dropped")
-    left = join_measured(docs, dropped, doc_id, "left_anti")
-    repeated = materialize(docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").select(doc_id), "near-repeated")
+    spark = docs.sparkSession
+    with scratch(spark):
+        marked = near_duplicates(docs, doc_id, text, **options)
+        dropped = materialize(marked.filter("not kept").select(F.col("doc_id").alias(doc_id)).distinct(), "near-dropped", keep=True)
+        repeated = materialize(docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").select(doc_id), "near-repeated", keep=True)
+    left = docs.join(dropped, doc_id, "left_anti").select(*docs.columns)
     if not repeated.limit(1).count():
         return left
-    once = join_measured(left, repeated, doc_id, "left_anti")
-    again = join_measured(left, repeated, doc_id, "left_semi").withColumn("_at", F.row_number().over(W.partitionBy(doc_id).orderBy(text))).filter("_at = 1").drop("_at")
+    once = left.join(repeated, doc_id, "left_anti").select(*docs.columns)
+    # whole rows travel in one column, so no name can clash
+    rows = left.join(repeated, doc_id, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = W.partitionBy(F.col("row").getField(doc_id)).orderBy(F.col("row").getField(text))
+    again = rows.select("row", F.row_number().over(order).alias("at")).filter("at = 1").select("row.*")
     return once.unionByName(again)

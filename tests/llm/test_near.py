@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from regionpulse.llm import tensor_minhash as tm
 from tests.conftest import SF0001
@@ -128,3 +130,59 @@ def test_recall_of_the_tables():
         same = (sig[0] == sig[1]).all(axis=1)
         found += same[:tm.M].any() and same[tm.M:].any()
     assert found >= 298
+
+
+@pytest.mark.parametrize("best", [True, False])
+def test_blocks_miss_no_pair(spark, best):
+    """Small blocks give the pairs that one block of the whole bucket gives."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 32, 2 * tm.K * tm.M, dtype=np.uint32)
+    rows = []
+    for rep in range(60):
+        sig = base.copy()
+        sig[rng.choice(len(sig), 10, replace=False)] = rep  # alike in at least 52 of 72
+        comp = 0 if rep < 35 else 35 + (rep - 35) % 4
+        rows.append((7, 0, rep, 100, comp, bytearray(sig.tobytes())))
+    schema = "key BIGINT, slot INT, rep BIGINT, n BIGINT, comp BIGINT, sig BINARY"
+    members = spark.createDataFrame(rows, schema)
+    # the first common key of a pair depends on its slot: ask under every slot
+    slots = range(0, tm.M * tm.M, 1 if not best else tm.M * tm.M)
+    every = members.drop("key", "slot").withColumn("slot", F.explode(F.array(*map(F.lit, slots)))).withColumn("key", F.col("slot").cast("long")).select("key", "slot", "rep", "n", "comp", "sig")
+
+    def pairs(most):
+        got = tm.cross_pairs(every, tm.K, tm.M, best, most=most).collect()
+        if best:
+            top = {}
+            for r in got:
+                top[r["a"]] = max(top.get(r["a"], 0), r["alike"])
+            return top
+        return sorted((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got)
+
+    whole, dealt = pairs(1000), pairs(7)
+    assert whole == dealt and len(whole) >= 25
+    if not best:
+        comp = {r[2]: r[4] for r in rows}
+        assert len(set(whole)) == len(whole) and all(comp[a] != comp[b] for a, b in whole)
+        sigs = {r[2]: np.frombuffer(bytes(r[5]), np.uint32).reshape(2 * tm.M, tm.K) for r in rows}
+        for a in sigs:
+            for b in sigs:
+                if a < b and comp[a] != comp[b]:
+                    same = (sigs[a] == sigs[b]).all(axis=1)
+                    assert ((a, b) in set(whole)) == bool((sigs[a] == sigs[b]).sum() >= 0.55 * 72 and same[:tm.M].any() and same[tm.M:].any())
+
+
+def test_clashing_names_and_repeated_ids(docs):
+    df = docs(["one two three"] * 3 + ["x y z"], ids=[5, 5, 7, 7]).selectExpr("*", "1 AS _at", "2 AS at", "3 AS row", "'k' AS kept", "4 AS n", "5 AS component_id")
+    kept = tm.one_per_group(df)
+    assert kept.columns == df.columns and [(r["doc_id"], r["_at"], r["row"]) for r in kept.collect()] == [(5, 1, 3)]
+
+
+def test_scratch_tables_are_removed(spark, docs):
+    import os
+
+    from regionpulse.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).replace("file:", "")
+    before = set(os.listdir(folder))
+    got = tm.one_per_group(docs(["a b c", "a b c", "d e f"]))
+    assert len(set(os.listdir(folder)) - before) == 2 and got.count() == 2
