@@ -7,12 +7,17 @@ reference's update order (biases first, then P_i, then Q_j with the *updated* P_
 ``error_scale`` 2 on the factor step, 1 on the bias step).  It is distributed as
 stratified SGD (Gemulla et al., KDD 2011): rows and columns are hashed into d blocks;
 stratum s pairs row block r with column block (r + s) mod d.  Blocks of one stratum
-share no row and no column, so they are updated in parallel by a cogrouped
-``applyInPandas`` and one epoch equals a sequential pass in stratum order.  Inside a
-block, cells run as array operations in batches that share no row and no column, which
-keeps the sequential result.  The state (one row per interval / column: bias + factor
-array) is written to the shared checkpoint folder after a bounded number of strata, which
-bounds the lineage and the work a lost executor can cost.
+share no row and no column, so they are updated in parallel and one epoch equals a
+sequential pass in stratum order.  Inside a block, cells run as array operations in batches
+that share no row and no column, which keeps the sequential result.
+
+Row blocks and their ratings stay where they are: both are key-partitioned once, and each
+stratum joins the column blocks to them, so a stratum shuffles |Q| bytes and never P.  This
+needs a partitioner that survives user code, which a DataFrame loses with every Python
+operator: the strata are the library's one use of pair RDDs.  Blocks are packed arrays.
+The state is written to the shared checkpoint folder after a bounded number of strata,
+which bounds the lineage and the work a lost executor can cost; in between, the row blocks
+of a stratum are held by Spark for the next one.
 
 Fitting runs Spark jobs when these functions are called; what they return is lazy again.
 
@@ -26,10 +31,13 @@ Ratings schema: (i long, j long, value double).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +45,7 @@ from regionpulse.config import FEATURES, PipelineConfig
 from regionpulse.functions import dot
 from regionpulse.operators.features import feature_long
 from regionpulse.operators.grid import dense_ids
-from regionpulse.session import materialize
+from regionpulse.session import materialize, scratch
 
 STATE_SCHEMA = "side STRING, id BIGINT, bias DOUBLE, factors ARRAY<DOUBLE>"
 
@@ -192,23 +200,71 @@ def _block_order(n: int, seed: int, epoch: int, stratum: int, block: int) -> np.
     return np.random.default_rng([seed, 1 + epoch, stratum, block]).permutation(n)
 
 
-def _make_update(mean, alpha, beta, error_scale, seed, epoch, stratum, shuffle):
-    def update(key, state: pd.DataFrame, ratings: pd.DataFrame) -> pd.DataFrame:
-        if len(ratings) == 0:
-            return state[["side", "id", "bias", "factors"]]
-        sides = {s: state[state["side"] == s].sort_values("id") for s in ("P", "Q")}
-        factors = {s: np.array(x["factors"].tolist(), dtype=np.float64) for s, x in sides.items()}
-        biases = {s: x["bias"].to_numpy(dtype=np.float64).copy() for s, x in sides.items()}
-        r = ratings.sort_values(["i", "j"], kind="mergesort")
-        order = _block_order(len(r), seed, epoch, stratum, int(key[0])) if shuffle else np.arange(len(r))
-        ii = _positions(pd.Index(sides["P"]["id"].to_numpy()), r["i"].to_numpy(), "row")[order]
-        jj = _positions(pd.Index(sides["Q"]["id"].to_numpy()), r["j"].to_numpy(), "column")[order]
-        update_batches(mean, factors["P"], factors["Q"], biases["P"], biases["Q"], ii, jj, r["value"].to_numpy(dtype=np.float64)[order], alpha, beta, error_scale)
-        return pd.concat([pd.DataFrame({"side": s, "id": x["id"].to_numpy(), "bias": biases[s], "factors": list(factors[s])}) for s, x in sides.items()], ignore_index=True)
+def _packed_blocks(state: DataFrame, d: int, rank: int) -> DataFrame:
+    """(side, block, ids, bias, factors): the rows of each block in order of their id, packed."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bias, factors = (batch.column(k) for k in (2, 3, 4))
+            packed = [[np.asarray(column[k].values.flatten() if deep else column[k].values).astype(kind).tobytes() for k in range(batch.num_rows)]
+                      for column, deep, kind in ((ids, False, np.int64), (bias, False, np.float64), (factors, True, np.float64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.binary()) for x in packed]], names=["side", "block", "ids", "bias", "factors"])
+
+    rows = F.array_sort(F.collect_list(F.struct("id", "bias", "factors")))
+    held = state.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(d)).cast("int")).groupBy("side", "block").agg(rows.alias("r"))
+    lists = [F.col("r").getField(c).alias(c) for c in ("id", "bias", "factors")]  # arrays of one field
+    return held.select("side", "block", *lists).mapInArrow(pack, "side string, block int, ids binary, bias binary, factors binary")
+
+
+def _unpacked(blocks: DataFrame, rank: int) -> DataFrame:
+    """STATE_SCHEMA rows of packed blocks."""
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for side, _, ids, bias, factors in zip(*[c.to_pylist() for c in batch.columns]):
+                ids = np.frombuffer(ids, np.int64)
+                flat = pa.array(np.frombuffer(factors, np.float64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * rank), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(ids), pa.string()), pa.array(ids), pa.array(np.frombuffer(bias, np.float64)), lists], names=["side", "id", "bias", "factors"])
+
+    return blocks.select("side", "block", "ids", "bias", "factors").mapInArrow(unpack, STATE_SCHEMA)
+
+
+def _make_update(mean, alpha, beta, error_scale, seed, epoch, stratum, shuffle, rank):
+    def update(rows, cols, ratings):
+        """New (ids, bias, factors) of a row block and a column block after their ratings."""
+        if rows is None or cols is None or ratings is None:
+            if ratings is not None:
+                raise ValueError("ratings name ids that have no factors")
+            return rows, cols
+        (pi, bp, P), (qi, bq, Q) = ((np.frombuffer(x[0], np.int64), np.frombuffer(x[1], np.float64).copy(), np.frombuffer(x[2], np.float64).reshape(-1, rank).copy()) for x in (rows, cols))
+        i, j, v = (np.frombuffer(x, kind) for x, kind in zip(ratings, (np.int64, np.int64, np.float64)))
+        order = _block_order(len(i), seed, epoch, stratum[0], stratum[1]) if shuffle else np.arange(len(i))
+        ii, jj = _positions(pd.Index(pi), i, "row")[order], _positions(pd.Index(qi), j, "column")[order]
+        update_batches(mean, P, Q, bp, bq, ii, jj, v[order], alpha, beta, error_scale)
+        return (rows[0], bp.tobytes(), P.tobytes()), (cols[0], bq.tobytes(), Q.tobytes())
 
     return update
 
 
+def _packed_ratings(ratings: DataFrame, d: int):
+    """Pair RDD row block -> {column block: (i, j, value)}, packed and ordered by (i, j)."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "value")))
+    blocks = ratings.groupBy("rb", "cb").agg(cells.alias("r"))
+    lists = [F.col("r").getField(c).alias(c) for c in ("i", "j", "value")]
+
+    def pack(r):
+        return r["rb"], (r["cb"], tuple(np.array(r[c], kind).tobytes() for c, kind in (("i", np.int64), ("j", np.int64), ("value", np.float64))))
+
+    pairs = blocks.select("rb", "cb", *lists).rdd.map(pack)
+    return pairs.partitionBy(d, int).mapPartitions(lambda rows: iter(_by_row_block(rows).items()), preservesPartitioning=True)
+
+
+def _by_row_block(rows) -> dict:
+    held: dict = {}
+    for g, (c, cells) in rows:
+        held.setdefault(g, {})[c] = cells
+    return held
+
+
 def densify_sgd(
     coo: DataFrame,
     rows: DataFrame,
@@ -223,41 +279,69 @@ def densify_sgd(
 
     ``config.blocks`` (d) decides the visiting order and so the fitted numbers; neither data
     size nor cores do.  The state is written after every ``strata_per_write`` strata (and
-    after the last, and each epoch when the history is tracked); the cogroups in between
-    chain lazily into one job, which is all that a lost executor can cost."""
+    after the last, and each epoch when the history is tracked), which is all that a lost
+    executor can cost."""
     spark = coo.sparkSession
     alpha, beta, es, d = config.learning_rate, config.regularization, float(config.error_scale), config.blocks
     stats = coo.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).first()
     mean = float(stats["mean"] or 0.0)
 
     def block(c):
-        return F.pmod(F.xxhash64(F.col(c)), F.lit(d))
-
-    # ratings with their blocks, written once: every stratum re-reads a slice
-    ratings = materialize(coo.select(
-        F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"),
-    ).withColumn("rb", block("i")).withColumn("cb", block("j")).withColumn("stratum", F.pmod(F.col("cb") - F.col("rb"), F.lit(d))), "sgd-ratings")
-    state = materialize(init if init is not None else init_factors(rows, cols, config.rank, config.seed), "sgd-state")
-
-    history, pending = [], 0
-    for epoch in range(config.epochs):
-        for s in range(d):
-            # P keeps its row block as group; Q block c meets row block (c - s) mod d.
-            # Group g goes to partition g: d tasks, one block each
-            blk = F.when(F.col("side") == "P", block("id")).otherwise(F.pmod(block("id") - F.lit(s), F.lit(d)))
-            st = state.withColumn("g", blk).repartitionById(d, F.col("g").cast("int"))
-            rs = ratings.filter(F.col("stratum") == s).select(F.col("rb").alias("g"), "i", "j", "value").repartitionById(d, F.col("g").cast("int"))
-            fn = _make_update(mean, alpha, beta, es, config.seed, epoch, s, shuffle)
-            state = st.groupBy("g").cogroup(rs.groupBy("g")).applyInPandas(fn, STATE_SCHEMA)
-            pending += 1
-            end = s == d - 1
-            if pending >= strata_per_write or end and (track_history or epoch == config.epochs - 1):
-                state, pending = materialize(state, "sgd-state"), 0  # lineage cut + recovery point
-        if track_history:
-            h = fit_error(ratings.select("i", "j", "value"), state, mean, beta).first()
-            history.append((epoch, int(h["n"]), float(h["sse"] or 0.0), float(h["rmse"] or 0.0), float(h["root_sse"] or 0.0), float(h["cost"] or 0.0)))
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(d)).cast("int")
+
+    start = init if init is not None else init_factors(rows, cols, config.rank, config.seed)
+    shape = start.agg(F.max(F.size("factors"))).first()[0]
+    rank = config.rank if shape is None else shape
+    history = []
+    packed_schema = "side STRING, block INT, ids BINARY, bias BINARY, factors BINARY"
+    with scratch(spark):
+        # ratings with their blocks, written once
+        ratings = materialize(coo.select(
+            F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"),
+        ).withColumn("rb", block("i")).withColumn("cb", block("j")), "sgd-ratings")
+        state = materialize(_packed_blocks(start, d, rank), "sgd-state")
+        cells = _packed_ratings(ratings, d).persist(StorageLevel.DISK_ONLY)
+
+        def sides(table: DataFrame):
+            pairs = table.rdd.map(lambda r: (r["side"], r["block"], (bytes(r["ids"]), bytes(r["bias"]), bytes(r["factors"]))))
+            return (pairs.filter(lambda x: x[0] == "P").map(lambda x: (x[1], x[2])).partitionBy(d, int),
+                    pairs.filter(lambda x: x[0] == "Q").map(lambda x: (x[1], x[2])))
+
+        (p, q), held, pending = sides(state), [], 0
+        for epoch in range(config.epochs):
+            for s in range(d):
+                def stratum(_, parts, epoch=epoch, s=s):
+                    """One partition: its row block, its ratings, and the column block that came in."""
+                    kinds: dict = {}
+                    for g, (kind, value) in parts:
+                        kinds.setdefault(g, {})[kind] = value
+                    for g, x in kinds.items():
+                        c = (g + s) % d
+                        update = _make_update(mean, alpha, beta, es, config.seed, epoch, (s, g), shuffle, rank)
+                        yield g, update(x.get("P"), x.get("Q"), x.get("R", {}).get(c))
+
+                # all three have the same partitioner: the union keeps it, and only Q was moved
+                moved = q.map(lambda x, s=s: ((x[0] - s) % d, ("Q", x[1]))).partitionBy(d, int)
+                stay = p.mapValues(lambda v: ("P", v)).union(cells.mapValues(lambda v: ("R", v)))
+                out = stay.union(moved).mapPartitionsWithIndex(stratum, preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
+                held.append(out)
+                p = out.filter(lambda x: x[1][0] is not None).mapValues(lambda v: v[0])
+                q = out.filter(lambda x: x[1][1] is not None).map(lambda x, s=s: ((x[0] + s) % d, x[1][1]))
+                pending += 1
+                end = s == d - 1
+                if pending >= strata_per_write or end and (track_history or epoch == config.epochs - 1):
+                    both = p.map(lambda x: ("P", x[0], *map(bytearray, x[1]))).union(q.map(lambda x: ("Q", x[0], *map(bytearray, x[1]))))
+                    state = materialize(spark.createDataFrame(both, packed_schema), "sgd-state")  # lineage cut + recovery point
+                    for old in held:
+                        old.unpersist()
+                    (p, q), held, pending = sides(state), [], 0
+            if track_history:
+                h = fit_error(ratings.select("i", "j", "value"), _unpacked(state, rank), mean, beta).first()
+                history.append((epoch, int(h["n"]), float(h["sse"] or 0.0), float(h["rmse"] or 0.0), float(h["root_sse"] or 0.0), float(h["cost"] or 0.0)))
+        cells.unpersist()
+        fitted = materialize(_unpacked(state, rank), "sgd-factors", keep=True)
     hist_df = spark.createDataFrame(history, "epoch INT, n BIGINT, sse DOUBLE, rmse DOUBLE, root_sse DOUBLE, cost DOUBLE") if track_history else None
-    return FactorModel(state, mean, config.rank, hist_df)
+    return FactorModel(fitted, mean, rank, hist_df)
 
 
 # ------------------------------------------------------------------ ALS alternative

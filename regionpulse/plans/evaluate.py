@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionpulse.config import FEATURES, PipelineConfig
+from regionpulse.operators import batched as bt
+from regionpulse.operators import forest as fo
+from regionpulse.operators import landmarks as lm
 from regionpulse.operators import metrics as mt
 from regionpulse.operators import models as md
 from regionpulse.operators import sampling as sp
-from regionpulse.session import scratch_path
+from regionpulse.session import materialize, scratch
 
 RESULT_SCHEMA = ("region STRING, model STRING, feature_set STRING, scaled BOOLEAN, seed INT, "
                  "cv_folds INT, cv_mean DOUBLE, cv_std DOUBLE, auc DOUBLE, f1 DOUBLE, accuracy DOUBLE")
@@ -31,88 +33,102 @@ def evaluation_frame(sparse: DataFrame, dense: DataFrame, labels_aligned: DataFr
     return s.join(d, ["t", "region"])
 
 
-def _fit_metrics(sample: DataFrame, cols, model, config, scaled, leaky, fold):
-    """One fit: fold None = the 70/30 test split, else CV fold ``fold`` held out."""
-    test_mask = F.col("is_test") if fold is None else (F.col("fold") == fold)
-    df, use = sample, list(cols)
-    if scaled:
-        fit_mask = None if (leaky and fold is not None) else ~test_mask
-        df = sp.standardize(sample, cols, by=("region",), fit_mask=fit_mask, suffix="_z")
-        use = [f"{c}_z" for c in cols]
-    scored = md.fit_score(df.filter(~test_mask), df.filter(test_mask), use, model, config.seed, partitions=config.train_partitions,
-                          max_depth=config.forest_depth, components=config.fourier_components, iterations=config.network_iterations,
-                          threshold=config.score_threshold if model == "mlp" else None)
-    auc = mt.roc_auc(scored, "score", "label").first()["auc"]
-    if fold is not None:
-        return {"auc": auc}
-    fa = mt.f1_accuracy(scored).first()
-    return {"auc": auc, "f1": fa["f1"], "accuracy": fa["accuracy"]}
-
-
-def evaluate_region(
+def sample_runs(frame: DataFrame, config: PipelineConfig, seeds: Sequence[int]) -> DataFrame:
+    """ML1, ML2, ML4 for each seed: balanced rows with ``run``, ``is_test`` and ``fold``."""
+    runs = []
+    for seed in seeds:
+        s = sp.undersample(frame, by=("region",), seed=seed)
+        s = sp.train_test_split(s, by=("region",), test_fraction=config.test_fraction, seed=seed)
+        runs.append(sp.cv_folds(s, config.folds, by=("region",)).withColumn("run", F.lit(seed)))
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _network_scores(train: DataFrame, held: DataFrame, config: PipelineConfig, parallelism: int) -> DataFrame:
+    """ML8: one MLlib network per fit, as concurrent jobs from ``parallelism`` driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    fits = train.select(*bt.KEYS).distinct().collect()  # keys of fits, a few per region
+
+    def run(key):
+        mine = reduce(lambda a, b: a & b, [F.col(k) == key[k] for k in bt.KEYS])
+        scored = md.fit_score(train.filter(mine), held.filter(mine), bt.X, "mlp", int(key["run"]), keep=bt.KEYS, partitions=config.train_partitions,
+                              iterations=config.network_iterations, threshold=config.score_threshold)
+        return scored.select(*bt.KEYS, "label", "score", "prediction")
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return reduce(lambda a, b: a.union(b), pool.map(run, fits))
+
+
+def evaluate_regions(
     frame: DataFrame,
-    region: str | None = None,
     config: PipelineConfig = PipelineConfig(),
     models: Sequence[str] = md.MODELS,
     leaky_scaling: bool = False,
     min_per_class: int = 5,
+    seeds: Sequence[int] | None = None,
+    pooled: str | None = None,
     parallelism: int = 8,
 ) -> DataFrame:
-    """ML12: one row per (model, feature_set, scaled); the neural model runs scaled only.
-
-    ``region=None`` pools all regions (classes balanced per region).  The independent
-    fits (test split + k folds for every configuration) are submitted as concurrent
-    Spark jobs from ``parallelism`` driver threads; each fit itself is distributed.
-    """
-    from concurrent.futures import ThreadPoolExecutor
+    """ML12 for every region of ``frame`` and every seed in one call: a row per (region, model,
+    feature_set, scaled, seed); the neural model runs scaled only.
 
+    All fits of a model train together (``operators.batched``), all scored rows go into one
+    table, and one grouped AUC and one grouped F1 give all metrics.  Regions with fewer than
+    ``min_per_class`` balanced rows of a class are left out.  ``pooled`` names one region that
+    stands for all (classes balanced and features scaled per region)."""
     spark = frame.sparkSession
+    with scratch(spark):
+        drawn = materialize(sample_runs(frame, config, [config.seed] if seeds is None else seeds), "eval-sample")
+        group = ["run"] if pooled else ["run", "region"]
+        sizes = drawn.groupBy(*group).agg(F.sum(F.col("label")).alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+        able = drawn.join(sizes.filter(F.least("pos", "neg") >= min_per_class).select(*group), group)
+        rows = materialize(bt.fit_rows(able, config.folds, leaky=leaky_scaling, pooled=pooled), "eval-rows")
+        train, held = rows.filter("not held_out"), rows.filter("held_out")
+        scored = []
+        for model in models:
+            if model == "lr":
+                one = bt.logistic_scores(held, bt.logistic(train))
+            elif model == "svm":
+                one = lm.scores(held, lm.fit(train, landmarks=config.landmarks, seed=config.seed))
+            elif model == "rf":
+                grown = materialize(fo.fit(train, most_depth=config.forest_depth, most_rows=config.tree_rows, seed=config.seed), "eval-forest")
+                one = fo.scores(held, grown)
+            elif model == "mlp":
+                one = _network_scores(train.filter("scaled"), held.filter("scaled"), config, parallelism)
+            else:
+                raise ValueError(f"unknown model {model!r}")
+            scored.append(materialize(one.withColumn("model", F.lit(model)), "eval-scores"))
+        table = scored[0]
+        for more in scored[1:]:
+            table = table.unionByName(more)
+        by = ["model", *bt.KEYS]
+        auc = materialize(mt.roc_auc(table, by=by), "eval-auc")
+        base = [c for c in by if c != "fold"]
+        folds = auc.filter(F.col("fold") != bt.TEST_FOLD).groupBy(*base).agg(F.count("auc").cast("int").alias("cv_folds"), F.avg("auc").alias("cv_mean"), (2 * F.stddev_pop("auc")).alias("cv_std"))
+        test = auc.filter(F.col("fold") == bt.TEST_FOLD).select(*base, "auc")
+        f1 = mt.f1_accuracy(table.filter(F.col("fold") == bt.TEST_FOLD), by=base).select(*base, "f1", "accuracy")
+        out = test.join(f1, base).join(folds, base, "left").withColumn("cv_folds", F.coalesce("cv_folds", F.lit(0)))
+        return materialize(out.select("region", "model", "feature_set", "scaled", F.col("run").alias("seed"), "cv_folds", "cv_mean", "cv_std", "auc", "f1", "accuracy"), "eval-result", keep=True)
+
+
+def evaluate_region(frame: DataFrame, region: str | None = None, config: PipelineConfig = PipelineConfig(), models: Sequence[str] = md.MODELS,
+                    leaky_scaling: bool = False, min_per_class: int = 5, seeds: Sequence[int] | None = None) -> DataFrame:
+    """ML12 for one region, or for all pooled (``region=None``, reported as "(all)"); too few rows are an error."""
     df = frame if region is None else frame.filter(F.col("region") == region)
-    sample = sp.undersample(df, by=("region",), seed=config.seed)
-    sample = sp.train_test_split(sample, by=("region",), test_fraction=config.test_fraction, seed=config.seed)
-    sample = sp.cv_folds(sample, config.folds, by=("region",))
-    path = scratch_path(spark, "eval-sample")
-    sample.write.parquet(path)  # small, re-read by every fit; also a recovery point
-    sample = spark.read.parquet(path)
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if counts.get(1, 0) < min_per_class or counts.get(0, 0) < min_per_class:
-        raise ValueError(f"too few labelled rows after balancing for region {region!r}: {counts}")
-    configs = []
-    for model in models:
-        for fs, prefix in (("sparse", "s_"), ("dynamic", "d_")):
-            cols = [f"{prefix}{f}" for f in FEATURES]
-            for scaled in ((True,) if model == "mlp" else (False, True)):
-                configs.append((model, fs, scaled, cols))
-    tasks = [(ci, fold) for ci in range(len(configs)) for fold in [None, *range(config.folds)]]
-
-    def run(task):
-        ci, fold = task
-        model, _, scaled, cols = configs[ci]
-        return task, _fit_metrics(sample, cols, model, config, scaled, leaky_scaling, fold)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = dict(pool.map(run, tasks))
-    rows = []
-    name = region if region is not None else "(all)"
-    for ci, (model, fs, scaled, _) in enumerate(configs):
-        test = results[(ci, None)]
-        cv = np.array([results[(ci, f)]["auc"] for f in range(config.folds)], dtype=float)
-        # folds whose held-out rows lack a class have no AUC; how many counted is reported
-        used = cv[~np.isnan(cv)]
-        mean, spread = (float(used.mean()), float(2 * used.std())) if len(used) else (None, None)
-        rows.append((name, model, fs, scaled, config.seed, len(used), mean, spread,
-                     test["auc"], test["f1"], test["accuracy"]))
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    out = evaluate_regions(df, config, models, leaky_scaling, min_per_class, seeds, "(all)" if region is None else None)
+    if not out.limit(1).count():
+        raise ValueError(f"too few labelled rows after balancing for region {region!r}: fewer than {min_per_class} of a class")
+    return out
 
 
 def repeat_evaluation(frame: DataFrame, region: str | None, runs: int, config: PipelineConfig = PipelineConfig(),
                       models: Sequence[str] = md.MODELS) -> DataFrame:
-    """ML13: seeds 0..runs-1, averaged per (model, feature_set, scaled)."""
-    out = None
-    for s in range(runs):
-        r = evaluate_region(frame, region, config.with_(seed=s), models)
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy("region", "model", "feature_set", "scaled").agg(
+    """ML13: seeds 0..runs-1, averaged per (model, feature_set, scaled); all runs train together."""
+    return evaluate_region(frame, region, config, models, seeds=range(runs)).groupBy("region", "model", "feature_set", "scaled").agg(
         F.count(F.lit(1)).alias("runs"),
         *[F.avg(c).alias(c) for c in ("cv_folds", "cv_mean", "cv_std", "auc", "f1", "accuracy")],
     )

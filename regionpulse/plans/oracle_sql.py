@@ -460,6 +460,31 @@ SELECT n, round(sse, 6) AS sse, round(sqrt(sse / n), 6) AS rmse, round(sqrt(sse)
 FROM e, reg
 """
 
+# one epoch, cell after cell: the state of a step is the current row's vector and those of all columns,
+# each as [bias, f0, ...]; a row's cells follow one another, so its last step has its final vector
+def _step(alpha: float, beta: float, scale: float, k: int = 4) -> str:
+    p_new = ", ".join(f"p[{f}] + {alpha} * ({scale} * e * q[{f}] - {beta} * p[{f}])" for f in range(2, k + 2))
+    q_new = ", ".join(f"q[{f}] + {alpha} * ({scale} * e * pn[{f}] - {beta} * q[{f}])" for f in range(2, k + 2))
+    miss = "v - (mean + p[1] + q[1] + " + " + ".join(f"p[{f}] * q[{f}]" for f in range(2, k + 2)) + ")"
+    return f"""SELECT n, i, pn AS p, list_transform(qs, lambda x, pos: CASE WHEN pos = j + 1 THEN [q[1] + {alpha} * (e - {beta} * q[1]), {q_new}] ELSE x END) AS qs
+  FROM (SELECT *, [p[1] + {alpha} * (e - {beta} * p[1]), {p_new}] AS pn FROM (SELECT *, {miss} AS e FROM
+    (SELECT o.n, o.i, o.j, o.v, o.mean, CASE WHEN o.i = st.i THEN st.p ELSE o.p0 END AS p, st.qs[o.j + 1] AS q, st.qs FROM st JOIN ordered o ON o.n = st.n + 1)))"""
+
+
+SQL["sgd_epoch"] = _FM_KEPT.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, p0 AS (SELECT id, list_prepend(any_value(bias)::DOUBLE, list(f::DOUBLE ORDER BY k)) AS p FROM pf GROUP BY id),
+q0 AS (SELECT id, list_prepend(any_value(bias)::DOUBLE, list(f::DOUBLE ORDER BY k)) AS q FROM qf GROUP BY id),
+ordered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c.i, c.j) AS n, c.i, c.j, c.value AS v, p0.p AS p0, mu.mean FROM coo c JOIN p0 ON p0.id = c.i, mu),
+st AS (SELECT 0::BIGINT AS n, -1::BIGINT AS i, NULL::DOUBLE[] AS p, (SELECT list(q ORDER BY id) FROM q0) AS qs
+  UNION ALL {_step(0.01, 0.05, 2.0)}),
+done AS (SELECT * FROM st),
+last_row AS (SELECT i, arg_max(p, n) AS p FROM done WHERE i >= 0 GROUP BY i),
+last_q AS (SELECT arg_max(qs, n) AS qs FROM done),
+fitted AS (SELECT 'P' AS side, p0.id, coalesce(l.p, p0.p) AS x FROM p0 LEFT JOIN last_row l ON l.i = p0.id
+  UNION ALL SELECT 'Q', q0.id, last_q.qs[q0.id + 1] FROM q0, last_q)
+SELECT side, id, round(x[1], 6) AS bias, {', '.join(f'round(x[{k + 2}], 6) AS f{k}' for k in range(4))} FROM fitted
+"""
+
 SQL["matrix_shape"] = _FM_KEPT + """
 SELECT count(DISTINCT t) AS n_rows, count(DISTINCT region) * 5 AS n_columns, 250 AS rank FROM kept
 """
@@ -494,6 +519,40 @@ SQL["standardize"] = _FM_SAMPLE + "SELECT t, region, " + ", ".join(
     for f in ("visitor_count", "obs_freq", "visitor_entropy", "visitor_ratio", "region_popularity")
 ) + " FROM smp\n"
 
+
+def _newton(steps: int, features: tuple[str, ...], ridge: float = 1e-9) -> str:
+    """``steps`` Newton steps of the L2-regularised logistic regression of every (region, f) in
+    ``zs`` (y and z0 = 1, z1, ...): sums by region and fold, then elimination column by column."""
+    n = len(features) + 1
+    eta = " + ".join(f"b{i} * z{i}" for i in range(n))
+    ctes = ["b_0 AS MATERIALIZED (SELECT DISTINCT region, f, " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(n)) + " FROM zs)"]
+    for s in range(steps):
+        h = ", ".join(f"sum(w * z{i} * z{j})" + ((" + 1.0" if i else f" + {ridge}") if i == j else "") + f" AS m{i}_{j}" for i in range(n) for j in range(n))
+        g = ", ".join(f"sum((y - p) * z{i})" + (f" - any_value(b{i})" if i else "") + f" AS m{i}_{n}" for i in range(n))
+        keep = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(n))
+        ctes.append(f"s_{s} AS MATERIALIZED (SELECT region, f, {keep}, {h}, {g} FROM (SELECT *, p * (1 - p) AS w FROM "
+                    f"(SELECT zs.*, b_{s}.* EXCLUDE (region, f), 1 / (1 + exp(-({eta}))) AS p FROM zs JOIN b_{s} USING (region, f))) GROUP BY region, f)")
+        last = f"s_{s}"
+        for k in range(n):
+            cols = ", ".join((f"m{k}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{k}_{j} * m{i}_{k} / m{k}_{k}") + f" AS m{i}_{j}" for i in range(n) for j in range(k + 1, n + 1))
+            ctes.append(f"s_{s}_{k} AS MATERIALIZED (SELECT region, f, " + ", ".join(f"b{i}" for i in range(n)) + f", {cols} FROM {last})")
+            last = f"s_{s}_{k}"
+        ctes.append(f"b_{s + 1} AS MATERIALIZED (SELECT region, f, " + ", ".join(f"b{i} + m{i}_{n} AS b{i}" for i in range(n)) + f" FROM {last})")
+    return ",\n".join(ctes)
+
+
+_FIVE = ("visitor_count", "obs_freq", "visitor_entropy", "visitor_ratio", "region_popularity")
+_Z = ", ".join(f"CASE WHEN stddev_pop({f}) OVER fit > 0 THEN ({f} - avg({f}) OVER fit) / stddev_pop({f}) OVER fit ELSE 0.0 END AS z{k}" for k, f in enumerate(_FIVE, 1))
+SQL["logistic_regions"] = _FM_SAMPLE + f"""
+, hs2 AS (SELECT *, md5(concat_ws(',', '0', 'split', region, CAST(CAST(epoch(t) AS BIGINT) AS VARCHAR))) AS h2 FROM smp),
+split AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY h2, t) <= ceil(0.3 * count(*) OVER (PARTITION BY region)) AS is_test,
+                 ntile(5) OVER (PARTITION BY region, label ORDER BY t) - 1 AS fold FROM hs2),
+tr AS (SELECT * FROM (SELECT *, unnest(range(-1, 5)) AS f FROM split) WHERE CASE WHEN f = -1 THEN NOT is_test ELSE fold <> f END),
+zs AS (SELECT region, f, label::DOUBLE AS y, 1.0::DOUBLE AS z0, {_Z} FROM tr WINDOW fit AS (PARTITION BY region, f)),
+{_newton(10, _FIVE)}
+SELECT region, f::INT AS fold, {', '.join(f'round(b{k}, 5) AS beta{k}' for k in range(6))} FROM b_10
+"""
+
 DOCS = """
 ds AS (SELECT l.doc_id, l.toxic, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score
        FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""

@@ -456,6 +456,15 @@ def q_fit_error(spark, sf_dir):
     return rounded(fz.fit_error(coo, given_factors(rows, cols), mean, GIVEN_BETA))
 
 
+@register("sgd_epoch")
+def q_sgd_epoch(spark, sf_dir):
+    """MF2, MF4: one epoch over all cells in (row, column) order, from the factors of the rule."""
+    coo, rows, cols = _coo(spark, sf_dir)
+    config = PipelineConfig(rank=GIVEN_RANK, epochs=1, blocks=1, learning_rate=0.01, regularization=0.05)
+    fitted = fz.densify_sgd(coo, rows, cols, config, track_history=False, shuffle=False, init=given_factors(rows, cols)).factors
+    return rounded(fitted.select("side", "id", "bias", *[F.get("factors", F.lit(k)).alias(f"f{k}") for k in range(GIVEN_RANK)]))
+
+
 @register("matrix_shape")
 def q_matrix_shape(spark, sf_dir):
     return fz.matrix_shape(_kept_matrix(spark, sf_dir), 250)
@@ -552,7 +561,8 @@ from regionpulse.operators import models as md  # noqa: E402
 from regionpulse.plans import evaluate as ev  # noqa: E402
 from regionpulse.plans import end_to_end as pl  # noqa: E402
 
-FIXTURE_CONFIG = PipelineConfig(min_interval_obs=FIXTURE_MIN_INTERVAL_OBS, min_region_obs=FIXTURE_MIN_REGION_OBS)
+# the network's fits have a few hundred rows each here: one training partition
+FIXTURE_CONFIG = PipelineConfig(min_interval_obs=FIXTURE_MIN_INTERVAL_OBS, min_region_obs=FIXTURE_MIN_REGION_OBS, train_partitions=1)
 
 
 _BUILT: dict = {}
@@ -621,16 +631,37 @@ def q_evaluate_region(spark, sf_dir):
     return ev.evaluate_region(d.frame, region, FIXTURE_CONFIG)
 
 
+@register("evaluate_regions")
+def q_evaluate_regions(spark, sf_dir):
+    """Every region in one call: logistic regression, SVM and forest of all regions train together."""
+    return ev.evaluate_regions(_dynamic(spark, sf_dir).frame, FIXTURE_CONFIG, ["lr", "svm", "rf"])
+
+
 @register("repeat_evaluation")
 def q_repeat_evaluation(spark, sf_dir):
+    """The reference experiment: one region, the average of 14 runs, which train together."""
     d = _dynamic(spark, sf_dir)
-    return ev.repeat_evaluation(d.frame, None, 3, FIXTURE_CONFIG, ["lr"])
+    region = d.frame.agg(F.min("region")).first()[0]
+    return ev.repeat_evaluation(d.frame, region, 14, FIXTURE_CONFIG, ["lr", "svm", "rf"])
 
 
 @register("comparison_report")
 def q_comparison_report(spark, sf_dir):
     d = _dynamic(spark, sf_dir)
-    return ev.comparison_report(ev.evaluate_region(d.frame, None, FIXTURE_CONFIG, ["lr"]))
+    region = d.frame.agg(F.min("region")).first()[0]
+    return ev.comparison_report(ev.evaluate_region(d.frame, region, FIXTURE_CONFIG))
+
+
+@register("logistic_regions")
+def q_logistic_regions(spark, sf_dir):
+    """ML6 for all regions, folds and the test split at once: ten Newton steps on the
+    standardised sparse features."""
+    from regionpulse.operators import batched as bt
+
+    sample = ev.sample_runs(_aligned(spark, sf_dir), PipelineConfig(), [0])
+    rows = bt.fit_rows(sample, 5, scaled=[True], sets=[("sparse", "")])
+    betas = bt.logistic(rows.filter("not held_out"), iterations=10, tolerance=None)
+    return rounded(betas.select("region", "fold", *[F.get("beta", F.lit(k)).alias(f"beta{k}") for k in range(6)]), 5)
 
 
 @register("load_model_table")
