@@ -14,10 +14,11 @@ block each, cut into shards of ``shard_slots`` slots:
    slots (``shuffled``) deals the strata to the slots, so a shard is a draw of its slots
    without replacement: the counts vary as in a multinomial draw, the variance times
    (G - shard) / (G - 1).
-3. Slots to blocks.  The j-th slot of a source takes the block at place j of a per-source
-   pseudorandom permutation of its block numbers, with a new permutation after each full
-   pass; no block is used more often than ``most_repeats`` times.
-4. Blocks are joined by (source, block number).
+3. Slots to blocks.  The j-th slot of a source, counted through the shards that drew it, takes
+   the block at place j of a keyed random permutation of its block numbers, with a new
+   permutation after each full pass; no block is used more often than ``most_repeats`` times.
+4. Blocks are joined by (source, block number): ``shards`` gives what stands in each slot,
+   ``taken_words`` sums what the slots of all shards take of each document.
 
 Nothing ranks or sums a whole source in one task: stream positions come from bucket sums
 and running sums inside buckets.
@@ -25,6 +26,8 @@ and running sums inside buckets.
 Defined cases: null text: no words; null source: a source of its own, last in order;
 documents without words take part with nothing taken; repeated rows are rows of their own;
 a corpus without words gives no slots and targets of 0; an empty table an empty result.
+A very long text runs through many blocks.  Columns other than the id, text and source are not
+read; ``resample`` returns them untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,11 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from regionpulse.llm.common import join_measured, let, materialize, order_key, source_key, text_or_empty, word_count
+from regionpulse.session import scratch
 
 #: weights given to the sources in order, repeating
 WEIGHTS = (5, 2, 1)
-#: multipliers of the index permutations: primes, of which one that does not divide the range is used
-PRIMES = (1000003, 1000033, 1000037, 1000039)
+#: exchanges of a source's permutation of its blocks
+BLOCK_ROUNDS = 24
 #: exchanges of the permutation that deals slots to shards
 ROUNDS = 64
 
@@ -55,11 +59,19 @@ class Mixture:
     seed: str = "mixing-1"
 
 
-def permuted(index: Column, size: Column, salt: Column) -> Column:
-    """Place of ``index`` under a pseudorandom permutation of 0 .. size - 1 chosen by ``salt``."""
-    pick = F.pmod(salt, F.lit(len(PRIMES)))
-    turned = [F.when(F.pmod(size, p) != 0, p) for p in (F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(pick + k, F.lit(len(PRIMES))) + 1).cast("int")) for k in range(len(PRIMES)))]
-    return F.pmod(F.coalesce(*turned, F.lit(1)) * index + F.pmod(salt, size), size)
+def round_keys(seed: str, salt: Column, size: Column) -> Column:
+    """The keys of the block permutation that ``salt`` (source and pass) names."""
+    return F.transform(F.sequence(F.lit(1), F.lit(BLOCK_ROUNDS)), lambda k: F.pmod(order_key(seed, salt, k), size))
+
+
+def permuted(index: Column, size: Column, salt: Column, keys: Column) -> Column:
+    """Place of ``index`` under a keyed random permutation of 0 .. size - 1: ``shuffled``, with
+    the rounds' keys made once for many indexes and bits that any engine with md5 can give."""
+    def step(x: Column, key: Column) -> Column:
+        return let(F.pmod(key - x, size), lambda other: F.when(
+            F.substring(F.md5(F.concat_ws("|", salt, key.cast("string"), F.greatest(x, other).cast("string"))), 1, 1) < "8", other).otherwise(x))
+
+    return F.aggregate(keys, index.cast("long"), step)
 
 
 def shuffled(index: Column, size: Column, seed: str, rounds: int = ROUNDS) -> Column:
@@ -117,20 +129,38 @@ def targets(rows: DataFrame, mix: Mixture, total: float | None = None) -> DataFr
             .drop("_ratio", "_level", "_slots", "_end", "_i"))
 
 
-def slots(src: DataFrame, mix: Mixture, run: int = 4096) -> DataFrame:
-    """(shard, slot, source_key, block): one row per slot, made in runs so that a source
-    with a third of all slots is spread over many rows before they are made."""
-    total = F.max("slot_end").over(W.partitionBy(F.lit(0)))
-    runs = (src.withColumn("_total", total).filter("slot_end > slot_start")
+def drawn(src: DataFrame, mix: Mixture, run: int = 4096, slots_per_task: int = 50_000) -> DataFrame:
+    """(shard, source_key, n_blocks, places): the slots of each shard that drew the source, in
+    order.  Strata are made in runs, so a source with a third of all slots is spread over
+    many rows before they are made, and dealt to an explicit number of tasks: few rows
+    become many slots."""
+    total = src.agg(F.coalesce(F.max("slot_end"), F.lit(0))).first()[0]
+    runs = (src.filter("slot_end > slot_start")
             .withColumn("_run", F.explode(F.expr(f"sequence(0L, (slot_end - slot_start - 1) div {run})")))
-            .repartition("source_key", "_run"))
-    one = (runs.withColumn("_j", F.explode(F.expr(f"sequence(_run * {run}, least((_run + 1) * {run}, slot_end - slot_start) - 1)")))
-           .withColumn("_pass", F.expr("_j div n_blocks")))
-    place = shuffled(F.col("slot_start") + F.col("_j"), F.col("_total"), mix.seed)
-    block = permuted(F.expr("_j % n_blocks"), F.col("n_blocks"), order_key(mix.seed, F.col("source_key"), F.col("_pass")))
-    return (one.withColumn("_place", place)
-            .select(F.expr(f"_place div {mix.shard_slots}").alias("shard"), F.expr(f"_place % {mix.shard_slots}").alias("slot"),
-                    "source_key", block.alias("block")))
+            .repartition(max(1, total // slots_per_task), "source_key", "_run"))
+    one = runs.withColumn("_j", F.explode(F.expr(f"sequence(_run * {run}, least((_run + 1) * {run}, slot_end - slot_start) - 1)")))
+    place = shuffled(F.col("slot_start") + F.col("_j"), F.lit(total), mix.seed)
+    dealt = one.select("source_key", "n_blocks", place.alias("_place")).withColumn("shard", F.expr(f"_place div {mix.shard_slots}"))
+    return dealt.groupBy("shard", "source_key", "n_blocks").agg(F.array_sort(F.collect_list(F.expr(f"_place % {mix.shard_slots}"))).alias("places"))
+
+
+def slots(src: DataFrame, mix: Mixture, slots_per_task: int = 50_000) -> DataFrame:
+    """(shard, slot, source_key, block): one row per slot."""
+    runs = materialize(drawn(src, mix, slots_per_task=slots_per_task), "mix-draws").withColumn("_n", F.size("places").cast("long"))
+    # the number of a run's first slot among its source's: sums over stretches of shards, then inside them
+    runs = runs.withColumn("_g", F.expr("shard div 1000"))
+    sums = runs.groupBy("source_key", "_g").agg(F.sum("_n").alias("_s"))
+    before = sums.withColumn("_before", F.sum("_s").over(W.partitionBy("source_key").orderBy("_g").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).drop("_s")
+    inside = F.sum("_n").over(W.partitionBy("source_key", "_g").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    runs = runs.withColumn("_in", inside).join(before, ["source_key", "_g"]).withColumn("_j0", F.col("_before") + F.col("_in"))
+    total = runs.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    runs = runs.repartition(max(1, total // slots_per_task), "shard", "source_key")
+    # the slots of a run that fall into one pass share the keys of its permutation
+    passes = runs.withColumn("_pass", F.explode(F.expr("sequence(_j0 div n_blocks, (_j0 + _n - 1) div n_blocks)"))).withColumn("_salt", F.concat_ws("|", "source_key", "_pass"))
+    keyed = passes.withColumn("_keys", round_keys(mix.seed, F.col("_salt"), F.col("n_blocks")))
+    one = keyed.withColumn("_j", F.explode(F.expr("sequence(greatest(_j0, _pass * n_blocks), least(_j0 + _n, (_pass + 1) * n_blocks) - 1)")))
+    block = permuted(F.col("_j") - F.col("_pass") * F.col("n_blocks"), F.col("n_blocks"), F.col("_salt"), F.col("_keys"))
+    return one.select("shard", F.get("places", (F.col("_j") - F.col("_j0")).cast("int")).alias("slot"), "source_key", block.alias("block"))
 
 
 def stream(rows: DataFrame, buckets: int) -> DataFrame:
@@ -142,21 +172,36 @@ def stream(rows: DataFrame, buckets: int) -> DataFrame:
     return keyed.withColumn("_in", inside).join(before, ["source_key", "_b"]).withColumn("start", F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
 
 
+def pieces(at: DataFrame, mix: Mixture) -> DataFrame:
+    """Rows of ``stream`` with one row per block that a document stands in: ``block``, the
+    piece's ``from_word`` in the document and its number of ``words``."""
+    size, start, step = F.col("size"), F.col("start"), mix.block_words
+    cut = at.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {step}, (start + size - 1) div {step})")))
+    begin = F.greatest(start, F.col("block") * step)
+    return cut.withColumn("from_word", begin - start).withColumn("words", F.least(start + size, (F.col("block") + 1) * step) - begin)
+
+
+def _drawn_blocks(docs: DataFrame, mix: Mixture, doc_id: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = rows_of(docs, mix, doc_id, text, source)
+    src = materialize(targets(rows, mix), "mix-sources")
+    return stream(rows, max(1, math.isqrt(rows.count()))), src, slots(src, mix)
+
+
+def shards(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(shard, slot, doc_id, from_word, words): the pieces of documents in each slot of each shard."""
+    at, _, dealt = _drawn_blocks(docs, mix, doc_id, text, source)
+    met = dealt.hint("merge").join(pieces(at, mix), ["source_key", "block"])
+    return met.select("shard", "slot", "doc_id", "from_word", "words")
+
+
 def taken_words(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document: ``taken`` is the number
     of its words that the mix takes, repeats counted."""
-    rows = rows_of(docs, mix, doc_id, text, source)
-    src = materialize(targets(rows, mix), "mix-sources")
-    used = slots(src, mix).groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("times"))
-    buckets = max(1, math.isqrt(rows.count()))
-    at = stream(rows, buckets)
-    size, start = F.col("size"), F.col("start")
-    pieces = (at.filter("size > 0")
-              .withColumn("block", F.explode(F.expr(f"sequence(start div {mix.block_words}, (start + size - 1) div {mix.block_words})")))
-              .withColumn("_words", F.least(start + size, (F.col("block") + 1) * mix.block_words) - F.greatest(start, F.col("block") * mix.block_words)))
+    at, src, dealt = _drawn_blocks(docs, mix, doc_id, text, source)
+    used = dealt.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("times"))
     # slots come from a table of a few rows, so Spark would take them for few and broadcast them
-    got = (pieces.join(used.hint("merge"), ["source_key", "block"])
-           .groupBy("source_key", "_key", "doc_id", "start", "size").agg(F.sum(F.col("_words") * F.col("times")).alias("taken")))
+    got = (pieces(at, mix).join(used.hint("merge"), ["source_key", "block"])
+           .groupBy("source_key", "_key", "doc_id", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
     kept = ["doc_id", "size", "source_key", "_key"]
     empty = at.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
     met = at.filter("size > 0").alias("r").join(got.alias("g"), (F.col("r.source_key") == F.col("g.source_key")) & (F.col("r._key") == F.col("g._key")) & F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.start") == F.col("g.start")), "left")
@@ -170,11 +215,12 @@ def resample(docs: DataFrame, mix: Mixture = Mixture(), doc_id: str = "doc_id",
     taken per word it has, rounded up or down by a number drawn from its id and text, so
     that the expected words of a source are those the mix took.  Columns stay; documents
     without words are not in the mix; equal rows are repeated equally."""
-    taken = (taken_words(docs, mix, doc_id, text, source).filter("size > 0").groupBy("_key").agg((F.sum("taken") / F.sum("size")).alias("_times"))
-             .withColumn("_copies", F.floor(F.col("_times") + uniform(F.lit(mix.seed), F.col("_key"))).cast("int")).filter("_copies > 0")
-             .select(F.col("_key").alias("_taken_key"), "_copies"))
-    taken = materialize(taken, "mix-copies")
-    keyed = docs.withColumn("_row_key", order_key(mix.seed, F.col(doc_id), F.crc32(F.encode(text_or_empty(text), "UTF-8"))))
-    # ids and counts are broadcast up to a small number only: the driver holds them too
-    met = join_measured(keyed, taken, F.col("_row_key") == F.col("_taken_key"), most=100_000)
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    with scratch(docs.sparkSession):
+        taken = (taken_words(docs, mix, doc_id, text, source).filter("size > 0").groupBy("_key").agg((F.sum("taken") / F.sum("size")).alias("times"))
+                 .withColumn("copies", F.floor(F.col("times") + uniform(F.lit(mix.seed), F.col("_key"))).cast("int")).filter("copies > 0")
+                 .select(F.col("_key").alias("key"), "copies"))
+        taken = materialize(taken, "mix-copies", keep=True)
+    # the row travels in one column, so no name can clash; a shuffle at every size, as texts grow with the counts
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, order_key(mix.seed, F.col(doc_id), F.crc32(F.encode(text_or_empty(text), "UTF-8"))).alias("key"))
+    return keyed.hint("merge").join(taken, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -6,7 +6,7 @@ from regionpulse.llm.backoff_lm import BackoffModel
 from regionpulse.llm.host_rules import HOST_LIMITS
 from regionpulse.llm.interleave import SEED
 from regionpulse.llm.license_scan import TEMPLATES
-from regionpulse.llm.mixing import PRIMES, Mixture
+from regionpulse.llm.mixing import BLOCK_ROUNDS, Mixture
 from regionpulse.llm.pii_sanitize import Disclosure
 
 _D = "d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents)"
@@ -167,12 +167,6 @@ def _uniform(*parts: str) -> str:
     return f"({_key(chr(39) + 'uniform' + chr(39), *parts)} / {float(1 << 60)!r})"
 
 
-def _permuted(index: str, size: str, salt: str) -> str:
-    primes = "[" + ", ".join(map(str, PRIMES)) + "]"
-    turned = ", ".join(f"CASE WHEN {size} % {primes}[({salt} % {len(PRIMES)} + {k}) % {len(PRIMES)} + 1] <> 0 THEN {primes}[({salt} % {len(PRIMES)} + {k}) % {len(PRIMES)} + 1] END" for k in range(len(PRIMES)))
-    return f"((coalesce({turned}, 1) * ({index}) + {salt} % {size}) % {size})"
-
-
 OP8 = rf"""
 WITH RECURSIVE {_CRC_TABLE},
 {_D},
@@ -191,8 +185,12 @@ s6 AS (SELECT *, CAST(floor(e) AS BIGINT) + CASE WHEN {_uniform(f"'{_MIX.seed}'"
 s7 AS (SELECT *, coalesce(lag(e1) OVER (ORDER BY i), 0) AS b1 FROM s6),
 src AS (SELECT *, least(e1 - b1, {_MIX.most_repeats} * nb) AS n_slots FROM s7),
 j AS (SELECT sk, nb, unnest(range(n_slots)) AS j FROM src WHERE n_slots > 0),
-j1 AS (SELECT sk, nb, j, {_key(f"'{_MIX.seed}'", "sk", "(j // nb)::VARCHAR")} AS salt FROM j),
-used AS (SELECT sk, {_permuted('j % nb', 'nb', 'salt')} AS block, count(*) AS times FROM j1 GROUP BY ALL),
+j1 AS (SELECT sk, nb, j - (j // nb) * nb AS x, sk || '|' || (j // nb)::VARCHAR AS salt FROM j),
+ks AS (SELECT salt, nb, list_transform(range(1, {BLOCK_ROUNDS} + 1), lambda k: {_key(f"'{_MIX.seed}'", "salt", "k::VARCHAR")} % nb) AS ks FROM (SELECT DISTINCT salt, nb FROM j1)),
+swap AS (SELECT sk, salt, nb, ks, x, 1 AS k FROM j1 JOIN ks USING (salt, nb)
+  UNION ALL SELECT sk, salt, nb, ks, CASE WHEN substr(md5(salt || '|' || ks[k]::VARCHAR || '|' || greatest(x, y)::VARCHAR), 1, 1) < '8' THEN y ELSE x END, k + 1
+  FROM (SELECT *, ((ks[k] - x) % nb + nb) % nb AS y FROM swap WHERE k <= {BLOCK_ROUNDS})),
+used AS (SELECT sk, x AS block, count(*) AS times FROM swap WHERE k = {BLOCK_ROUNDS} + 1 GROUP BY ALL),
 placed AS (SELECT *, (sum(size) OVER (PARTITION BY sk ORDER BY key, doc_id, size, rid ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS st FROM r),
 pieces AS (SELECT rid, sk, st, size, unnest(range(st // {_MIX.block_words}, (st + size - 1) // {_MIX.block_words} + 1)) AS block FROM placed WHERE size > 0),
 got AS (SELECT rid, sum((least(st + size, (block + 1) * {_MIX.block_words}) - greatest(st, block * {_MIX.block_words})) * times)::BIGINT AS taken FROM pieces JOIN used USING (sk, block) GROUP BY rid)

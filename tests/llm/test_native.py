@@ -341,3 +341,39 @@ def test_whole_documents_in_the_mix(docs):
     n = Counter(r["source"] for r in got.collect())
     assert got.columns == df.columns
     assert abs(n["b"] - 300 * 2 / 7) < 12 and abs(n["a"] - 300 * 5 / 7) < 45  # weights 5 and 2
+
+
+def test_draws_decide_what_is_taken(spark, docs):
+    """Shards hold what the draws gave; summed over shards it is what is taken, and the plan keeps the permutations."""
+    mix = mixing.Mixture(block_words=8, shard_slots=32)
+    df = docs([f"{'w ' * (3 + 7 * k % 50)}" for k in range(200)], [["a", "b", None][k % 7 % 3] for k in range(200)], extra="1 AS slot").withColumn("block", F.lit(2))
+    held = mixing.shards(df, mix).collect()
+    sizes = {r["doc_id"]: r for r in mixing.taken_words(df, mix).collect()}
+    taken = Counter()
+    for r in held:
+        taken[r["doc_id"]] += r["words"]
+        assert 0 <= r["from_word"] and r["from_word"] + r["words"] <= sizes[r["doc_id"]]["size"] and r["words"] <= 8
+    assert all(r["taken"] == taken[i] for i, r in sizes.items())
+    assert max(Counter((r["shard"], r["slot"]) for r in held).values()) <= 8 and {r["slot"] for r in held} == set(range(32))
+    plan = mixing.taken_words(df, mix)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan
+    sources = spark.createDataFrame([("sa", 50, 0, 7000)], "source_key STRING, n_blocks BIGINT, slot_start BIGINT, slot_end BIGINT")
+    assert "xxhash64" in mixing.drawn(sources, mix)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = mixing.drawn(sources, mix, run=100, slots_per_task=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[source_key[^\]]*\], 7", dealt)  # many tasks make the slots of one row
+
+
+def test_block_permutations_are_no_shift(spark):
+    for size in (1, 2, 7, 64, 1000002):
+        n = min(size, 500)
+        rows = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(size), F.lit("sa|0"), mixing.round_keys("mixing-1", F.lit("sa|0"), F.lit(size))).alias("place")).collect()
+        places = [r["place"] for r in sorted(rows)]
+        assert len(set(places)) == n and all(0 <= p < size for p in places)
+        if size > 60:
+            assert len({(places[i + 1] - places[i]) % size for i in range(n - 1)}) > n // 3
+
+
+def test_resample_keeps_clashing_names(docs):
+    df = docs([f"{'w ' * 20}{k}" for k in range(40)]).selectExpr("*", "1 AS _copies", "2 AS _taken_key", "3 AS _row_key", "4 AS _copy", "5 AS row", "6 AS key", "7 AS copies")
+    got = mixing.resample(df)
+    assert got.columns == df.columns and {(r["_copies"], r["_taken_key"], r["_row_key"], r["_copy"], r["row"], r["key"], r["copies"]) for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
