@@ -14,17 +14,15 @@ counted first, and keys are formed from shared bands only: the same keys, far fe
 
 Proposals per key, without listing all pairs of a bucket:
 
-1. Every document is checked against one other, the smallest of its buckets' smallest
-   ids, and the confirmed links are closed to components.
-2. In buckets that still hold several components, every member outside the largest one is
-   checked against the member of another component that is most alike by minimum hashes
-   (one pair per member).  This is repeated until it finds no more links.
-3. Then all pairs from different components that are left in a bucket are looked at, each
+1. Every member is checked against the smallest ids of its buckets, one of them first, then
+   a few, then the others, each time only against those that are still in another
+   component; the confirmed links are closed to components in between.
+2. Then all pairs from different components that are left in a bucket are looked at, each
    under its first common key only, filtered by exact size
    bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below the filter's
    0.55 once in ten million), and confirmed on the full sets.
 
-Steps 2 and 3 deal a bucket in pairs of blocks of bounded size, (members outside the largest
+Step 2 deals a bucket in pairs of blocks of bounded size, (members outside the largest
 component) x (members inside) and outside x outside, so no task holds a whole bucket and
 members of one component are never compared.  A group of thousands of near copies thus
 costs a few links per member, while no pair of
@@ -216,8 +214,8 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
 
 
 def block_pairs(members: DataFrame, most: int = 400) -> DataFrame:
-    """(key, x, inside, y, first, second, ...): the rows of buckets with several components
-    (key, slot, rep, n, comp, sig), dealt to pairs of blocks of about ``most`` rows.
+    """(key, x, inside, y, first, second, slot, rep, n, comp): the rows of buckets with several
+    components (key, slot, rep, n, comp), dealt to pairs of blocks of about ``most`` rows.
 
     Members outside a bucket's largest component make blocks x; each meets every block y of
     members inside, and every block y >= x of members outside.  ``first`` and ``second`` tell
@@ -238,51 +236,36 @@ def block_pairs(members: DataFrame, most: int = 400) -> DataFrame:
     with_outside = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: place(F.least(me, o), False, F.greatest(me, o), me <= o, me >= o))
     with_any = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda x: place(x, True, me, no, yes))
     at = F.explode(F.when(F.col("out"), F.concat(with_inside, with_outside)).otherwise(with_any)).alias("at")
-    return rows.select("key", "slot", "rep", "n", "comp", "sig", at).select("key", "at.*", "slot", "rep", "n", "comp", "sig")
+    return rows.select("key", "slot", "rep", "n", "comp", at).select("key", "at.*", "slot", "rep", "n", "comp")
 
 
-def cross_pairs(members: DataFrame, k: int, m: int, best: bool, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400) -> DataFrame:
-    """(a, b, alike): pairs of members of one key (key, slot, rep, n, comp, sig) from different
-    components that the size bound and the minimum hashes leave possible.
+def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400) -> DataFrame:
+    """(a, b): pairs of members of one key (key, slot, rep, n, comp) from different components
+    that the size bound and the minimum hashes (``sigs``: rep, sig) leave possible, each under its first common key."""
 
-    ``best``: for each member outside its bucket's largest component the partner most alike
-    by minimum hashes, in each pair of blocks.  Otherwise all such pairs, each only under
-    its first common key."""
-
-    def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        slot, inside, same_block = rows[0][6], rows[0][2], rows[0][1] == rows[0][3]
+    def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        slot, within = rows[0][6], rows[0][1] == rows[0][3] and not rows[0][2]
         one, two = ([r for r in rows if r[side]] for side in (4, 5))
         if not one or not two:
             return
         (rep, size, comp), (rep2, size2, comp2) = [[np.array([r[i] for r in some], np.int64) for i in (7, 8, 9)] for some in (one, two)]
         sig, sig2 = [np.frombuffer(b"".join([r[10] for r in some]), np.uint32).reshape(len(some), 2 * k * m) for some in (one, two)]
-        top = np.full(len(two), -1)  # of the second side: how alike the best of the first is, and which
-        top_at = np.zeros(len(two), np.int64)
         for x in np.array_split(np.arange(len(one)), len(one) * len(two) * 2 * k * m // 4_000_000 + 1):
             ok = (comp[x, None] != comp2) & (100 * np.minimum(size[x, None], size2) >= threshold * np.maximum(size[x, None], size2))
-            if same_block and not inside and not best:
+            if within:
                 ok &= rep[x, None] < rep2
-            alike = np.where(ok, (sig[x, None, :] == sig2).sum(axis=2), -1)
-            if best:
-                j = alike.argmax(axis=1)
-                i = np.flatnonzero(alike[np.arange(len(x)), j] >= least * 2 * k * m)
-                out.append((rep[x[i]], rep2[j[i]], alike[i, j[i]].astype(np.int32)))
-                if not inside and not same_block:
-                    better = alike.max(axis=0) > top
-                    top_at[better] = x[alike.argmax(axis=0)[better]]
-                    top = np.maximum(top, alike.max(axis=0))
+            i, j = np.nonzero(ok)
+            if not len(i):
                 continue
-            i, j = np.nonzero(alike >= least * 2 * k * m)
-            same = (sig[x[i]].reshape(-1, 2 * m, k) == sig2[j].reshape(-1, 2 * m, k)).all(axis=2)
+            same = sig[x[i]] == sig2[j]
+            near = same.sum(axis=1) >= least * 2 * k * m
+            i, j, same = i[near], j[near], same[near].reshape(-1, 2 * m, k).all(axis=2)
             first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1) == slot
-            i, j = i[first], j[first]
-            out.append((rep[x[i]], rep2[j], alike[i, j].astype(np.int32)))
-        j = np.flatnonzero(top >= least * 2 * k * m)
-        out.append((rep2[j], rep[top_at[j]], top[j].astype(np.int32)))
+            out.append((rep[x[i[first]]], rep2[j[first]]))
 
     def batches_of(found: list) -> Iterator[pa.RecordBatch]:
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -300,8 +283,8 @@ def cross_pairs(members: DataFrame, k: int, m: int, best: bool, least: float = 0
 
     # by the number of partitions in force: the rows of a pair of blocks together, in order
     group = ["key", "x", "inside", "y"]
-    dealt = block_pairs(members, most).select(*group, "first", "second", "slot", "rep", "n", "comp", "sig").repartition(*group).sortWithinPartitions(*group, "rep")
-    return dealt.mapInArrow(run, "a long, b long, alike int")
+    dealt = block_pairs(members, most).join(sigs, "rep").select(*group, "first", "second", "slot", "rep", "n", "comp", "sig").repartition(*group).sortWithinPartitions(*group, "rep")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, k: int = K, m: int = M) -> DataFrame:
@@ -329,11 +312,12 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, thresh
     keyed = table_keys(able, k, m)
     hubs = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     members = materialize(keyed.join(hubs, "key").select("key", "slot", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "near-members")
-    # one hub for each member, however many buckets it is in
-    to_hub = (members.filter((F.col("rep") != F.col("hub")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-              .groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b")))
+    hubs_of = (members.filter((F.col("rep") != F.col("hub")) & (100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
+               .groupBy("rep").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))
+    hubs_of = materialize(hubs_of, "near-hubs")  # at most m * m of each
     found = members.select(F.col("rep").alias("id")).distinct()
     texts = materialize(docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text")).join(found, "id", "left_semi"), "near-texts")
+    to_hub = hubs_of.select(F.get("hubs", F.lit(0)).alias("a"), F.col("rep").alias("b"))
     first = materialize(confirmed(to_hub, texts, width, threshold).union(shared), "near-links")
     comps = materialize(components(first), "near-comps")
 
@@ -341,17 +325,17 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, thresh
         """The components of ``comps`` and further links."""
         return materialize(components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).filter("a != b").union(more)), "near-comps")
 
-    while True:
-        placed = members.select("key", "slot", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
-        unsettled = materialize(placed.join(mixed, "key", "left_semi").join(reps.select("rep", "sig"), "rep"), "near-open")
-        likely = cross_pairs(unsettled, k, m, True, threshold=threshold).groupBy("a").agg(F.max(F.struct("alike", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        more = materialize(confirmed(likely, texts, width, threshold), "near-links")
-        if not more.limit(1).count():
-            break
-        comps = joined(more)
+    for tried, more in ((1, 7), (8, m * m)):
+        tries = hubs_of.filter(F.size("hubs") > tried).select(F.explode(F.slice("hubs", tried + 1, more)).alias("a"), F.col("rep").alias("b"))
+        of_a, of_b = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b"))
+        apart = tries.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+        links = materialize(confirmed(apart, texts, width, threshold), "near-links")
+        if links.limit(1).count():
+            comps = joined(links)
+    placed = members.select("key", "slot", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    open_ = materialize(placed, "near-open")
     # links already confirmed have one component, so no such pair is confirmed again
-    rest = materialize(confirmed(cross_pairs(unsettled, k, m, False, threshold=threshold).select("a", "b"), texts, width, threshold), "near-links")
+    rest = materialize(confirmed(cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold), texts, width, threshold), "near-links")
     final = (joined(rest) if rest.limit(1).count() else comps).withColumnRenamed("node", "rep")
     of_set = classes.join(final, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "set_id").join(of_set, "set_id", "left")

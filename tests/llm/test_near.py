@@ -132,43 +132,28 @@ def test_recall_of_the_tables():
     assert found >= 298
 
 
-@pytest.mark.parametrize("best", [True, False])
-def test_blocks_miss_no_pair(spark, best):
+def test_blocks_miss_no_pair(spark):
     """Small blocks give the pairs that one block of the whole bucket gives."""
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 32, 2 * tm.K * tm.M, dtype=np.uint32)
-    rows = []
+    sigs, comp = {}, {}
     for rep in range(60):
         sig = base.copy()
         sig[rng.choice(len(sig), 10, replace=False)] = rep  # alike in at least 52 of 72
-        comp = 0 if rep < 35 else 35 + (rep - 35) % 4
-        rows.append((7, 0, rep, 100, comp, bytearray(sig.tobytes())))
-    schema = "key BIGINT, slot INT, rep BIGINT, n BIGINT, comp BIGINT, sig BINARY"
-    members = spark.createDataFrame(rows, schema)
+        sigs[rep], comp[rep] = sig, 0 if rep < 35 else 35 + (rep - 35) % 4
+    table = spark.createDataFrame([(r, bytearray(x.tobytes())) for r, x in sigs.items()], "rep BIGINT, sig BINARY")
     # the first common key of a pair depends on its slot: ask under every slot
-    slots = range(0, tm.M * tm.M, 1 if not best else tm.M * tm.M)
-    every = members.drop("key", "slot").withColumn("slot", F.explode(F.array(*map(F.lit, slots)))).withColumn("key", F.col("slot").cast("long")).select("key", "slot", "rep", "n", "comp", "sig")
-
-    def pairs(most):
-        got = tm.cross_pairs(every, tm.K, tm.M, best, most=most).collect()
-        if best:
-            top = {}
-            for r in got:
-                top[r["a"]] = max(top.get(r["a"], 0), r["alike"])
-            return top
-        return sorted((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got)
-
-    whole, dealt = pairs(1000), pairs(7)
-    assert whole == dealt and len(whole) >= 25
-    if not best:
-        comp = {r[2]: r[4] for r in rows}
-        assert len(set(whole)) == len(whole) and all(comp[a] != comp[b] for a, b in whole)
-        sigs = {r[2]: np.frombuffer(bytes(r[5]), np.uint32).reshape(2 * tm.M, tm.K) for r in rows}
-        for a in sigs:
-            for b in sigs:
-                if a < b and comp[a] != comp[b]:
-                    same = (sigs[a] == sigs[b]).all(axis=1)
-                    assert ((a, b) in set(whole)) == bool((sigs[a] == sigs[b]).sum() >= 0.55 * 72 and same[:tm.M].any() and same[tm.M:].any())
+    rows = [(r, 100, comp[r]) for r in sigs]
+    every = spark.createDataFrame(rows, "rep BIGINT, n BIGINT, comp BIGINT").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(tm.M * tm.M - 1)))).withColumn("key", F.col("slot").cast("long"))
+    members = every.select("key", "slot", "rep", "n", "comp")
+    whole, dealt = (sorted((min(r), max(r)) for r in tm.cross_pairs(members, table, tm.K, tm.M, most=most).collect()) for most in (1000, 7))
+    assert whole == dealt and len(set(whole)) == len(whole) and all(comp[a] != comp[b] for a, b in whole)
+    band = {r: x.reshape(2 * tm.M, tm.K) for r, x in sigs.items()}
+    for a in sigs:
+        for b in range(a + 1, 60):
+            same = (band[a] == band[b]).all(axis=1)
+            if comp[a] != comp[b] and (sigs[a] == sigs[b]).sum() >= 0.55 * 72 and same[:tm.M].any() and same[tm.M:].any():
+                assert (a, b) in set(whole)
 
 
 def test_clashing_names_and_repeated_ids(docs):
