@@ -117,8 +117,11 @@ def host_quality(docs: DataFrame, host: str = "source", text: str = "text", keep
     ``base_failed``, ``host_failed`` and ``kept``; clashing names are replaced."""
     columns = [c for c in (keep_columns if keep_columns is not None else [c for c in docs.columns if c != text])
                if c not in {*MEASURES, "base_failed", "host_failed", "kept", "host_key"}]
-    wanted = docs.select(*[docs[c] for c in columns], docs[text].alias("_text"), source_key(host).alias("host_key"))
-    return _judged(wanted, "_text", columns, limits)
+    # the kept columns travel in one, so no name can clash
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0))
+    wanted = docs.select(kept.alias("_row"), docs[text].alias("_text"), source_key(host).alias("host_key"))
+    judged = _judged(wanted, "_text", ["_row"], limits)
+    return judged.select(*[F.col("_row").getField(c).alias(c) for c in columns], *[c for c in judged.columns if c != "_row"])
 
 
 def passing(docs: DataFrame, host: str = "source", text: str = "text", limits: dict[str, float] | None = None) -> DataFrame:

@@ -127,9 +127,12 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: list[tuple[str, str
         F.filter(inside, lambda m: ~F.exists(units, lambda u: (u["name"] == m["name"]))), lambda m: F.struct(
             m["dice"].alias("dice"), m["order"].alias("order"), m["name"].alias("name")))))
     names = ["licenses", "n_matches", "best_license", "best_dice"]
-    return (docs.withColumn("_found", found)
-            .select(*[f"`{c}`" for c in docs.columns if c not in {*names, text}],
-                    F.array_join(F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["name"]))), ",").alias("licenses"),
-                    F.size("_found").cast("long").alias("n_matches"),
-                    F.array_max("_found")["name"].alias("best_license"),
-                    F.round(F.coalesce(F.array_max("_found")["dice"], F.lit(0.0)), 6).alias("best_dice")))
+    kept = [c for c in docs.columns if c not in {*names, text}]
+    # the kept columns travel in one, so no name can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0))
+    return (docs.select(row.alias("row"), found.alias("found"))
+            .select(*[F.col("row").getField(c).alias(c) for c in kept],
+                    F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda m: m["name"]))), ",").alias("licenses"),
+                    F.size("found").cast("long").alias("n_matches"),
+                    F.array_max("found")["name"].alias("best_license"),
+                    F.round(F.coalesce(F.array_max("found")["dice"], F.lit(0.0)), 6).alias("best_dice")))

@@ -166,7 +166,9 @@ def _share(total: int) -> Column:
 def condemned(docs: DataFrame, base: DataFrame, rule: Disclosure, text: str = "text") -> DataFrame:
     """(term), written: the terms that disclose some entity.
 
-    ``base``: written rows (doc_id, text_id, spans, near, words) of the texts with entities."""
+    ``base``: written rows (doc_id, text_id, spans, near, words) of the texts with entities.
+    A document without an id is told from others by its text."""
+    base = base.withColumn("doc_id", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.col("text_id").cast("string"))))
     near = base.select("doc_id", F.explode("near").alias("c")).select("doc_id", "c.entity", "c.context", F.explode("c.terms").alias("t"))
     pairs = near.select("entity", F.col("t.value").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
     wanted = materialize(pairs.filter(F.col("contexts") >= rule.support).select("entity", "term"), "pii-candidates")
@@ -256,8 +258,11 @@ def sanitize(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "do
     whole stretch.  Columns and their order stay."""
     found = find(docs, rule, doc_id, text).filter(F.size("all_spans") > 0).groupBy("doc_id", "text_id").agg(F.first("all_spans").alias("_spans"))
     found = materialize(found, "pii-found").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), "_spans")
-    tagged = docs.withColumn("_this_text", _text_id(text_or_empty(text)))
-    met = join_measured(tagged, found, tagged[doc_id].eqNullSafe(F.col("_id")) & (F.col("_this_text") == F.col("_text_id")), "left", most=200_000)
+    # the row travels in one column, so no name can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = docs.select(row.alias("row"), docs[doc_id].alias("row_id"), _text_id(text_or_empty(text)).alias("row_text"))
+    met = join_measured(tagged, found, F.col("row_id").eqNullSafe(F.col("_id")) & (F.col("row_text") == F.col("_text_id")), "left", most=200_000)
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit(""))
-    t = F.col(text)
-    return met.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(_replaced(t, F.col("_spans"), tags))).select(*[f"`{c}`" for c in docs.columns])
+    t = F.col("row").getField(text)
+    clean = F.when(F.col("_spans").isNull(), t).otherwise(_replaced(t, F.col("_spans"), tags))
+    return met.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

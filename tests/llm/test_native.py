@@ -377,3 +377,38 @@ def test_resample_keeps_clashing_names(docs):
     df = docs([f"{'w ' * 20}{k}" for k in range(40)]).selectExpr("*", "1 AS _copies", "2 AS _taken_key", "3 AS _row_key", "4 AS _copy", "5 AS row", "6 AS key", "7 AS copies")
     got = mixing.resample(df)
     assert got.columns == df.columns and {(r["_copies"], r["_taken_key"], r["_row_key"], r["_copy"], r["row"], r["key"], r["copies"]) for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+
+
+# ---------------------------------------------------------------- null ids and clashing names
+
+def with_columns(df, names):
+    return df.select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+
+
+@pytest.mark.parametrize("ids", ["own", "null"])
+def test_condemned_terms_go_whatever_the_ids(docs, ids):
+    # the word stands far from the address, in other lines: only whole documents tell
+    far = "filler words stand here\n" * 12
+    texts = [f"boss{k % 5}@corp.example wrote {k}\n{far}zorbon{k % 5} agreed {k}" for k in range(30)] + [f"nothing {k} of note here" for k in range(60)]
+    df = docs(texts, ids=None if ids == "own" else [None] * len(texts))
+    left = [r["text"] for r in pii_sanitize.sanitize(df).collect()]
+    assert len(left) == 90 and not [t for t in left if "zorbon" in t or "@corp" in t]
+
+
+def test_sanitize_keeps_clashing_names(docs):
+    names = ["_spans", "_id", "_text_id", "_this_text", "row", "row_id", "row_text", "added", "term"]
+    df = with_columns(docs(["mail a@b.example now", None, "plain"]), names)
+    got = pii_sanitize.sanitize(df)
+    assert got.columns == df.columns
+    rows = got.orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["mail <EMAIL> now", None, "plain"] and all(r[n] == f"kept {n}" for r in rows for n in names)
+
+
+def test_scan_and_host_rules_keep_clashing_names(docs):
+    df = with_columns(docs(["Released under the MIT License.", "plain text of no license"]), ["_found", "found", "row"])
+    rows = license_scan.scan(df).orderBy("doc_id").collect()
+    assert rows[0]["licenses"] and not rows[1]["licenses"] and all(r[n] == f"kept {n}" for r in rows for n in ("_found", "found", "row"))
+    df = with_columns(docs([" ".join(f"w{k}" for k in range(30)), "few"]), ["_m", "_row", "_text"])
+    rows = host_rules.host_quality(df).orderBy("doc_id").collect()
+    assert [r["n_words"] for r in rows] == [30, 1] and all(r[n] == f"kept {n}" for r in rows for n in ("_m", "_row", "_text"))
+    assert host_rules.passing(df).columns == df.columns
