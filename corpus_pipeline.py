@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionpulse.llm import bpe_segment, host_rules, mixing, pii_sanitize, tensor_minhash
-from regionpulse.llm.common import documents, materialize, vocabulary
+from regionpulse.llm.common import documents, vocabulary
+from regionpulse.session import remove, scratch, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages on ``documents``.  A stage's scratch tables are removed when its result is
+    written, and that result when the next one is; the last stage is lazy, so its input stays."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
