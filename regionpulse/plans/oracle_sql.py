@@ -471,7 +471,7 @@ def _step(alpha: float, beta: float, scale: float, k: int = 4) -> str:
     (SELECT o.n, o.i, o.j, o.v, o.mean, CASE WHEN o.i = st.i THEN st.p ELSE o.p0 END AS p, st.qs[o.j + 1] AS q, st.qs FROM st JOIN ordered o ON o.n = st.n + 1)))"""
 
 
-SQL["sgd_epoch"] = _FM_KEPT.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+_EPOCH = _FM_KEPT.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 , p0 AS (SELECT id, list_prepend(any_value(bias)::DOUBLE, list(f::DOUBLE ORDER BY k)) AS p FROM pf GROUP BY id),
 q0 AS (SELECT id, list_prepend(any_value(bias)::DOUBLE, list(f::DOUBLE ORDER BY k)) AS q FROM qf GROUP BY id),
 ordered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c.i, c.j) AS n, c.i, c.j, c.value AS v, p0.p AS p0, mu.mean FROM coo c JOIN p0 ON p0.id = c.i, mu),
@@ -482,6 +482,17 @@ last_row AS (SELECT i, arg_max(p, n) AS p FROM done WHERE i >= 0 GROUP BY i),
 last_q AS (SELECT arg_max(qs, n) AS qs FROM done),
 fitted AS (SELECT 'P' AS side, p0.id, coalesce(l.p, p0.p) AS x FROM p0 LEFT JOIN last_row l ON l.i = p0.id
   UNION ALL SELECT 'Q', q0.id, last_q.qs[q0.id + 1] FROM q0, last_q)
+"""
+
+SQL["history_given"] = _EPOCH + f"""
+, missed AS (SELECT c.value - (mu.mean + p.x[1] + q.x[1] + {' + '.join(f'p.x[{k}] * q.x[{k}]' for k in range(2, 6))}) AS e
+  FROM coo c JOIN fitted p ON p.side = 'P' AND p.id = c.i JOIN fitted q ON q.side = 'Q' AND q.id = c.j, mu),
+size AS (SELECT sum({' + '.join(f'x[{k}] * x[{k}]' for k in range(2, 6))}) AS reg FROM fitted)
+SELECT 0::INT AS epoch, count(*) AS n, round(sum(e * e), 5) AS sse, round(sqrt(sum(e * e) / count(*)), 5) AS rmse, round(sqrt(sum(e * e)), 5) AS root_sse,
+       round(sum(e * e) / 2 + 0.05 / 2 * any_value(reg), 5) AS cost FROM missed, size
+"""
+
+SQL["sgd_epoch"] = _EPOCH + f"""
 SELECT side, id, round(x[1], 6) AS bias, {', '.join(f'round(x[{k + 2}], 6) AS f{k}' for k in range(4))} FROM fitted
 """
 
@@ -553,6 +564,18 @@ zs AS (SELECT region, f, label::DOUBLE AS y, 1.0::DOUBLE AS z0, {_Z} FROM tr WIN
 SELECT region, f::INT AS fold, {', '.join(f'round(b{k}, 5) AS beta{k}' for k in range(6))} FROM b_10
 """
 
+_GIVEN = with_(CHECKINS, CELL_USER, FIRST_VISITS, GRID, FEATURE_MATRIX_BODY, INCIDENTS, KEPT, IDS) + f"""
+, dense AS (SELECT k.t, k.region, {', '.join(f"max(CASE WHEN c.feature = '{f}' THEN mu.mean + pq.bi + pq.bj + pq.d END) AS d_{f}" for f in _FIVE)}
+  FROM kept k JOIN rids r ON k.t = r.t JOIN cids c ON c.region = k.region JOIN pq ON pq.i = r.i AND pq.j = c.j, mu GROUP BY k.t, k.region),
+frame AS (SELECT a.t, a.region, a.label, {', '.join(f'a.{f}::DOUBLE AS s_{f}' for f in _FIVE)}, {', '.join(f'd.d_{f}' for f in _FIVE)}
+  FROM aligned a JOIN dense d ON a.t = d.t AND a.region = d.region)
+"""
+SQL["given_features"] = _GIVEN + "SELECT t, region, label, " + ", ".join(f"round({p}_{f}, 6) AS {p}_{f}" for p in "sd" for f in _FIVE) + " FROM frame\n"
+SQL["model_table"] = _GIVEN + "SELECT " + ", ".join(f"round(d_{f}, 6) AS {f}" for f in _FIVE) + ", label::DOUBLE AS label FROM frame\n"
+_MEANS = {"cv_mean": "visitor_entropy", "auc": "visitor_ratio", "f1": "region_popularity", "accuracy": "visitor_count"}
+SQL["report_given"] = _GIVEN + "SELECT region, 'rule' AS model, FALSE AS scaled, " + ", ".join(
+    f"round(avg(s_{f}), 6) AS sparse_{m}, round(avg(d_{f}), 6) AS dynamic_{m}, round(avg(d_{f}) - avg(s_{f}), 6) AS delta_{m}" for m, f in _MEANS.items()) + " FROM frame GROUP BY region\n"
+
 DOCS = """
 ds AS (SELECT l.doc_id, l.toxic, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score
        FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""

@@ -465,6 +465,14 @@ def q_sgd_epoch(spark, sf_dir):
     return rounded(fitted.select("side", "id", "bias", *[F.get("factors", F.lit(k)).alias(f"f{k}") for k in range(GIVEN_RANK)]))
 
 
+@register("history_given")
+def q_history_given(spark, sf_dir):
+    """MF8: the cost after one epoch from the factors of the rule."""
+    coo, rows, cols = _coo(spark, sf_dir)
+    config = PipelineConfig(rank=GIVEN_RANK, epochs=1, blocks=1, learning_rate=0.01, regularization=0.05)
+    return rounded(fz.densify_sgd(coo, rows, cols, config, shuffle=False, init=given_factors(rows, cols)).history, 5)
+
+
 @register("matrix_shape")
 def q_matrix_shape(spark, sf_dir):
     return fz.matrix_shape(_kept_matrix(spark, sf_dir), 250)
@@ -604,6 +612,42 @@ def q_dynamic_features(spark, sf_dir):
     return d.frame
 
 
+def _given_frame(spark, sf_dir):
+    m = _materialized_matrix(spark, sf_dir)
+    coo, rows, cols = fz.sparse_cells(m)
+    dense = fz.dense_matrix(m, given_factors(rows, cols), fz.nonzero_mean(coo).select("mean").scalar(), rows, cols)
+    return ev.evaluation_frame(m, dense, lab.align_features_labels(m, _labels(spark, sf_dir)))
+
+
+@register("given_features")
+def q_given_features(spark, sf_dir):
+    """MF10: sparse and dense features side by side with the labels, on the factors of the rule."""
+    return rounded(_given_frame(spark, sf_dir))
+
+
+@register("model_table")
+def q_model_table(spark, sf_dir):
+    """IO6: the dense features of the rule's factors written as a model table and read back."""
+    from pyspark.ml.functions import vector_to_array
+
+    from regionpulse.config import FEATURES
+
+    path = scratch_path(spark, "model-table")
+    _given_frame(spark, sf_dir).select(*[F.col(f"d_{f}").alias(f) for f in FEATURES], F.col("label").alias("crime")).write.parquet(path)
+    t = src.load_model_table(spark, path, "crime").select(vector_to_array("features").alias("x"), "label")
+    return rounded(t.select(*[F.get("x", F.lit(k)).alias(f) for k, f in enumerate(FEATURES)], "label"))
+
+
+@register("report_given")
+def q_report_given(spark, sf_dir):
+    """ML14 on given metrics: each region's mean features stand for the metrics of its two feature sets."""
+    frame = _given_frame(spark, sf_dir)
+    metrics = {"cv_mean": "visitor_entropy", "auc": "visitor_ratio", "f1": "region_popularity", "accuracy": "visitor_count"}
+    sets = [frame.groupBy("region").agg(*[F.avg(f"{p}_{f}").alias(m) for m, f in metrics.items()])
+            .select("region", F.lit("rule").alias("model"), F.lit(name).alias("feature_set"), F.lit(False).alias("scaled"), *metrics) for name, p in (("sparse", "s"), ("dynamic", "d"))]
+    return rounded(ev.comparison_report(sets[0].union(sets[1])))
+
+
 @register("region_panel")
 def q_region_panel(spark, sf_dir):
     """PF19: one region's rows of the aligned matrix (first kept region by name)."""
