@@ -3,9 +3,10 @@
 Filter-and-refine without a spatial library:
 
 * index (small, polygon side): every polygon is covered by square grid cells of side
-  ``cell``; for each cell the candidate polygons are stored with their bounding box
-  and only the edges that cross the cell's horizontal band (a ray cast from a point
-  in that band can only cross those);
+  ``cell``.  A cell that no edge comes near lies wholly inside, and is marked so and keeps no
+  edges, or wholly outside, and is dropped.  The others, along the outline, keep the
+  polygon's bounding box and those edges of the cell's horizontal band that do not lie to the
+  left of the cell (a ray cast to the right can only cross those);
 * join (event side): each point computes its cell id and equi-joins the index, so the
   join is a hash join with no nested loop and no cross product;
 * refine: bounding-box test, boundary test, and even-odd crossing count evaluated as
@@ -46,17 +47,18 @@ def duplicate_regions(regions: DataFrame, name_col: str = "name") -> DataFrame:
 
 def apply_region_corrections(regions: DataFrame, corrections: Iterable[tuple] | DataFrame) -> DataFrame:
     """PF3: keyed corrections ``(name, county, action, new_name)`` with action 'drop' or
-    'rename' (instead of hard-coded row positions).  The corrections list is a
-    user-given parameter table, hence of known small size and broadcast."""
+    'rename' (instead of hard-coded row positions).  A list of corrections is a parameter
+    that the driver holds anyway, and is broadcast; a DataFrame of them may be of any size,
+    and Spark chooses the join."""
     spark = regions.sparkSession
     if not isinstance(corrections, DataFrame):
-        corrections = spark.createDataFrame(
+        corrections = F.broadcast(spark.createDataFrame(
             list(corrections), "c_name STRING, c_county STRING, action STRING, new_name STRING"
-        )
+        ))
     else:
         corrections = corrections.toDF("c_name", "c_county", "action", "new_name")
     j = regions.join(
-        F.broadcast(corrections),
+        corrections,
         (regions["name"] == corrections["c_name"]) & (regions["county"].eqNullSafe(corrections["c_county"])),
         "left",
     )
@@ -94,7 +96,7 @@ def polygon_edges(regions: DataFrame) -> DataFrame:
 
 
 def polygon_index(regions: DataFrame, cell: float) -> DataFrame:
-    """(cx, cy, candidates array<struct<region_id, minx, miny, maxx, maxy, edges>>)."""
+    """(cx, cy, candidates array<struct<region_id, name, minx, miny, maxx, maxy, edges, interior>>)."""
     edges = polygon_edges(regions)
     box = edges.groupBy("region_id").agg(
         F.least(F.min("x1"), F.min("x2")).alias("minx"),
@@ -118,13 +120,16 @@ def polygon_index(regions: DataFrame, cell: float) -> DataFrame:
         ).alias("cy"),
     ).groupBy("region_id", "cy").agg(F.collect_list("edge").alias("edges"))
     names = regions.select("region_id", "name")
-    cand = cells.join(band_edges, ["region_id", "cy"], "left").join(names, "region_id", "left").select(
-        "cx", "cy",
-        F.struct(
-            "region_id", "name", "minx", "miny", "maxx", "maxy",
-            F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")).alias("edges"),
-        ).alias("c"),
-    )
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    held = cells.join(band_edges, ["region_id", "cy"], "left").withColumn("edges", F.coalesce("edges", none))
+    # the cell's box, a little wider than rounding can move a point
+    left, right, low, high = (F.col(k) * c + side * c * 1e-6 + (c if side > 0 else 0) for k, side in (("cx", -1), ("cx", 1), ("cy", -1), ("cy", 1)))
+    near = F.exists("edges", lambda e: (F.least(e["x1"], e["x2"]) <= right) & (F.greatest(e["x1"], e["x2"]) >= left)
+                    & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low))
+    middle = _inside((F.col("cx") + 0.5) * c, (F.col("cy") + 0.5) * c)(F.struct("minx", "miny", "maxx", "maxy", "edges", F.lit(False).alias("interior")))
+    held = held.withColumn("near", near).withColumn("interior", ~F.col("near") & middle).filter("near or interior")
+    held = held.withColumn("edges", F.when(F.col("interior"), none).otherwise(F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)))
+    cand = held.join(names, "region_id", "left").select("cx", "cy", F.struct("region_id", "name", "minx", "miny", "maxx", "maxy", "edges", "interior").alias("c"))
     return cand.groupBy("cx", "cy").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
 
 
@@ -145,7 +150,7 @@ def _inside(px: Column, py: Column):
     def inside(c):
         in_box = px.between(c["minx"], c["maxx"]) & py.between(c["miny"], c["maxy"])
         n_cross = F.aggregate(c["edges"], F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0))
-        return in_box & ~F.exists(c["edges"], on_edge) & ((n_cross % 2) == 1)
+        return c["interior"] | (in_box & ~F.exists(c["edges"], on_edge) & ((n_cross % 2) == 1))
 
     return inside
 

@@ -102,3 +102,35 @@ def test_date_range_inclusive(spark):
     rows = [(dt.datetime(2012, 4, 3, 0, 0),), (dt.datetime(2013, 2, 16, 23, 59),), (dt.datetime(2013, 2, 17, 0, 0),)]
     df = spark.createDataFrame(rows, "ts TIMESTAMP_NTZ")
     assert clean.filter_date_range(df, "2012-04-03", "2013-02-16").count() == 2
+
+
+def test_outline_of_ten_thousand_vertices(spark):
+    """Inside and outside cells keep no edges; the index stays linear in the outline; results equal a plain ray cast."""
+    import numpy as np
+
+    n = 10_000
+    angle = np.arange(n) * 2 * np.pi / n
+    radius = 3 + 0.3 * np.sin(40 * angle) + 0.05 * np.sin(900 * angle)
+    x, y = radius * np.cos(angle), radius * np.sin(angle)
+    ring = [{"lon": float(a), "lat": float(b)} for a, b in zip(x, y)]
+    table = spark.createDataFrame([(0, "star", "c", "city", [ring])], "region_id BIGINT, name STRING, county STRING, city STRING, rings ARRAY<ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>>")
+    index = geo.polygon_index(table, 0.1)
+    row = index.select(F.explode("candidates").alias("c")).agg(F.sum(F.size("c.edges")).alias("edges"), F.sum(F.col("c.interior").cast("int")).alias("inside"), F.count("*").alias("cells"),
+                                                               F.max(F.when(F.col("c.interior"), F.size("c.edges"))).alias("kept")).first()
+    assert row["kept"] == 0 and row["inside"] > 0.6 * row["cells"] and row["edges"] < 25 * n
+    rng = np.random.default_rng(2)
+    px, py = rng.uniform(-3.6, 3.6, 3000), rng.uniform(-3.6, 3.6, 3000)
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    up = (y[None, :] > py[:, None]) != (y2[None, :] > py[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = px[:, None] < (x2 - x) * (py[:, None] - y) / (y2 - y) + x
+    want = {i for i in range(3000) if (up & right)[i].sum() % 2}
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(px, py))], "point_id BIGINT, lon DOUBLE, lat DOUBLE")
+    assert {r["point_id"] for r in geo.assign_region(pts, table, cell=0.1).collect()} == want
+
+
+def test_corrections_of_a_table_are_not_broadcast_by_hint(spark):
+    table = spark.createDataFrame([("ell", "c", "rename", "bent"), ("far", "c", "drop", None)], "a STRING, b STRING, c STRING, d STRING")
+    fixed = geo.apply_region_corrections(regions(spark), table)
+    assert "hint" not in fixed._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(r["name"] for r in fixed.collect()) == ["bent", "holed", "over_a", "over_b", "square"]
