@@ -25,7 +25,7 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-ORACLE_SAMPLE = ["feature_matrix", "first_visits", "cv_auc", "streaming_obs_freq", "load_checkin_points", "visitor_ratio", "assign_region", "parse_incident_time", "align_features_labels",
+ORACLE_SAMPLE = ["feature_matrix", "logistic_regions", "sgd_epoch", "history_given", "given_features", "model_table", "report_given", "first_visits", "cv_auc", "streaming_obs_freq", "load_checkin_points", "visitor_ratio", "assign_region", "parse_incident_time", "align_features_labels",
                  "area_incident_density", "roc_auc", "undersample", "fit_error", "vector_cosine"]
 
 
