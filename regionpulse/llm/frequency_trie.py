@@ -235,11 +235,11 @@ def near_pairs(vocabulary: DataFrame, cut_depths: tuple[int, ...] = DEPTHS, most
     sent = materialize(vocabulary.select("word", "n").mapInArrow(searches, "top string, word string, n long, spent int").join(cuts, "top"), "trie-searches")
     blocks = sent.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / most_words).cast("int").alias("of_searches")).join(cuts, "top")
     blocks = blocks.select("top", "depth", "of_searches", F.ceil(F.col("size") / most_words).cast("int").alias("of_words"))
-    part = F.abs(F.xxhash64("word", F.lit("block")))
+    part = lambda n: F.pmod(F.xxhash64("word", F.lit("block")), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    targets = (homes.select("top", "word", "n").join(blocks, "top").withColumn("block", (part % F.col("of_words")).cast("int"))
+    targets = (homes.select("top", "word", "n").join(blocks, "top").withColumn("block", part("of_words"))
                .withColumn("part", every("of_searches")).select("top", "depth", "block", "part", "word", "n", F.lit(-1).alias("spent")))
-    queries = (sent.select("top", "word", "n", "spent").join(blocks, "top").withColumn("part", (part % F.col("of_searches")).cast("int"))
+    queries = (sent.select("top", "word", "n", "spent").join(blocks, "top").withColumn("part", part("of_searches"))
                .withColumn("block", every("of_words")).select("top", "depth", "block", "part", "word", "n", "spent"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
