@@ -17,12 +17,14 @@ Proposals per key, without listing all pairs of a bucket:
 1. Every member is checked against the smallest ids of its buckets, one of them first, then
    a few, then the others, each time only against those that are still in another
    component; the confirmed links are closed to components in between.
-2. Then all pairs from different components that are left in a bucket are looked at, each
+2. In buckets that still hold several components, members are checked against their most
+   alike partners by minimum hashes in another component, until that finds no more links.
+3. Then all pairs from different components that are left in a bucket are looked at, each
    under its first common key only, filtered by exact size
    bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below the filter's
    0.55 once in ten million), and confirmed on the full sets.
 
-Step 2 deals a bucket in pairs of blocks of bounded size, (members outside the largest
+Steps 2 and 3 deal a bucket in pairs of blocks of bounded size, (members outside the largest
 component) x (members inside) and outside x outside, so no task holds a whole bucket and
 members of one component are never compared.  A group of thousands of near copies thus
 costs a few links per member, while no pair of
@@ -239,9 +241,9 @@ def block_pairs(members: DataFrame, most: int = 400) -> DataFrame:
     return rows.select("key", "slot", "rep", "n", "comp", at).select("key", "at.*", "slot", "rep", "n", "comp")
 
 
-def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400) -> DataFrame:
+def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400, best: bool = False) -> DataFrame:
     """(a, b): pairs of members of one key (key, slot, rep, n, comp) from different components
-    that the size bound and the minimum hashes (``sigs``: rep, sig) leave possible, each under its first common key."""
+    that the size bound and the minimum hashes (``sigs``: rep, sig) leave possible, each under its first common key; with ``best`` only each member's most alike partner in a pair of blocks."""
 
     def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
         slot, within = rows[0][6], rows[0][1] == rows[0][3] and not rows[0][2]
@@ -259,7 +261,15 @@ def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: floa
                 continue
             same = sig[x[i]] == sig2[j]
             near = same.sum(axis=1) >= least * 2 * k * m
-            i, j, same = i[near], j[near], same[near].reshape(-1, 2 * m, k).all(axis=2)
+            i, j, same = i[near], j[near], same[near]
+            if best:
+                order = np.argsort(same.sum(axis=1), kind="stable")  # the last of a member is its most alike
+                for side in (i, j):
+                    _, at = np.unique(side[order][::-1], return_index=True)
+                    pick = order[::-1][at]
+                    out.append((rep[x[i[pick]]], rep2[j[pick]]))
+                continue
+            same = same.reshape(-1, 2 * m, k).all(axis=2)
             first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1) == slot
             out.append((rep[x[i[first]]], rep2[j[first]]))
 
@@ -332,8 +342,15 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, thresh
         links = materialize(confirmed(apart, texts, width, threshold), "near-links")
         if links.limit(1).count():
             comps = joined(links)
-    placed = members.select("key", "slot", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = materialize(placed, "near-open")
+    while True:
+        placed = members.select("key", "slot", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        open_ = materialize(placed, "near-open")
+        # a few links between large components spare the pairs of their members
+        likely = cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold, best=True).distinct()
+        links = materialize(confirmed(likely, texts, width, threshold), "near-links")
+        if not links.limit(1).count():
+            break
+        comps = joined(links)
     # links already confirmed have one component, so no such pair is confirmed again
     rest = materialize(confirmed(cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold), texts, width, threshold), "near-links")
     final = (joined(rest) if rest.limit(1).count() else comps).withColumnRenamed("node", "rep")
