@@ -163,3 +163,20 @@ def test_pooled_evaluation_and_network(spark):
     got = ev.evaluate_region(frame, None, PipelineConfig(folds=2, train_partitions=1, network_iterations=30), ["lr", "mlp"]).collect()
     assert {(r["region"], r["model"], r["scaled"]) for r in got} == {("(all)", "lr", False), ("(all)", "lr", True), ("(all)", "mlp", True)}
     assert all(r["cv_folds"] == 2 and r["auc"] > 0.5 for r in got)
+
+
+def test_one_class_has_null_metrics(spark):
+    """A table in which every interval has an incident, and a network asked of regions with too few rows."""
+    frame = make_frame(spark, ("a", "b"), 20).withColumn("label", F.lit(1))
+    for region in (None, "a"):
+        got = ev.evaluate_region(frame, region, PipelineConfig())
+        rows = got.collect()
+        assert {(r["model"], r["feature_set"], r["scaled"]) for r in rows} == {(m, s, z) for m in ("svm", "lr", "rf", "mlp") for s in ("sparse", "dynamic") for z in (False, True) if z or m != "mlp"}
+        assert len(rows) == 14 and all(r["region"] == (region or "(all)") and r["cv_folds"] == 0 and r["auc"] is None and r["f1"] is None and r["cv_mean"] is None for r in rows)
+    report = ev.comparison_report(got).collect()
+    assert len(report) == 7 and all(r["delta_auc"] is None for r in report)
+    mean = ev.repeat_evaluation(frame, "a", 3, PipelineConfig(), ["lr"]).collect()
+    assert len(mean) == 4 and all(r["runs"] == 3 and r["cv_folds"] == 0 and r["auc"] is None for r in mean)
+    assert ev.evaluate_regions(frame, PipelineConfig(), ["mlp"]).collect() == []
+    with pytest.raises(ValueError, match="no rows"):
+        ev.evaluate_region(frame, "nowhere", PipelineConfig(), ["lr"])
