@@ -229,11 +229,12 @@ class WordBpe:
         """Code point by code point, without the word-final sigma of ``str.lower``."""
         return "σ".join([x.lower() for x in text.split("Σ")]) if "Σ" in text else text.lower()
 
-    def encode(self, texts: list[str | None], most_known: int = 120_000) -> list[tuple[bytes, str]]:
+    def encode(self, texts: list[str | None], most_known: int = 500_000) -> list[tuple[bytes, str]]:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded text:
         with no decoder in the file, its tokens joined by single spaces.
 
-        What is known of words stays for the next batch, up to ``most_known`` of them."""
+        What is known of words stays for the next batch, up to ``most_known`` of them: far more
+        than one batch of rows brings, else each batch would start anew."""
         if len(self.known) + len(self.units) > most_known:
             self.known.clear()
             self.units.clear()

@@ -111,3 +111,12 @@ def test_bpe_query_and_odd_rows(spark, docs, word_level):
     out = bpe_round_trip(odd, vocabulary("word_bpe_49k.json")).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in out] == [digests(t)[0] for t in ODD_TEXTS]
     assert bpe_round_trip(odd.limit(0), vocabulary("word_bpe_49k.json")).collect() == []
+
+
+def test_words_of_earlier_batches_stay_known(monkeypatch):
+    c, learned = WordBpe(vocabulary("word_bpe_49k.json")), []
+    learn = WordBpe.learn
+    monkeypatch.setattr(WordBpe, "learn", lambda self, words, **kw: (learned.append(len(words)), learn(self, words, **kw)))
+    batches = [[" ".join(f"w{chr(97 + k % 26)}{k:x}" for k in range(i * 50_000, (i + 1) * 50_000))] for i in range(3)]
+    first = [c.encode(b) for b in batches][0]
+    assert c.encode(batches[0]) == first and learned[0] > 0 and learned[3] == 0
