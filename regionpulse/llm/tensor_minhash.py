@@ -22,7 +22,8 @@ Proposals per key, without listing all pairs of a bucket:
 3. Then all pairs from different components that are left in a bucket are looked at, each
    under its first common key only, filtered by exact size
    bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below the filter's
-   0.55 once in ten million), and confirmed on the full sets.
+   0.55 once in ten million), and confirmed on the full sets.  These pairs travel in packed
+   lists, and a text comes once to each list, not once per pair.
 
 Steps 2 and 3 deal a bucket in pairs of blocks of bounded size, (members outside the largest
 component) x (members inside) and outside x outside, so no task holds a whole bucket and
@@ -189,6 +190,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def pair_groups(pairs: Iterator[pa.RecordBatch], most: int = 100) -> Iterator[pa.RecordBatch]:
+    """(pairs): the (a, b) of each batch in packed lists with at most ``most`` different a each."""
+    for batch in pairs:
+        ab = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
+        starts = np.flatnonzero(np.diff(ab[:, 0], prepend=ab[:1, 0] - 1))[::most]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(ab, starts[1:])], pa.binary())], names=["pairs"])
+
+
+def confirmed_groups(groups: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The linked (a, b) of all packed pairs (g, pairs).  A text comes once to each group that
+    names it, not once per pair; every pair of the group is compared on its full sets."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.unique(np.frombuffer(packed, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), g, np.int64)), pa.array(ids)], names=["g", "id"])
+
+    def links(packed: bytes, sets: dict[int, list[np.ndarray]]) -> list[tuple[int, int]]:
+        out = []
+        for a, b in np.frombuffer(packed, np.int64).reshape(-1, 2).tolist():
+            for x in sets.get(a, ()):
+                for y in sets.get(b, ()):  # rows that share an id: any of their texts
+                    small, large = (x, y) if len(x) <= len(y) else (y, x)
+                    if len(small):
+                        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                        if 100 * both >= threshold * (len(x) + len(y) - both):
+                            out.append((a, b))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, packed, sets = Shingler(width), b"", {}
+
+        def found() -> pa.RecordBatch:
+            at = np.array(links(packed, sets), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for ident, text, pairs in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)]):
+                if pairs is not None:  # stands before the texts of its group
+                    yield found()
+                    packed, sets = pairs, {}
+                else:
+                    sets.setdefault(ident, []).append(shingle(text))
+        yield found()
+
+    of_text = groups.select("g", "pairs").mapInArrow(named, "g long, id long").join(texts, "id").select("g", "id", "text", F.lit(None).cast("binary").alias("pairs"))
+    heads = groups.select("g", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "pairs")
+    rows = of_text.unionByName(heads).repartition("g").sortWithinPartitions("g", F.col("id").asc_nulls_first())
+    return rows.select("g", "id", "text", "pairs").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest id reachable, for every id that has a link.
 
@@ -352,7 +406,9 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, thresh
             break
         comps = joined(links)
     # links already confirmed have one component, so no such pair is confirmed again
-    rest = materialize(confirmed(cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold), texts, width, threshold), "near-links")
+    left = cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold).mapInArrow(pair_groups, "pairs binary")
+    groups = materialize(left.withColumn("g", F.monotonically_increasing_id()), "near-groups")
+    rest = materialize(confirmed_groups(groups, texts, width, threshold), "near-links")
     final = (joined(rest) if rest.limit(1).count() else comps).withColumnRenamed("node", "rep")
     of_set = classes.join(final, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "set_id").join(of_set, "set_id", "left")

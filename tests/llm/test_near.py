@@ -171,3 +171,16 @@ def test_scratch_tables_are_removed(spark, docs):
     before = set(os.listdir(folder))
     got = tm.one_per_group(docs(["a b c", "a b c", "d e f"]))
     assert len(set(os.listdir(folder)) - before) == 2 and got.count() == 2
+
+
+def test_packed_pairs_bring_each_text_once(spark, docs):
+    """All pairs of 300 texts, and an id with two texts: the links of ``confirmed`` from far fewer joined rows."""
+    texts = [t for t in families(3) if t][:300]
+    rows = docs([*texts, texts[1] + " more"], ids=[*range(len(texts)), 0]).selectExpr("doc_id as id", "text")
+    pairs = spark.range(len(texts)).selectExpr("id as a").crossJoin(spark.range(len(texts)).selectExpr("id as b")).filter("a < b")
+    groups = pairs.coalesce(1).mapInArrow(tm.pair_groups, "pairs binary").withColumn("g", F.monotonically_increasing_id())
+    packed = [np.frombuffer(r["pairs"], np.int64).reshape(-1, 2) for r in groups.collect()]
+    assert sum(map(len, packed)) == len(texts) * (len(texts) - 1) // 2 and max(len(np.unique(p[:, 0])) for p in packed) <= 100
+    assert sum(len(np.unique(p)) for p in packed) < sum(map(len, packed)) / 4
+    want = {tuple(r) for r in tm.confirmed(pairs, rows, 2, 80).collect()}
+    assert {tuple(r) for r in tm.confirmed_groups(groups, rows, 2, 80).collect()} == want and want
