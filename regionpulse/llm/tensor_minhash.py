@@ -17,18 +17,19 @@ Proposals per key, without listing all pairs of a bucket:
 1. Every member is checked against the smallest ids of its buckets, one of them first, then
    a few, then the others, each time only against those that are still in another
    component; the confirmed links are closed to components in between.
-2. In buckets that still hold several components, members are checked against their most
-   alike partners by minimum hashes in another component, until that finds no more links.
-3. Then all pairs from different components that are left in a bucket are looked at, each
-   under its first common key only, filtered by exact size
-   bounds and by the 2mk minimum hashes (a pair of similarity 0.8 stays below the filter's
-   0.55 once in ten million), and confirmed on the full sets.  These pairs travel in packed
-   lists, and a text comes once to each list, not once per pair.
-
-Steps 2 and 3 deal a bucket in pairs of blocks of bounded size, (members outside the largest
+2. The members that share a smallest id are dealt into units of about 400.  In buckets that
+   still hold several components, all pairs from different components are looked at, each
+   under its first common key only, filtered by exact size bounds and by the 2mk minimum
+   hashes (a pair of similarity 0.8 stays below the filter's 0.55 once in ten million).  What
+   leaves a bucket is no list of pairs: it is each member with the units of its possible
+   partners.
+3. A member is compared on the full sets with all of such a unit at once, over an index of
+   the unit's shingles; one link to each other component is kept.
+
+Step 2 deals a bucket in pairs of blocks of bounded size, (members outside the largest
 component) x (members inside) and outside x outside, so no task holds a whole bucket and
 members of one component are never compared.  A group of thousands of near copies thus
-costs a few links per member, while no pair of
+costs a few links and units per member, while no pair of
 members of different components is left unchecked.  Nothing is collected to the driver;
 components are found by alternating large-star and small-star steps over written tables,
 which are removed when the result is written.
@@ -269,9 +270,61 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     return now.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(now.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
+def units_of(members: DataFrame, most: int = 400) -> DataFrame:
+    """(rep, comp, unit): the members (key, slot, rep, n, hub, comp) dealt into units of about
+    ``most``, by the smallest id of their buckets; a row per member."""
+    each = members.groupBy("rep").agg(F.min("hub").alias("hub"), F.min("comp").alias("comp"))
+    per_hub = each.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    part = F.pmod(F.xxhash64("rep"), "parts")
+    return each.join(per_hub, "hub").select("rep", "comp", F.xxhash64("hub", part).alias("unit"))
+
+
+def confirmed_units(tries: DataFrame, units: DataFrame, texts: DataFrame, width: int, threshold: int, most: int = 2000) -> DataFrame:
+    """(a, b): links on the full sets of each member a with the members b of a unit, for all (rep, unit) of
+    ``tries``; one b of each component other than a's.  ``units`` has (rep, comp, unit).
+
+    A unit comes once for about ``most`` members that try it, so neither a large unit nor
+    one that many try fills a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, place, index = Shingler(width), None, None
+        ids, comps, sets = [], [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for unit, part, tries_it, rep, comp, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (unit, part) != place:
+                    place, index, ids, comps, sets = (unit, part), None, [], [], []
+                found = shingle(text)
+                if not tries_it:  # the unit's own members come first
+                    ids.append(rep), comps.append(comp), sets.append(found)
+                    continue
+                if not ids or not len(found):
+                    continue
+                if index is None:
+                    flat, size = np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], np.repeat(np.arange(len(sets)), size)[order], size, np.array(comps, np.int64)
+                values, owner, size, of = index
+                at, end = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+                held = end - at
+                places = np.arange(held.sum()) + np.repeat(at - (np.cumsum(held) - held), held)
+                both = np.bincount(owner[places], minlength=len(ids))
+                linked = np.flatnonzero((100 * both >= threshold * (len(found) + size - both)) & (of != comp))
+                out += [(rep, ids[k]) for k in linked[np.unique(of[linked], return_index=True)[1]].tolist()]
+            ab = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+
+    parts = tries.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    own = units.join(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("tries"), "rep", "comp")
+    asking = tries.join(parts, "unit").join(units.select("rep", "comp"), "rep").select("unit", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(True).alias("tries"), "rep", "comp")
+    rows = own.union(asking).join(texts.withColumnRenamed("id", "rep"), "rep").select("unit", "part", "tries", "rep", "comp", "text")
+    return rows.repartition("unit", "part").sortWithinPartitions("unit", "part", "tries").mapInArrow(run, "a long, b long").distinct()
+
+
 def block_pairs(members: DataFrame, most: int = 400) -> DataFrame:
     """(key, x, inside, y, first, second, slot, rep, n, comp): the rows of buckets with several
-    components (key, slot, rep, n, comp), dealt to pairs of blocks of about ``most`` rows.
+    components (key, slot, rep, n, comp, any more), dealt to pairs of blocks of about ``most`` rows;
+    more columns follow.
 
     Members outside a bucket's largest component make blocks x; each meets every block y of
     members inside, and every block y >= x of members outside.  ``first`` and ``second`` tell
@@ -292,15 +345,19 @@ def block_pairs(members: DataFrame, most: int = 400) -> DataFrame:
     with_outside = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: place(F.least(me, o), False, F.greatest(me, o), me <= o, me >= o))
     with_any = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda x: place(x, True, me, no, yes))
     at = F.explode(F.when(F.col("out"), F.concat(with_inside, with_outside)).otherwise(with_any)).alias("at")
-    return rows.select("key", "slot", "rep", "n", "comp", at).select("key", "at.*", "slot", "rep", "n", "comp")
+    more = [c for c in members.columns if c not in ("key", "slot", "rep", "n", "comp")]
+    return rows.select("key", "slot", "rep", "n", "comp", *more, at).select("key", "at.*", "slot", "rep", "n", "comp", *more)
 
 
-def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400, best: bool = False) -> DataFrame:
+def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: float = 0.55, threshold: int = THRESHOLD, most: int = 400) -> DataFrame:
     """(a, b): pairs of members of one key (key, slot, rep, n, comp) from different components
-    that the size bound and the minimum hashes (``sigs``: rep, sig) leave possible, each under its first common key; with ``best`` only each member's most alike partner in a pair of blocks."""
+    that the size bound and the minimum hashes (``sigs``: rep, sig) leave possible, each under its first common key.
+    Where members have a ``unit``: (rep, unit), each a once with the units of its b in a pair of blocks."""
+    of_units = "unit" in members.columns
 
     def pairs(rows: list[tuple], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
         slot, within = rows[0][6], rows[0][1] == rows[0][3] and not rows[0][2]
+        to = np.array([r[11] for r in rows if r[5]], np.int64) if of_units else None
         one, two = ([r for r in rows if r[side]] for side in (4, 5))
         if not one or not two:
             return
@@ -316,20 +373,16 @@ def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: floa
             same = sig[x[i]] == sig2[j]
             near = same.sum(axis=1) >= least * 2 * k * m
             i, j, same = i[near], j[near], same[near]
-            if best:
-                order = np.argsort(same.sum(axis=1), kind="stable")  # the last of a member is its most alike
-                for side in (i, j):
-                    _, at = np.unique(side[order][::-1], return_index=True)
-                    pick = order[::-1][at]
-                    out.append((rep[x[i[pick]]], rep2[j[pick]]))
-                continue
             same = same.reshape(-1, 2 * m, k).all(axis=2)
             first = same[:, :m].argmax(axis=1) * m + same[:, m:].argmax(axis=1) == slot
-            out.append((rep[x[i[first]]], rep2[j[first]]))
+            a, b = rep[x[i[first]]], rep2[j[first]]
+            out.append(tuple(np.unique(np.stack([a, to[j[first]]]), axis=1)) if of_units else (a, b))
+
+    names = ["rep", "unit"] if of_units else ["a", "b"]
 
     def batches_of(found: list) -> Iterator[pa.RecordBatch]:
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -347,8 +400,8 @@ def cross_pairs(members: DataFrame, sigs: DataFrame, k: int, m: int, least: floa
 
     # by the number of partitions in force: the rows of a pair of blocks together, in order
     group = ["key", "x", "inside", "y"]
-    dealt = block_pairs(members, most).join(sigs, "rep").select(*group, "first", "second", "slot", "rep", "n", "comp", "sig").repartition(*group).sortWithinPartitions(*group, "rep")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = block_pairs(members, most).join(sigs, "rep").select(*group, "first", "second", "slot", "rep", "n", "comp", "sig", *(["unit"] if of_units else [])).repartition(*group).sortWithinPartitions(*group, "rep")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, k: int = K, m: int = M) -> DataFrame:
@@ -396,19 +449,12 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, width: int, thresh
         links = materialize(confirmed(apart, texts, width, threshold), "near-links")
         if links.limit(1).count():
             comps = joined(links)
-    while True:
-        placed = members.select("key", "slot", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        open_ = materialize(placed, "near-open")
-        # a few links between large components spare the pairs of their members
-        likely = cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold, best=True).distinct()
-        links = materialize(confirmed(likely, texts, width, threshold), "near-links")
-        if not links.limit(1).count():
-            break
-        comps = joined(links)
-    # links already confirmed have one component, so no such pair is confirmed again
-    left = cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold).mapInArrow(pair_groups, "pairs binary")
-    groups = materialize(left.withColumn("g", F.monotonically_increasing_id()), "near-groups")
-    rest = materialize(confirmed_groups(groups, texts, width, threshold), "near-links")
+    placed = members.select("key", "slot", "rep", "n", "hub").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    units = materialize(units_of(placed), "near-units")
+    open_ = placed.drop("hub").join(units.select("rep", "unit"), "rep")
+    open_ = materialize(open_, "near-open")
+    tries = materialize(cross_pairs(open_, reps.select("rep", "sig"), k, m, threshold=threshold).distinct(), "near-tries")
+    rest = materialize(confirmed_units(tries, units, texts, width, threshold), "near-links")
     final = (joined(rest) if rest.limit(1).count() else comps).withColumnRenamed("node", "rep")
     of_set = classes.join(final, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "set_id").join(of_set, "set_id", "left")

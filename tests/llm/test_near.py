@@ -184,3 +184,37 @@ def test_packed_pairs_bring_each_text_once(spark, docs):
     assert sum(len(np.unique(p)) for p in packed) < sum(map(len, packed)) / 4
     want = {tuple(r) for r in tm.confirmed(pairs, rows, 2, 80).collect()}
     assert {tuple(r) for r in tm.confirmed_groups(groups, rows, 2, 80).collect()} == want and want
+
+
+def test_members_of_one_bucket_leave_it_with_units_not_pairs(spark):
+    """Members that are alike in pairs but in many components: rows grow with members times units, and lose no pair."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, 2 * tm.K * tm.M, dtype=np.uint32)
+    sigs = {}
+    for rep in range(120):
+        sig = base.copy()
+        sig[rng.choice(len(sig), 6, replace=False)] = rep
+        sigs[rep] = sig
+    table = spark.createDataFrame([(r, bytearray(x.tobytes())) for r, x in sigs.items()], "rep BIGINT, sig BINARY")
+    comp = {r: 0 if r < 40 else r for r in sigs}
+    every = spark.createDataFrame([(r, 100, comp[r], r // 30) for r in sigs], "rep BIGINT, n BIGINT, comp BIGINT, unit BIGINT")
+    every = every.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(tm.M * tm.M - 1)))).withColumn("key", F.col("slot").cast("long"))
+    pairs = tm.cross_pairs(every.drop("unit"), table, tm.K, tm.M, most=50).distinct().collect()
+    tries = {tuple(r) for r in tm.cross_pairs(every, table, tm.K, tm.M, most=50).collect()}
+    assert len(pairs) > 4000 and len(tries) <= 4 * 120
+    assert all((a, b // 30) in tries or (b, a // 30) in tries for a, b in pairs)
+
+
+def test_units_give_a_link_to_each_linked_component(spark, docs):
+    """Texts against units of 7, one of them tried by more than fit a part, and an id with two texts."""
+    texts = [t for t in families(3) if t][:120]
+    rows = docs([*texts, texts[1] + " more"], ids=[*range(len(texts)), 0]).selectExpr("doc_id as id", "text")
+    pairs = spark.range(len(texts)).selectExpr("id as a").crossJoin(spark.range(len(texts)).selectExpr("id as b")).filter("a != b")
+    comp = lambda i: i // 3
+    units = spark.range(len(texts)).selectExpr("id as rep", "id div 3 as comp", "id div 7 as unit")
+    tries = units.select("rep").crossJoin(units.select("unit").distinct())
+    want = {(a, b // 7, comp(b)) for a, b in tm.confirmed(pairs, rows, 2, 80).collect() if comp(a) != comp(b)}
+    got = [tuple(r) for r in tm.confirmed_units(tries, units, rows, 2, 80, most=50).collect()]
+    linked = {tuple(r) for r in tm.confirmed(pairs, rows, 2, 80).collect()}
+    assert want and {(a, b // 7, comp(b)) for a, b in got} == want and set(got) <= linked
+    assert tm.confirmed_units(tries.limit(0), units, rows, 2, 80).collect() == []
