@@ -1,6 +1,7 @@
 """Readers: polygon text (WKT and GeoJSON), check-in CSV with coordinates."""
 
 import datetime as dt
+import os
 
 import pytest
 
@@ -94,3 +95,30 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
     assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]")
+
+
+def test_scopes_of_two_threads_do_not_mix(spark):
+    """A scope that ends in one thread leaves the tables of another thread's scope alone."""
+    import threading
+
+    from regionpulse.session import materialize, scratch
+
+    inner, ended, got = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch(spark):
+            table = materialize(spark.range(5), "theirs")
+            inner.set()
+            ended.wait(60)
+            got.append(table.inputFiles())
+            got.append(table.count())
+
+    thread = threading.Thread(target=other)
+    with scratch(spark):
+        mine = materialize(spark.range(3), "mine").inputFiles()
+        thread.start()
+        assert inner.wait(60)
+    ended.set()
+    thread.join(60)
+    assert got[1:] == [5]
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in mine + got[0])
