@@ -180,3 +180,30 @@ def test_one_class_has_null_metrics(spark):
     assert ev.evaluate_regions(frame, PipelineConfig(), ["mlp"]).collect() == []
     with pytest.raises(ValueError, match="no rows"):
         ev.evaluate_region(frame, "nowhere", PipelineConfig(), ["lr"])
+
+
+def test_remembered_build(spark, monkeypatch):
+    """Two threads share one build; a build whose tables are gone is made again."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+    from types import SimpleNamespace
+
+    from regionpulse.plans import queries
+    from regionpulse.session import materialize, remove
+
+    made = []
+
+    def build(*_):
+        made.append(1)
+        time.sleep(2)
+        return SimpleNamespace(frame=materialize(spark.range(4), "built"))
+
+    monkeypatch.setattr(queries, "_BUILT", {})
+    monkeypatch.setattr(queries.pl, "build", build)
+    of = lambda _: queries._dynamic(spark, "/root/testdata/sf0.001")
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(of, range(2))
+    assert one is two and len(made) == 1
+    remove(spark, one.frame.inputFiles())
+    again = of(0)
+    assert len(made) == 2 and again.frame.count() == 4 and of(0) is again
