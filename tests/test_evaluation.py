@@ -207,3 +207,20 @@ def test_remembered_build(spark, monkeypatch):
     remove(spark, one.frame.inputFiles())
     again = of(0)
     assert len(made) == 2 and again.frame.count() == 4 and of(0) is again
+
+
+def test_report_holds_every_region(spark, monkeypatch):
+    """The report of the whole table: each region has its seven rows, one of few rows with null metrics."""
+    from types import SimpleNamespace
+
+    from regionpulse.plans import queries
+
+    frame = make_frame(spark, per=60)
+    config = PipelineConfig(landmarks=40, forest_depth=4, folds=2, train_partitions=1, network_iterations=5)
+    monkeypatch.setattr(queries, "_dynamic", lambda *_: SimpleNamespace(frame=frame))
+    monkeypatch.setattr(queries, "FIXTURE_CONFIG", config)
+    report = {(r["region"], r["model"], r["scaled"]): r for r in queries.REGISTRY["comparison_report"](spark, "unused").collect()}
+    assert len(report) == 3 * 7 and {k[0] for k in report} == {"a", "b", "few"}
+    assert all((r["delta_auc"] is None) == (k[0] == "few") for k, r in report.items())
+    alone = ev.comparison_report(ev.evaluate_region(frame, "b", config, ["lr"])).collect()
+    assert alone and all(report["b", "lr", r["scaled"]]["delta_auc"] == pytest.approx(r["delta_auc"], abs=1e-9) for r in alone)
