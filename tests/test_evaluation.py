@@ -224,3 +224,61 @@ def test_report_holds_every_region(spark, monkeypatch):
     assert all((r["delta_auc"] is None) == (k[0] == "few") for k, r in report.items())
     alone = ev.comparison_report(ev.evaluate_region(frame, "b", config, ["lr"])).collect()
     assert alone and all(report["b", "lr", r["scaled"]]["delta_auc"] == pytest.approx(r["delta_auc"], abs=1e-9) for r in alone)
+
+
+def test_grown_splits_are_the_best():
+    """Every node of a tree that tries all features splits at the best Gini gain there is, in bootstraps too."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3)).round(1)
+    x[:, 2] = 4.0  # constant
+    y = (x[:, 0] + rng.normal(size=150) > 0).astype(float)
+    trees = fo.bootstrap_trees(x, y, range(4), 3, 3, 30, most_pairs=300)
+    assert [t.tolist() for one in fo.bootstrap_trees(x, y, range(4), 3, 3, 30) for t in one] == [t.tolist() for one in trees for t in one]
+    for number, (feature, threshold, left, right, share) in enumerate(trees):
+        drawn = np.random.default_rng([3, number]).integers(0, 150, 150)
+        rows = {0: drawn}
+        gain = lambda low, high: sum(y[s].sum() ** 2 / len(s) + (1 - y[s]).sum() ** 2 / len(s) for s in (low, high))
+        for node in range(len(feature)):
+            s = rows[node]
+            assert share[node] == y[s].mean()
+            cuts = [gain(s[x[s, f] <= v], s[x[s, f] > v]) for f in range(3) for v in np.unique(x[s, f])[:-1]]
+            if feature[node] < 0:
+                assert share[node] in (0, 1) or not cuts
+                continue
+            low = x[s, feature[node]] <= threshold[node]
+            rows[left[node]], rows[right[node]] = s[low], s[~low]
+            assert gain(s[low], s[~low]) == pytest.approx(max(cuts))
+        assert len(rows) == len(feature)
+
+
+def test_forest_of_more_rows_than_a_sample(spark):
+    """100,000 training rows, a thousand of them rare: all are known to the forest, a sample of 50,000 misses half."""
+    rng = np.random.default_rng(6)
+    rare = spark.createDataFrame([("a", float(k), int(v)) for k, v in enumerate(rng.integers(0, 2, 1000))], "g STRING, x DOUBLE, label INT")
+    train = rare.union(spark.range(99_000).selectExpr("'a'", "-1.0D", "0"))
+    model = fo.fit(train, ["g"], ["x"], trees=50, tasks=4)
+    got = fo.scores(rare, model, ["g"], ["x"], tasks=4).groupBy().agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("right")).first()["right"]
+    assert got > 0.95
+
+
+def test_forest_in_blocks_equals_one_array(spark):
+    """Blocks over many Arrow batches, two fits a task: trees and scores are those of the plain arrays."""
+    rng = np.random.default_rng(7)
+    data = [(g, *map(float, rng.normal(size=2)), int(rng.integers(0, 2))) for g in ("a", "b") for _ in range(200)]
+    df = spark.createDataFrame(data, "g STRING, p DOUBLE, q DOUBLE, label INT")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        model = fo.fit(df, ["g"], ["p", "q"], trees=6, trees_per_task=2, block_rows=30, tasks=1).collect()
+        got = fo.scores(df, spark.createDataFrame(model), ["g"], ["p", "q"], block_rows=30, tasks=1).collect()
+        dealt = bt.blocks(df, ["g"], ["p", "q"], 30).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(model) == 2 * 3 and len(got) == 400
+    for g in ("a", "b"):
+        mine = sorted((r for r in dealt if r["g"] == g), key=lambda r: r["block"])
+        x, y = np.concatenate([r["x"] for r in mine]).reshape(-1, 2), np.concatenate([r["label"] for r in mine])
+        want = fo.bootstrap_trees(x, y, range(6), 0, 1, 30)
+        held = [t for r in sorted((r for r in model if r["g"] == g), key=lambda r: r["part"]) for t in fo.unpack(r["grown"])]
+        assert len(mine) > 3 and all((a[0] == b[0]).all() and (fo.shares(a, x) == fo.shares(b, x)).all() for a, b in zip(held, want, strict=True))
+        scores = sorted((r["label"], r["score"]) for r in got if r["g"] == g)
+        assert np.allclose(scores, sorted(zip(y, sum(fo.shares(t, x) for t in want) / 6)))
