@@ -282,3 +282,33 @@ def test_forest_in_blocks_equals_one_array(spark):
         assert len(mine) > 3 and all((a[0] == b[0]).all() and (fo.shares(a, x) == fo.shares(b, x)).all() for a, b in zip(held, want, strict=True))
         scores = sorted((r["label"], r["score"]) for r in got if r["g"] == g)
         assert np.allclose(scores, sorted(zip(y, sum(fo.shares(t, x) for t in want) / 6)))
+
+
+def test_region_trains_on_all_rows(spark, monkeypatch):
+    """Forest and kernel machine of one region deal out every training row, none asks for a sample."""
+    seen = []
+
+    def watched(rows, by, columns, *args, **kw):
+        packed = bt.blocks(rows, by, columns, *args, **kw)
+        asked = dict(zip(("block_rows", "most_rows", "seed"), args), **kw).get("most_rows")
+        seen.append((asked, rows.count(), packed.agg(F.sum(F.size("label"))).first()[0]))
+        return packed
+
+    monkeypatch.setattr(fo, "blocks", watched)
+    monkeypatch.setattr(lm, "blocks", watched)
+    config = PipelineConfig(landmarks=20, forest_depth=4, folds=2)
+    assert len(ev.evaluate_region(make_frame(spark, ("a", "b"), 60), "a", config, ["svm", "rf"]).collect()) == 8
+    assert len(seen) == 4 and all(asked is None and n == dealt > 0 for asked, n, dealt in seen)
+
+
+def test_large_rows_in_small_groups(spark):
+    """Rows of megabytes: a reading task takes a few of them at once, not a whole file."""
+    import pyarrow.parquet as pq
+
+    from regionpulse.session import materialize
+
+    wide = spark.range(0, 30, 1, 1).select("id", F.expr("transform(sequence(1, 200000), k -> sin(k * (id + 1)))").alias("x"))
+    table = materialize(wide, "wide", large_rows=True)
+    assert table.count() == 30
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+    assert sum(m.num_rows for m in groups) == 30 and max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)) < 20
